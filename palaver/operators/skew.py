@@ -1,0 +1,34 @@
+"""Salting of joins whose left side may have a third of its rows under one key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
+    """A salt per row that a task retry reproduces.
+
+    The input partition is part of it, so that exact copies of one row spread as well.
+    """
+    row = [F.col(f"`{c}`") for c in df.columns]
+    return F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
+def every_salt(salts: int = SALTS) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join (left or left_anti) to a side whose keys are unique, splitting hot left keys.
+
+    No hint: a right side of known small size is broadcast; otherwise each of its rows goes to
+    every salt, and the rows of a hot key meet it in several tasks.
+    """
+    salted = left.withColumn("_salt", row_salt(left))
+    joined = salted.join(right.withColumn("_salt", every_salt()), [*keys, "_salt"], how)
+    return joined.drop("_salt")
