@@ -36,7 +36,7 @@ def sentiment_series(counts: DataFrame) -> dict[str, DataFrame]:
 def vip_pivot(df: DataFrame) -> DataFrame:
     """VIP level against sentiment; combinations without chats are 0."""
     table = df.where(F.col("VIPLevel").isNotNull()).groupBy("VIPLevel").pivot("Sentiment", list(SENTIMENTS))
-    return table.agg(F.count("*")).na.fill(0, list(SENTIMENTS)).orderBy("VIPLevel")
+    return table.agg(F.count(F.lit(1))).na.fill(0, list(SENTIMENTS)).orderBy("VIPLevel")
 
 
 def class_counts(df: DataFrame) -> DataFrame:

@@ -165,8 +165,11 @@ def unpack_scores(df: DataFrame, vector: str = "scores") -> DataFrame:
 
 
 def class_ranks(df: DataFrame, key: str) -> DataFrame:
-    """(key, rank, label, score): the classes of each row from the highest score down, no shuffle."""
-    ranks = F.posexplode(ranked([F.col(c) for c in SENTIMENTS])).alias("place", "entry")
+    """(key, rank, label, score): the classes of each row from the highest score down, no shuffle.
+
+    The outer form, as a plain explode would add a filter on the array and score each text again.
+    """
+    ranks = F.posexplode_outer(ranked([F.col(c) for c in SENTIMENTS])).alias("place", "entry")
     return df.select(key, ranks).select(key, (F.col("place") + 1).alias("rank"), "entry.label", "entry.score")
 
 

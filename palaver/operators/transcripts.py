@@ -21,7 +21,7 @@ from palaver.operators.skew import salted_join
 from palaver.schemas import MESSAGE, TRANSCRIPT
 
 MAX_INLINE_PHRASES = 5_000
-MAX_INLINE_BYTES = 1 << 20
+MAX_PHRASE_BYTES = 4_096
 
 
 def complete_transcripts(df: DataFrame, column: str = "Messages") -> DataFrame:
@@ -29,45 +29,56 @@ def complete_transcripts(df: DataFrame, column: str = "Messages") -> DataFrame:
     return df.where(F.col(column).endswith("}]"))
 
 
+def _convert(literal: str | None) -> str | None:
+    if literal is None:
+        return None
+    try:
+        return json.dumps(ast.literal_eval(literal))
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
-def _literal_to_json(literals: pd.Series) -> pd.Series:
-    def convert(text):
-        if text is None:
-            return None
-        try:
-            return json.dumps(ast.literal_eval(text))
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+def _literals_to_json(literals: pd.Series) -> pd.Series:
+    return literals.map(_convert)
 
-    return literals.map(convert)
+
+# Declared nondeterministic so that filters on the result are not pushed below it, which would
+# run it once for the filter and once more for the rows.
+_literal_to_json = _literals_to_json.asNondeterministic()
 
 
 def parse_transcripts(
-    df: DataFrame, column: str = "Messages", into: str = "messages", dialect: str = "auto"
+    df: DataFrame, column: str = "Messages", into: str = "transcript", dialect: str = "auto"
 ) -> DataFrame:
     """Add the parsed transcript; it is null where the string cannot be parsed.
 
     JSON, also with single quotes, is parsed natively. With `dialect="auto"` what that leaves
     null is tried as a Python literal: only those strings travel to Python workers.
     """
-    native = df.withColumn(into, F.from_json(F.col(column), TRANSCRIPT))
+    if into.lower() == column.lower():
+        raise ValueError("the parsed column needs a name of its own, letter case aside")
     if dialect == "json":
-        return native
+        # A filter on the result would otherwise be pushed below it and parse a second time; the
+        # random number, always below 1, forbids that.
+        once = F.when(F.rand() < 1, F.col(column))
+        return df.withColumn(into, F.from_json(once, TRANSCRIPT))
     if dialect != "auto":
         raise ValueError(f"unknown dialect {dialect!r}")
     left_over = F.when(F.col(into).isNull(), F.col(column))
     return (
-        native.withColumn("_literal", _literal_to_json(left_over))
+        df.withColumn(into, F.from_json(F.col(column), TRANSCRIPT))
+        .withColumn("_literal", _literal_to_json(left_over))
         .withColumn(into, F.coalesce(F.col(into), F.from_json("_literal", TRANSCRIPT)))
         .drop("_literal")
     )
 
 
-def parsed_and_quarantined(df: DataFrame, column: str = "messages") -> tuple[DataFrame, DataFrame]:
+def parsed_and_quarantined(df: DataFrame, column: str = "transcript") -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
 
 
-def explode_messages(df: DataFrame, key: str = "ID", column: str = "messages") -> DataFrame:
+def explode_messages(df: DataFrame, key: str = "ID", column: str = "transcript") -> DataFrame:
     """One row per message: `Key`, its place, the message fields."""
     return df.select(F.col(key).alias("Key"), F.posexplode(column).alias("pos", "m")).select("Key", "pos", "m.*")
 
@@ -91,12 +102,16 @@ def joined_texts(messages: Column, separator: str = ",") -> Column:
 
 
 def inline_phrases(phrases: DataFrame, column: str = "FilterMessages") -> tuple[str, ...] | None:
-    """The phrase list as values if it is short enough to be part of an expression, else None."""
-    listed = phrases.select(column).where(F.col(column).isNotNull())
-    rows, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    if rows > MAX_INLINE_PHRASES or size > MAX_INLINE_BYTES:
+    """The phrase list as values if it is short enough to be part of an expression, else None.
+
+    Both the number of rows fetched and the bytes of each are bounded.
+    """
+    short = F.when(F.octet_length(column) <= MAX_PHRASE_BYTES, F.col(column))
+    rows = phrases.where(F.col(column).isNotNull()).select(short).limit(MAX_INLINE_PHRASES + 1).collect()
+    values = {row[0] for row in rows}
+    if len(rows) > MAX_INLINE_PHRASES or None in values:
         return None
-    return tuple(sorted({row[0] for row in listed.collect()}))
+    return tuple(sorted(values))
 
 
 def drop_listed(
@@ -172,10 +187,10 @@ def shape_chats(
     """
     parsed = parse_transcripts(complete_transcripts(chats), dialect=dialect)
     listed = inline_phrases(phrases)
-    html = html_transcript(F.col("messages"), mask, escape).alias("html_text")
+    html = html_transcript(F.col("transcript"), mask, escape).alias("html_text")
     others = [F.col(f"`{c}`") for c in chats.columns if c != "Messages"]
     if listed is not None:
-        kept = parsed.withColumn("_kept", visitor_messages(F.col("messages"), listed))
+        kept = parsed.withColumn("_kept", visitor_messages(F.col("transcript"), listed))
         return kept.where(F.size("_kept") > 0).select(*others, joined_texts(F.col("_kept")).alias("text"), html)
     texts = visitor_text_by_key(explode_messages(parsed), phrases).withColumnRenamed("Key", "ID")
     return parsed.select(*others, html).join(texts, "ID").select(*others, "text", "html_text")

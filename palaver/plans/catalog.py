@@ -28,7 +28,7 @@ from palaver.operators import extract, filters, merge, ordering, quality, scorin
 from palaver.operators import transcripts as tr
 from palaver.plans.jobs import scored_facts, shaped_chats
 from palaver.plans.registry import literal, mask_sql, query, round_hour_sql, scores_sql
-from palaver.schemas import EMAIL_MASK, FACT_TABLE, NEAREST, PHONE_MASK, SENTIMENTS, URL_MASK
+from palaver.schemas import EMAIL_MASK, FACT, FACT_TABLE, NEAREST, PHONE_MASK, SENTIMENTS, URL_MASK
 from palaver.session import fresh_path
 from palaver.sources import files, sample, sinks
 from palaver.sources.warehouse import run_query
@@ -333,7 +333,7 @@ def explode_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("html_transcript", "SELECT Key, html_text FROM html_v")
 def html_transcript(spark: SparkSession, sf: str) -> DataFrame:
-    html = tr.html_transcript(F.col("messages")).alias("html_text")
+    html = tr.html_transcript(F.col("transcript")).alias("html_text")
     return _parsed(spark, sf).select(F.col("ID").alias("Key"), html)
 
 
@@ -354,7 +354,7 @@ def html_escaped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("visitor_text", "SELECT Key, text FROM visitor_v")
 def visitor_text(spark: SparkSession, sf: str) -> DataFrame:
-    kept = tr.visitor_messages(F.col("messages"), tr.inline_phrases(sample.phrases(spark, sf)))
+    kept = tr.visitor_messages(F.col("transcript"), tr.inline_phrases(sample.phrases(spark, sf)))
     chats = _parsed(spark, sf).select(F.col("ID").alias("Key"), kept.alias("kept"))
     return chats.where(F.size("kept") > 0).select("Key", tr.joined_texts(F.col("kept")).alias("text"))
 
@@ -448,7 +448,7 @@ _register_mask(mask_urls, URL_PATTERN, URL_MASK)
 @query(
     "normalise_tokens",
     """SELECT page_id, array_to_string(list_transform(string_split(url || ' @' || url || ' ' || html, ' '),
-         t -> CASE WHEN starts_with(t, '@') AND length(t) > 1 THEN '@user'
+         lambda t: CASE WHEN starts_with(t, '@') AND length(t) > 1 THEN '@user'
                    WHEN starts_with(t, 'http') THEN 'http' ELSE t END), ' ') AS text
        FROM pages""",
 )
@@ -525,7 +525,7 @@ def best_class(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scores_by_label(spark: SparkSession, sf: str) -> DataFrame:
     maps = scoring.scores_by_label(_scored_documents(spark, sf), "doc_id")
-    return maps.select("doc_id", F.explode("scores").alias("label", "score")).withColumn("score", F.round("score", 6))
+    return maps.select("doc_id", F.explode_outer("scores").alias("label", "score")).withColumn("score", F.round("score", 6))
 
 
 @query("unpack_scores", DOC_SCORES_SQL)
@@ -870,6 +870,13 @@ def export_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- search and details -------------------------------------------------------------------------
 
+def _serving(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored chats as a stored serving table, which is what searches run on."""
+    path = fresh_path(spark, "serving")
+    sinks.write_serving(_scored(spark, sf), path)
+    return files.read_table(spark, path, FACT)
+
+
 SEARCH = filters.ChatFilter(search="th[aei]|les ")
 HITS_SQL = "SELECT * FROM scored_v WHERE regexp_matches(html_text, 'th[aei]|les ')"
 
@@ -883,12 +890,12 @@ HITS_SQL = "SELECT * FROM scored_v WHERE regexp_matches(html_text, 'th[aei]|les
         FROM ({HITS_SQL} ORDER BY Date, ChatID LIMIT 500)""",
 )
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_results(_scored(spark, sf), SEARCH, 500)
+    return search.search_results(_serving(spark, sf), SEARCH, 500)
 
 
 @query("search_count", f"SELECT count(*) AS hits FROM ({HITS_SQL})")
 def search_count(spark: SparkSession, sf: str) -> DataFrame:
-    return search.hit_count(_scored(spark, sf), SEARCH)
+    return search.hit_count(_serving(spark, sf), SEARCH)
 
 
 EXPORTED = ("ChatID", "UserID", "VIPLevel", "Brand", "ChatType", "Sentiment", "text")
@@ -900,7 +907,7 @@ EXPORTED = ("ChatID", "UserID", "VIPLevel", "Brand", "ChatType", "Sentiment", "t
 )
 def export_hits(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "hits-csv")
-    hits = search.export_hits(_scored(spark, sf), SEARCH, 100)
+    hits = search.export_hits(_serving(spark, sf), SEARCH, 100)
     sinks.write_csv(hits, path)
     return files.read_chat_export(spark, path, hits.schema).select(*EXPORTED)
 
@@ -919,7 +926,7 @@ def details(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chat_by_id", "SELECT ChatID, html_text, Sentiment FROM scored_v WHERE ChatID = '7'")
 def chat_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return search.chat_details(_scored(spark, sf), "7").select("ChatID", "html_text", "Sentiment")
+    return search.chat_details(_serving(spark, sf), "7").select("ChatID", "html_text", "Sentiment")
 
 
 @query(

@@ -8,16 +8,18 @@ from pyspark.sql import types as T
 
 from palaver.schemas import CHATS, FACT, PHRASES
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": True, "quote": "\"", "escape": "\"", "encoding": "UTF-8"}
+# Only on reading: an unquoted empty field is null, a quoted one is an empty text.
+CSV_READ = CSV_OPTIONS | {"nullValue": "\\N"}
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**CSV_OPTIONS).schema(PHRASES).csv(path)
+    return spark.read.options(**CSV_READ).schema(PHRASES).csv(path)
 
 
 def read_chat_export(spark: SparkSession, path: str, schema: T.StructType = CHATS) -> DataFrame:
     """A full chat export. Quoted fields may hold line breaks."""
-    return spark.read.options(**CSV_OPTIONS, multiLine=True).schema(schema).csv(path)
+    return spark.read.options(**CSV_READ, multiLine=True).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
