@@ -33,9 +33,8 @@ def argmax(scores: Column) -> Column:
 
 def label_of(index: Column, labels: Sequence[str] = SENTIMENTS) -> Column:
     """Name of a class index; an index outside the classes has an empty name."""
-    inside = (index >= 0) & (index < len(labels))
     names = F.array(*[F.lit(label) for label in labels])
-    return F.when(inside, F.try_element_at(names, (index + 1).cast("int"))).otherwise(F.lit(""))
+    return F.coalesce(F.get(names, index), F.lit(""))
 
 
 def best_label(scores: Column, labels: Sequence[str] = SENTIMENTS) -> Column:

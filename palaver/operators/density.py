@@ -31,15 +31,16 @@ def density(
     number = F.col(value).cast("double")
     if round_to is not None:
         number = F.round(number, round_to)
+    labels = F.array(*[F.lit(label) for label in SENTIMENTS])
     weighted = (
         df.where(F.col("Sentiment").isin(list(SENTIMENTS)))
-        .select("Sentiment", number.alias("v"))
+        .select(F.array_position(labels, F.col("Sentiment")).cast("int").alias("c"), number.alias("v"))
         .where(F.col("v").isNotNull())
-        .groupBy("Sentiment", "v")
+        .groupBy("c", "v")
         .agg(F.count("*").alias("w"))
     )
     # At most one row per class on this side, so its broadcast is bounded.
-    means = weighted.groupBy("Sentiment").agg(
+    means = weighted.groupBy("c").agg(
         F.sum("w").alias("n"),
         (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"),
         F.min("v").alias("lo"),
@@ -47,23 +48,34 @@ def density(
     )
     spread = F.sum(F.col("w") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")))
     classes = (
-        weighted.join(F.broadcast(means), "Sentiment")
-        .groupBy("Sentiment", "n", "lo", "hi")
+        weighted.join(F.broadcast(means), "c")
+        .groupBy("c", "n", "lo", "hi")
         .agg(spread.alias("ss"))
         .where((F.col("n") > 1) & (F.col("ss") > 0))
         .withColumn("h", F.sqrt(F.col("ss") / (F.col("n") - 1)) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+        .withColumn("start", F.col("lo") - F.lit(cut) * F.col("h"))
+        .withColumn("width", F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h"))
+        .select("c", "n", "h", "start", "width")
     )
-    start = F.col("lo") - F.lit(cut) * F.col("h")
-    width = F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h")
-    x = start + F.col("i") * width / F.lit(float(points - 1 if closed else points))
+    # Few bytes that turn into many kernel values: dealt out by number, as by size it were one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col("start") + F.col("i") * F.col("width") / F.lit(float(points - 1 if closed else points))
     z = (x - F.col("v")) / F.col("h")
-    kernel = F.col("w") * F.exp(F.lit(-0.5) * z * z)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    return (
-        weighted.join(F.broadcast(classes), "Sentiment")
+    sums = (
+        weighted.repartition(tasks)
+        .join(F.broadcast(classes), "c")
         .withColumn("i", grid)
-        .groupBy("Sentiment", "i", x.alias("x"), "n", "h")
-        .agg(F.sum(kernel).alias("s"))
-        .select("Sentiment", "i", "x", (F.col("s") / (F.col("n") * F.col("h") * F.lit(sqrt(2 * pi)))).alias("density"))
+        .groupBy("c", "i")
+        .agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
+    )
+    return (
+        sums.join(F.broadcast(classes), "c")
+        .select(
+            F.element_at(labels, F.col("c")).alias("Sentiment"),
+            "i",
+            x.alias("x"),
+            (F.col("s") / (F.col("n") * F.col("h") * F.lit(sqrt(2 * pi)))).alias("density"),
+        )
         .orderBy("Sentiment", "i")
     )

@@ -37,13 +37,9 @@ class Lexicon:
     neutral_logit: float = 1.0
 
 
-def _spaced(text: Column) -> Column:
-    """Lower-case words between two blanks each, so that neighbours can both be matched."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z]+", "  "), F.lit(" "))
-
-
 def word_pattern(words: Sequence[str]) -> str:
-    return f" ({'|'.join(words)}) "
+    """Any of the words, with no letter a-z on either side."""
+    return f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"
 
 
 def with_scores(df: DataFrame, scores: Sequence[Column]) -> DataFrame:
@@ -53,12 +49,15 @@ def with_scores(df: DataFrame, scores: Sequence[Column]) -> DataFrame:
 
 
 def lexicon_logits(df: DataFrame, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:
-    words = df.withColumn("_words", _spaced(F.coalesce(F.col(text), F.lit(""))))
+    """Add the word counts per class: one scan of the text finds the few listed words in it."""
+    either = word_pattern([*lexicon.negative, *lexicon.positive])
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(either), F.lit(0))
 
     def count(listed: Sequence[str]) -> Column:
-        return F.regexp_count(F.col("_words"), F.lit(word_pattern(listed))).cast("double")
+        return F.size(F.filter("_found", lambda word: word.isin(list(listed)))).cast("double")
 
-    return words.withColumns({"_neg": count(lexicon.negative), "_pos": count(lexicon.positive)}).drop("_words")
+    counts = {"_neg": count(lexicon.negative), "_pos": count(lexicon.positive)}
+    return df.withColumn("_found", found).withColumns(counts).drop("_found")
 
 
 def score_by_lexicon(df: DataFrame, text: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:
@@ -103,9 +102,9 @@ def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
     """The lexicon as a batch scorer, vectorised over the batch."""
 
     def score(texts: list[str]) -> np.ndarray:
-        words = " " + pd.Series(texts, dtype="object").str.lower().str.replace("[^a-z]+", "  ", regex=True) + " "
+        lower = pd.Series(texts, dtype="object").str.lower()
         negative, positive = (
-            words.str.count(word_pattern(listed)).to_numpy(float) for listed in (lexicon.negative, lexicon.positive)
+            lower.str.count(word_pattern(listed)).to_numpy(float) for listed in (lexicon.negative, lexicon.positive)
         )
         logits = np.column_stack([negative, np.full(len(texts), lexicon.neutral_logit), positive])
         powers = np.exp(logits - logits.max(axis=1, keepdims=True))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from palaver.functions import text as patterns
-from palaver.operators.scoring import Lexicon, word_pattern
+from palaver.operators.scoring import Lexicon
 from palaver.schemas import EMAIL_MASK, PHONE_MASK, URL_MASK
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,10 @@ def round_hour_sql(ts: str) -> str:
 
 
 def hits_sql(text: str, words: tuple[str, ...]) -> str:
+    """How often the words occur. Every word gets two blanks around it, so neighbours both match."""
     spaced = f"' ' || regexp_replace(lower({text}), '[^a-z]+', '  ', 'g') || ' '"
-    return f"CAST(len(regexp_extract_all({spaced}, {literal(word_pattern(words))})) AS DOUBLE)"
+    listed = "|".join(words)
+    return f"CAST(len(regexp_extract_all({spaced}, {literal(f' ({listed}) ')})) AS DOUBLE)"
 
 
 def scores_sql(source: str, text: str) -> str:

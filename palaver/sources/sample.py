@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.functions.scores import best_label
 from palaver.operators.extract import chats_with_profile
 from palaver.operators.quality import impute
 from palaver.operators.transcripts import ordered_concat
@@ -70,16 +69,10 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats_of(table(spark, sf_dir, "events"))
 
 
-def mood_scores(mood) -> list:
-    """Stand-in class scores for chats that have no transcript."""
-    share = mood / 100.0
-    return [(1 - share) * (1 - share), 2 * share * (1 - share), share * share]
-
-
 def fact_of(chat_rows: DataFrame, profile_rows: DataFrame) -> DataFrame:
-    """Dashboard fact rows; the sentiment is a stand-in, see `mood_scores`."""
+    """Dashboard fact rows; the sentiment is a stand-in, by mood thirds."""
     joined = impute(chats_with_profile(chat_rows, profile_rows, keep=("mood",)))
-    negative, neutral, positive = mood_scores(F.col("mood"))
+    mood = F.col("mood")
     return joined.select(
         F.col("ID").alias("ChatID"),
         "UserID",
@@ -91,7 +84,7 @@ def fact_of(chat_rows: DataFrame, profile_rows: DataFrame) -> DataFrame:
         "CountryGroup1",
         "ChatType",
         "AgentDisplayName",
-        best_label(F.array(negative, neutral, positive)).alias("Sentiment"),
+        F.when(mood <= 33, "Negative").when(mood <= 66, "Neutral").otherwise("Positive").alias("Sentiment"),
     )
 
 
