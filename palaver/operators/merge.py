@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from palaver.operators.skew import salted_join
 from palaver.schemas import FACT_TABLE, SENTIMENTS
 
+MAX_PROBE_ROWS = 1_000_000
+MAX_PROBE_BYTES = 32 << 20
+
 
 def _all(columns: Sequence[Column]) -> Column:
     return reduce(Column.__and__, columns)
@@ -32,17 +35,37 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     return kept.select(*keys, "_row.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _broadcastable(keys: DataFrame) -> bool:
+    """Whether a key frame is small enough to send to every executor; counts it and its bytes."""
+    size = F.sum(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in keys.columns])))
+    rows, size = keys.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows <= MAX_PROBE_ROWS and size <= MAX_PROBE_BYTES
+
+
+def _known_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], probe: bool) -> DataFrame:
+    known = target.select(*keys).where(_have_keys(target, keys))
+    if probe:
+        wanted = source.select(*keys).where(_have_keys(source, keys)).distinct()
+        if _broadcastable(wanted):
+            known = known.join(F.broadcast(wanted), list(keys), "left_semi")
+    return known.distinct()
+
+
 def rows_to_insert(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str]
+    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str], probe: bool = False
 ) -> DataFrame:
     """Source rows that an insert-only merge adds to the target.
 
     A key already in the target is skipped, a key repeated in the source goes in once. A row with
     a null in its key matches nothing: it is always added, and takes no part in any shuffle.
     Source and target keys are partitioned alike, so the anti join adds no shuffle of its own.
+
+    `probe` is for a stored source much smaller than the target. It measures the source's keys
+    and, if they are within fixed bounds, broadcasts them to thin out the target where it is
+    scanned: of a large target only the keys in question are then shuffled.
     """
     keyed = first_per_key(source.where(_have_keys(source, keys)), keys, order_by)
-    known = target.select(*keys).where(_have_keys(target, keys)).distinct()
+    known = _known_keys(source, target, keys, probe)
     unkeyed = source.where(~_have_keys(source, keys))
     return keyed.join(known, list(keys), "left_anti").select(*source.columns).unionByName(unkeyed)
 

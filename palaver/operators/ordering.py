@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from palaver.operators.filters import support_chats
 from palaver.session import checkpointed
 
+ROWS_PER_RANGE = 1_000_000
+
 
 def first_rows(df: DataFrame, n: int = 500) -> DataFrame:
     """The first n chats by time: a top-n per task, then a merge of those."""
@@ -29,10 +31,9 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], partitions: int |
 
     Rows are split into ranges of the order, numbered within each range, and shifted by the rows
     in the ranges before. The ranges are pinned by a checkpoint: they come from a sample, and
-    counts and rows must see the same ones.
+    counts and rows must see the same ones. There are as many as the row count calls for.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or 1 + df.count() // ROWS_PER_RANGE
     ranged = checkpointed(df.repartitionByRange(n, *order_by).withColumn("_range", F.spark_partition_id()))
     # One row per range on this side: at most `n`.
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
@@ -47,14 +48,15 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], partitions: int |
     )
 
 
-def fixed_batches(df: DataFrame, size: int, order_by: Sequence[str]) -> DataFrame:
+def fixed_batches(df: DataFrame, size: int, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Add `batch`: rows in order, `size` to a batch, the last one may be short."""
-    return with_global_index(df, order_by).withColumn("batch", F.floor(F.col("row_index") / size)).drop("row_index")
+    indexed = with_global_index(df, order_by, partitions)
+    return indexed.withColumn("batch", F.floor(F.col("row_index") / size)).drop("row_index")
 
 
-def near_equal_parts(df: DataFrame, parts: int, order_by: Sequence[str]) -> DataFrame:
+def near_equal_parts(df: DataFrame, parts: int, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Add `part`: rows in order, in parts whose sizes differ by one at most, larger ones first."""
-    indexed = with_global_index(df, order_by)
+    indexed = with_global_index(df, order_by, partitions)
     total = indexed.agg(F.count("*")).scalar()
     small = F.floor(total / parts)
     larger = total - small * parts

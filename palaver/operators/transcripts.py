@@ -194,3 +194,23 @@ def shape_chats(
         return kept.where(F.size("_kept") > 0).select(*others, joined_texts(F.col("_kept")).alias("text"), html)
     texts = visitor_text_by_key(explode_messages(parsed), phrases).withColumnRenamed("Key", "ID")
     return parsed.select(*others, html).join(texts, "ID").select(*others, "text", "html_text")
+
+
+def transcript_census(chats: DataFrame, phrases: DataFrame, dialect: str = "auto") -> DataFrame:
+    """(outcome, chats): how many chats shaping keeps, and why it drops the others."""
+    parsed = parse_transcripts(chats, dialect=dialect)
+    listed = inline_phrases(phrases)
+    if listed is not None:
+        says_something = F.size(visitor_messages(F.col("transcript"), listed)) > 0
+    else:
+        texts = visitor_text_by_key(explode_messages(complete_transcripts(parsed)), phrases)
+        parsed = parsed.join(texts.select(F.col("Key").alias("ID"), F.lit(True).alias("_says")), "ID", "left")
+        says_something = F.col("_says").isNotNull()
+    complete = F.coalesce(F.col("Messages").endswith("}]"), F.lit(False))
+    outcome = (
+        F.when(~complete, "cut off")
+        .when(F.col("transcript").isNull(), "unreadable")
+        .when(says_something, "kept")
+        .otherwise("only listed phrases")
+    )
+    return parsed.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("chats"))

@@ -394,6 +394,15 @@ def union_unlike(spark: SparkSession, sf: str) -> DataFrame:
     return visitors.unionByName(others, allowMissingColumns=True)
 
 
+@query(
+    "transcript_census",
+    """SELECT CASE WHEN v.Key IS NULL THEN 'only listed phrases' ELSE 'kept' END AS outcome, count(*) AS chats
+       FROM html_v h LEFT JOIN visitor_v v USING (Key) GROUP BY 1""",
+)
+def transcript_census(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.transcript_census(sample.transcripts(spark, sf), sample.phrases(spark, sf))
+
+
 SHAPED = ("ID", "UserID", "Date", "ChatType", "text", "html_text")
 
 

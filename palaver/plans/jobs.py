@@ -55,7 +55,7 @@ def load_facts(facts: DataFrame, path: str, target: DataFrame | None) -> None:
     """
     if target is None:
         target = facts.limit(0)
-    append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"]), path)
+    append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"], probe=True), path)
 
 
 def run_load(

@@ -19,7 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the Python call site of every column costs more than planning most queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -28,10 +28,11 @@ def stream_merge(
     """
 
     def load(rows: DataFrame, batch: int) -> None:
-        facts = to_facts(rows)
+        facts = to_facts(rows).persist()  # one micro-batch, read for its keys and for its rows
         stored = rows.sparkSession.read.parquet(table)
         target = stored.where(F.col("batch") != batch).select(*facts.columns)
-        write_batch(rows_to_insert(facts, target, list(keys), list(order_by)), table, batch)
+        write_batch(rows_to_insert(facts, target, list(keys), list(order_by), probe=True), table, batch)
+        facts.unpersist()
 
     return (
         chats.writeStream.foreachBatch(load)

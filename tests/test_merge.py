@@ -35,6 +35,19 @@ def test_insert_only_merge(spark):
     assert rows(new) == sorted(expected, key=repr)
 
 
+def test_probed_target_gives_the_same_rows(spark, monkeypatch):
+    target = frame(spark, *[(n, str(n), 1, "old") for n in range(50)], (None, "n", 1, "old"))
+    source = frame(spark, (1, "1", 2, "skip"), (99, "new", 2, "x"), (99, "new", 3, "y"), (None, "n", 2, "z"))
+    probed = merge.rows_to_insert(source, target, KEYS, ["Date"], probe=True)
+    expected = sorted([(99, "new", 2, "x"), (None, "n", 2, "z")], key=repr)
+    assert rows(probed) == expected
+    assert "LeftSemi" in probed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(merge, "MAX_PROBE_ROWS", 1)  # too many keys: no broadcast
+    unprobed = merge.rows_to_insert(source, target, KEYS, ["Date"], probe=True)
+    assert rows(unprobed) == expected
+    assert "LeftSemi" not in unprobed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_second_run_adds_only_null_keys(spark):
     source = frame(spark, (1, "a", 1, "x"), (1, "b", 1, "y"), (None, "c", 1, "z"))
     once = merge.insert_only_merge(source, frame(spark).limit(0), KEYS, ["Date"])

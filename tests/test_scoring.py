@@ -83,11 +83,11 @@ def test_classifier_learns(spark):
 
 def test_global_index_batches_and_parts(spark):
     df = spark.range(1003).select((F.lit(2000) - F.col("id")).alias("v"))
-    index = [r.v for r in with_global_index(df, ["v"]).orderBy("row_index").collect()]
+    index = [r.v for r in with_global_index(df, ["v"], 5).orderBy("row_index").collect()]
     assert index == sorted(index) and len(index) == 1003
-    sizes = {r.batch: r["count"] for r in fixed_batches(df, 100, ["v"]).groupBy("batch").count().collect()}
+    sizes = {r.batch: r["count"] for r in fixed_batches(df, 100, ["v"], 5).groupBy("batch").count().collect()}
     assert sizes == {n: 100 for n in range(10)} | {10: 3}
-    parts = near_equal_parts(df, 4, ["v"]).groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("lo"))
+    parts = near_equal_parts(df, 4, ["v"], 5).groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("lo"))
     found = [(r.part, r.n, r.lo) for r in parts.orderBy("part").collect()]
     expected = [(n, len(a), a[0]) for n, a in enumerate(np.array_split(np.array(index), 4))]
     assert found == expected

@@ -1,6 +1,9 @@
 import json
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from palaver.operators import transcripts as tr
@@ -140,3 +143,20 @@ def test_salted_join_is_a_plain_join_when_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert counts == {(0, "zero", 667), (1, "one", 667), (2, None, 666)}
     assert rest == 666
+
+
+@pytest.mark.parametrize("inline", [True, False])
+def test_census_names_every_outcome(spark, monkeypatch, inline):
+    if not inline:
+        monkeypatch.setattr(tr, "MAX_INLINE_PHRASES", 2)
+    talks = [str(t) for t in TALKS] + [str(TALKS[0])[:-3], None, "[]", "[{'text': undefined}]"]
+    listed = spark.createDataFrame([(p,) for p in PHRASES], "FilterMessages string")
+    counts = {r.outcome: r.chats for r in tr.transcript_census(chats(spark, *talks), listed).collect()}
+    assert counts == {"kept": 2, "only listed phrases": 2, "cut off": 3, "unreadable": 1}
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    payload = cloudpickle.dumps(tr._convert)
+    code = "import pickle, sys; print(pickle.load(sys.stdin.buffer)('[None, True]'))"
+    done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd=tmp_path, check=True)
+    assert done.stdout.decode().strip() == "[null, true]"
