@@ -20,8 +20,11 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def per_hour(df: DataFrame, *dimensions: str) -> DataFrame:
     """Chats per rounded hour and, if given, per further dimension."""
-    hourly = df.select(round_hour(F.col("Date")).alias("Date"), *dimensions)
-    return count_by(hourly, "Date", *dimensions)
+    # Nulls are sorted out before rounding, or each row would be rounded for the filter as well.
+    hourly = df.where(F.col("Date").isNotNull()).select(round_hour(F.col("Date")).alias("Date"), *dimensions)
+    for dimension in dimensions:
+        hourly = hourly.where(F.col(dimension).isNotNull())
+    return hourly.groupBy("Date", *dimensions).agg(F.count("*").alias("chats")).orderBy("Date", *dimensions)
 
 
 def vip_by_sentiment(df: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def started_within(chats: DataFrame, as_of: Column | str | None = None, days: in
     return chats.where(F.col("started") > days_before(_moment(as_of), days))
 
 
-def max_loaded(fact: DataFrame) -> Column:
-    """Newest loaded chat time, as a scalar subquery."""
-    return fact.select(F.max("Date")).scalar()
+def max_loaded(fact: DataFrame) -> DataFrame:
+    """Newest loaded chat time, one row."""
+    return fact.agg(F.max("Date").alias("max_date"))
 
 
 def not_yet_loaded(
@@ -71,13 +71,14 @@ def not_yet_loaded(
     """Chats later than anything loaded; with an empty fact table, those of the last `days` days.
 
     `mode="day"` compares whole days: what is left of the day of the newest loaded chat is then
-    not taken. Both modes compare the bare column with one value, so scans can skip row groups.
+    not taken. Either way the bare column is compared with one scalar subquery, whose value the
+    scan of the chats gets at run time to skip row groups.
     """
-    newest = F.coalesce(max_loaded(fact), days_before(_moment(as_of), days))
+    newest = F.coalesce(F.col("max_date"), days_before(_moment(as_of), days))
     if mode == "timestamp":
-        return chats.where(F.col("started") > newest)
+        return chats.where(F.col("started") > max_loaded(fact).select(newest).scalar())
     if mode == "day":
-        return chats.where(F.col("started") >= midnight_after(newest))
+        return chats.where(F.col("started") >= max_loaded(fact).select(midnight_after(newest)).scalar())
     raise ValueError(f"unknown mode {mode!r}")
 
 

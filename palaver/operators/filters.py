@@ -75,7 +75,7 @@ class ChatFilter:
         return df.where(self.predicate())
 
 
-# Trailing ranges as (unit, amount) back from the newest chat.
+# Trailing ranges, back from the newest chat.
 RANGE_PRESETS = {
     "7d": "INTERVAL '7' DAY",
     "1m": "INTERVAL '1' MONTH",
@@ -88,12 +88,12 @@ def trailing_range(df: DataFrame, preset: str) -> DataFrame:
     """Chats within a preset range that ends at the newest chat."""
     if preset == "all":
         return df
-    newest = df.select(F.max("Date")).scalar()
+    newest = df.agg(F.max("Date").alias("newest"))
     if preset == "ytd":
-        start = F.trunc(F.to_date(newest), "year").cast("timestamp_ntz")
+        start = F.trunc(F.to_date("newest"), "year").cast("timestamp_ntz")
     else:
-        start = newest - F.expr(RANGE_PRESETS[preset])
-    return df.where(F.col("Date") >= start)
+        start = F.col("newest") - F.expr(RANGE_PRESETS[preset])
+    return df.where(F.col("Date") >= newest.select(start).scalar())
 
 
 def support_chats(df: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def incremental_first_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("max_loaded", "SELECT max(Date) AS max_date FROM fact_v")
 def max_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.fact(spark, sf).agg(F.max("Date").alias("max_date"))
+    return extract.max_loaded(sample.fact(spark, sf))
 
 
 @query(
@@ -323,7 +323,13 @@ def density_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     complete = tr.complete_transcripts(sample.transcripts(spark, sf))
-    return tr.parse_transcripts(complete)
+    return tr.parse_transcripts(complete, dialect="json")
+
+
+@query("parse_literals", "SELECT Key, pos, user_type, date, text FROM turns_v")
+def parse_literals(spark: SparkSession, sf: str) -> DataFrame:
+    complete = tr.complete_transcripts(sample.literal_transcripts(spark, sf))
+    return tr.explode_messages(tr.parse_transcripts(complete)).drop("author_name", "agent_id")
 
 
 @query("explode_messages", "SELECT Key, pos, author_name, user_type, date, text FROM turns_v")
@@ -877,6 +883,17 @@ def export_messages(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_chat_export(spark, path, messages.schema)
 
 
+@query(
+    "export_top_messages",
+    "SELECT text, count(*) AS messages FROM turns_v GROUP BY text ORDER BY messages DESC, text LIMIT 1000",
+)
+def export_top_messages(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "counts-csv")
+    counts = tr.top_messages(sample.turns(spark, sf), 1000)
+    sinks.write_csv(counts, path)
+    return files.read_chat_export(spark, path, counts.schema)
+
+
 # --- search and details -------------------------------------------------------------------------
 
 def _serving(spark: SparkSession, sf: str) -> DataFrame:

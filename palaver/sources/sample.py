@@ -105,16 +105,33 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ID, Messages): each conversation as one transcript string."""
-    message = F.to_json(F.struct("author_name", "user_type", "date", "text"))
-    rows = turns(spark, sf_dir).select("Key", "pos", message.alias("message"))
-    joined = ordered_concat(rows, ["Key"], "pos", "message", separator=",")
+def _joined_transcripts(messages: DataFrame) -> DataFrame:
+    joined = ordered_concat(messages, ["Key"], "pos", "message", separator=",")
     return joined.select(
         F.col("Key").alias("ID"), F.concat(F.lit("["), F.col("message"), F.lit("]")).alias("Messages")
     )
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ID, Messages): each conversation as one JSON transcript."""
+    message = F.to_json(F.struct("author_name", "user_type", "date", "text"))
+    return _joined_transcripts(turns(spark, sf_dir).select("Key", "pos", message.alias("message")))
+
+
+def literal_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as Python literals that are not JSON: the authors are `None`."""
+    text = F.to_json(F.struct("text"))
+    message = F.concat(
+        F.lit("{'author_name': None, 'user_type': '"),
+        F.col("user_type"),
+        F.lit("', 'date': '"),
+        F.col("date"),
+        F.lit("', "),
+        F.substring(text, 2, 1 << 30),
+    )
+    return _joined_transcripts(turns(spark, sf_dir).select("Key", "pos", message.alias("message")))
+
+
 def chats_with_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chats that have a conversation, with their transcripts."""
     return chats(spark, sf_dir).drop("Messages").join(transcripts(spark, sf_dir), "ID")

@@ -8,6 +8,7 @@ from palaver.operators.dashboard import bounds, count_by, options, vip_pivot
 from palaver.operators.filters import ChatFilter, trailing_range
 from palaver.operators.search import as_field_rows, chat_details, display_names, hit_count, search_results
 from palaver.schemas import AGENT_COLUMN, CHATS, DISPLAY_NAMES, FACT, PROFILE
+from palaver.sources import sample
 
 
 def fact(spark, *rows):
@@ -157,3 +158,9 @@ def test_new_users_and_window(spark):
     assert sorted(r.ID for r in extract.new_users(rows, fact(spark, {})).collect()) == ["a", "c"]
     assert extract.started_within(rows, "2024-01-11 00:00:00").count() == 0  # strictly later
     assert extract.started_within(rows, F.lit("2024-01-10 23:59:59").cast("timestamp_ntz")).count() == 3
+
+
+def test_newest_loaded_is_pushed_to_the_scan(spark, sf_dir):
+    rows = extract.not_yet_loaded(sample.chats(spark, sf_dir), fact(spark, {}), "2024-01-31 00:00:00")
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    assert "GreaterThan(ts,ScalarSubquery" in plan
