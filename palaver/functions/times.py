@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def round_hour(ts: Column) -> Column:
     """Nearest full hour; an exact half goes to the even hour.
 
-    Works on the clock fields, in whole microseconds, so the session zone has no say.
+    Works on the clock fields, so the session zone has no say. Seconds with their fraction, a
+    decimal, are only looked at within the thirtieth minute.
     """
-    minute, second = F.minute(ts), F.extract(F.lit("SECOND"), ts)
-    into_hour = minute.cast("long") * 60_000_000 + (second * 1_000_000).cast("long")
-    floor = ts - F.make_dt_interval(F.lit(0), F.lit(0), minute, second)
-    half = F.lit(1_800_000_000)
-    up = (into_hour > half) | ((into_hour == half) & (F.hour(ts) % 2 == 1))
-    return F.when(up, floor + F.expr("INTERVAL '1' HOUR")).otherwise(floor)
+    hour, minute = F.hour(ts), F.minute(ts)
+    past_half = (F.extract(F.lit("SECOND"), ts) > 0) | (hour % 2 == 1)
+    up = (minute > 30) | ((minute == 30) & past_half)
+    hours = F.when(up, hour + 1).otherwise(hour)
+    return F.to_date(ts).cast("timestamp_ntz") + F.expr("INTERVAL '1' HOUR") * hours
 
 
 def days_before(as_of: Column, days: int) -> Column:

@@ -30,6 +30,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     very many copies sends one row per task.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     order = F.struct(*order_by, F.xxhash64(*keys, *rest))
     kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return kept.select(*keys, "_row.*").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -144,7 +144,9 @@ def train_classifier(labelled: DataFrame, features: int = 1 << 12, iterations: i
     stages = [
         RegexTokenizer(inputCol="text", outputCol="_tokens", pattern="[^\\p{L}]+", minTokenLength=2),
         HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=features),
-        LogisticRegression(featuresCol="_features", labelCol="label", maxIter=iterations, regParam=0.01, family="multinomial"),
+        LogisticRegression(
+            featuresCol="_features", labelCol="label", maxIter=iterations, regParam=0.01, family="multinomial"
+        ),
     ]
     return Pipeline(stages=stages).fit(labelled)
 

@@ -109,7 +109,8 @@ def max_loaded(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "new_users",
     f"""SELECT ID, UserID FROM chats_v ch
-        WHERE NOT EXISTS (SELECT 1 FROM fact_v f WHERE f.UserID = ch.UserID AND f.Date < TIMESTAMP '2024-01-01 12:00:00')""",
+        WHERE NOT EXISTS (SELECT 1 FROM fact_v f
+          WHERE f.UserID = ch.UserID AND f.Date < TIMESTAMP '2024-01-01 12:00:00')""",
 )
 def new_users(spark: SparkSession, sf: str) -> DataFrame:
     early = sample.fact(spark, sf).where(F.col("Date") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))

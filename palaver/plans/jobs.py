@@ -16,7 +16,7 @@ from palaver.operators.quality import impute, repeated_keys, require_no_nulls
 from palaver.operators.scoring import score_by_lexicon
 from palaver.operators.transcripts import shape_chats
 from palaver.schemas import FACT
-from palaver.sources.sinks import append, write_stage
+from palaver.sources.sinks import append, write_bucketed, write_stage
 
 MERGE_KEYS = ["UserID", "ChatID"]
 
@@ -58,6 +58,18 @@ def load_facts(facts: DataFrame, path: str, target: DataFrame | None) -> None:
     append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"], probe=True), path)
 
 
+def load_bucketed_facts(facts: DataFrame, table: str, buckets: int) -> None:
+    """The same load into a catalogue table bucketed by the merge keys, which it creates if missing.
+
+    Only the batch is shuffled, whatever the size of the table.
+    """
+    spark = facts.sparkSession
+    exists = spark.catalog.tableExists(table)
+    target = spark.table(table) if exists else facts.limit(0)
+    new = rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"])
+    write_bucketed(new, table, buckets, *MERGE_KEYS, mode="append" if exists else "overwrite")
+
+
 def run_load(
     spark: SparkSession,
     chats: DataFrame,

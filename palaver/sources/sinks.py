@@ -52,7 +52,8 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
     """Load rows into a table partitioned by `TransactionDateID`.
 
     The partition of the newest date among the rows is replaced, rows of other dates are added.
-    On this load path a blank text is the null marker, so blanks are stored as null.
+    On this load path a blank text is the null marker, so blanks are stored as null. The rows are
+    read for their newest date and for both writes: pass a stored frame.
     """
     newest = rows.agg(F.max(date_column)).first()[0]
     if newest is None:
@@ -74,9 +75,20 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
         )
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> None:
-    """Store a table bucketed by its merge keys: the merge then reads it without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite") -> None:
+    """Store a table bucketed by its merge keys: the merge then reads it without a shuffle.
+
+    The rows are shuffled into the buckets first, so a load adds one file per bucket, not one per
+    task and bucket.
+    """
+    (
+        df.repartition(buckets, *keys)
+        .write.mode(mode)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .format("parquet")
+        .saveAsTable(table)
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -6,11 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palaver.operators.merge import rows_to_insert
 from palaver.sources.sinks import write_batch
 
+BATCH = T.StructField("batch", T.LongType())
+
 
 def stream_merge(
     chats: DataFrame,
@@ -29,7 +32,7 @@ def stream_merge(
 
     def load(rows: DataFrame, batch: int) -> None:
         facts = to_facts(rows).persist()  # one micro-batch, read for its keys and for its rows
-        stored = rows.sparkSession.read.parquet(table)
+        stored = rows.sparkSession.read.schema(T.StructType([*facts.schema.fields, BATCH])).parquet(table)
         target = stored.where(F.col("batch") != batch).select(*facts.columns)
         write_batch(rows_to_insert(facts, target, list(keys), list(order_by), probe=True), table, batch)
         facts.unpersist()

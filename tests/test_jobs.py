@@ -59,6 +59,20 @@ def test_load_twice(spark):
     assert sorted(r.RecordCount for r in spark.read.parquet(audit).collect()) == [2, 2]
 
 
+def test_bucketed_load_shuffles_the_batch_only(spark):
+    spark.sql("DROP TABLE IF EXISTS bucketed_facts")
+    first, second = (
+        jobs.scored_facts(jobs.shaped_chats(*tables(spark, *chats), days=None))
+        for chats in ((chat(1, "a"), chat(2, "b")), (chat(2, "changed"), chat(3, "c")))
+    )
+    try:
+        jobs.load_bucketed_facts(first, "bucketed_facts", 4)
+        jobs.load_bucketed_facts(second, "bucketed_facts", 4)
+        assert {r.ChatID: r.text for r in spark.table("bucketed_facts").collect()} == {"1": "a", "2": "b", "3": "c"}
+    finally:
+        spark.sql("DROP TABLE bucketed_facts")
+
+
 def test_null_rating_stops_the_load(spark):
     paths = [fresh_path(spark, name) for name in ("stage", "facts", "audit")]
     with pytest.raises(NullsFound, match="Rating"):
