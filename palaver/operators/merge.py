@@ -83,8 +83,8 @@ def merge_chats(source: DataFrame, target: DataFrame) -> DataFrame:
     return insert_only_merge(source, target, ["UserID", "ChatID"], ["Date"])
 
 
-def merge_nearest(source: DataFrame, target: DataFrame) -> DataFrame:
-    """New players with their nearest VIP players, at most one row per (player, rank)."""
+def new_nearest(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Rows to insert into the nearest-player table: at most one per (player, rank), the nearest."""
     named = source.select(
         F.col("UserID_newplayers").alias("UserID"),
         F.col("UserID_vip").alias("UserID_VIP"),
@@ -92,7 +92,11 @@ def merge_nearest(source: DataFrame, target: DataFrame) -> DataFrame:
         "Country",
         "RN",
     )
-    return insert_only_merge(named, target, ["UserID", "RN"], ["Distance"])
+    return rows_to_insert(named, target, ["UserID", "RN"], ["Distance", "UserID_VIP"])
+
+
+def merge_nearest(source: DataFrame, target: DataFrame) -> DataFrame:
+    return target.unionByName(new_nearest(source, target))
 
 
 def backfill_nulls(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.numbers import fill_gaps as fill
@@ -541,7 +541,8 @@ def best_class(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scores_by_label(spark: SparkSession, sf: str) -> DataFrame:
     maps = scoring.scores_by_label(_scored_documents(spark, sf), "doc_id")
-    return maps.select("doc_id", F.explode_outer("scores").alias("label", "score")).withColumn("score", F.round("score", 6))
+    scores = maps.select("doc_id", F.explode_outer("scores").alias("label", "score"))
+    return scores.withColumn("score", F.round("score", 6))
 
 
 @query("unpack_scores", DOC_SCORES_SQL)
@@ -765,25 +766,31 @@ def merge_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merge_nearest",
-    """SELECT user_id AS UserID, CAST(event_id AS BIGINT) AS UserID_VIP, value AS Distance, event_type AS Country, RN
-       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS INT) AS RN FROM events)""",
+    f"""SELECT user_id AS UserID, event_id AS UserID_VIP, value AS Distance, event_type AS Country, RN
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, RN
+                ORDER BY ts >= TIMESTAMP '{CUTOFF}', value, event_id) AS place
+              FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS RN FROM events))
+        WHERE place = 1""",
 )
 def merge_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id"))
-    nearest = sample.table(spark, sf, "events").select(
-        F.col("user_id").alias("UserID_newplayers"),
-        F.col("event_id").alias("UserID_vip"),
-        F.col("value").alias("distance"),
-        F.col("event_type").alias("Country"),
-        rank.alias("RN"),
-    )
-    loaded = merge.merge_nearest(nearest.where("RN <= 3"), merge_target(nearest))
-    return merge.merge_nearest(nearest, loaded)
-
-
-def merge_target(nearest: DataFrame) -> DataFrame:
-    """An empty nearest-player table."""
-    return nearest.sparkSession.createDataFrame([], NEAREST)
+    events = sample.table(spark, sf, "events")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("user_id").alias("UserID_newplayers"),
+            F.col("event_id").alias("UserID_vip"),
+            F.col("value").alias("distance"),
+            F.col("event_type").alias("Country"),
+            F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("RN"),
+        )
+
+    early = events.where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz"))
+    path = fresh_path(spark, "nearest")
+    sinks.create_table(spark, path, NEAREST)
+    for batch in (early, events):
+        stored = spark.read.schema(NEAREST).parquet(path)
+        sinks.append(merge.new_nearest(nearest(batch), stored), path)
+    return spark.read.schema(NEAREST).parquet(path)
 
 
 @query(
