@@ -61,5 +61,6 @@ def html_message(message: Column, mask: bool = False, escape: bool = False) -> C
         author, text = mask_pii(author), mask_pii(text)
     if escape:
         author, kind, date, text = map(escape_html, (author, kind, date, text))
+    # Fixed format: what transcript searches look into.
     header = F.concat(F.lit("<b>"), author, F.lit(" ("), kind, F.lit(") on "), date, F.lit("</b><br>"))
     return F.concat(header, text, F.lit("<br><br>"))

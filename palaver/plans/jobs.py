@@ -14,32 +14,40 @@ from palaver.operators.filters import ChatFilter
 from palaver.operators.merge import audit_row, rows_to_insert
 from palaver.operators.quality import impute, repeated_keys, require_no_nulls
 from palaver.operators.scoring import score_by_lexicon
-from palaver.operators.transcripts import shape_chats
+from palaver.operators.transcripts import (
+    complete_transcripts,
+    parse_transcripts,
+    parsed_and_quarantined,
+    shape_chats,
+)
 from palaver.schemas import FACT
 from palaver.sources.sinks import append, write_bucketed, write_stage
 
 MERGE_KEYS = ["UserID", "ChatID"]
 
 
-def shaped_chats(
+def windowed_chats(
     chats: DataFrame,
-    profile: DataFrame,
-    phrases: DataFrame,
     as_of: Column | str | None = None,
     days: int | None = 10,
     loaded: DataFrame | None = None,
-    dialect: str = "auto",
 ) -> DataFrame:
-    """Chats ready for scoring: recent (or not yet loaded) ones, with attributes and texts.
+    """Recent chats, or with `loaded` those not loaded yet; `days=None` takes all."""
+    if loaded is not None:
+        return not_yet_loaded(chats, loaded, as_of, days or 30)
+    return chats if days is None else started_within(chats, as_of, days)
+
+
+def shaped_chats(
+    chats: DataFrame, profile: DataFrame, phrases: DataFrame, dialect: str = "auto", **window: object
+) -> DataFrame:
+    """Chats ready for scoring: those of the window, with attributes and texts.
 
     The window is applied before the join, and the shaping after it is one narrow stage.
     `html_text` is masked here, message by message; `text` is masked after scoring.
     """
-    if loaded is not None:
-        chats = not_yet_loaded(chats, loaded, as_of, days or 30)
-    elif days is not None:
-        chats = started_within(chats, as_of, days)
-    return shape_chats(chats_with_profile(chats, profile), phrases, mask=True, dialect=dialect)
+    joined = chats_with_profile(windowed_chats(chats, **window), profile)
+    return shape_chats(joined, phrases, mask=True, dialect=dialect)
 
 
 def scored_facts(shaped: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon) -> DataFrame:
@@ -70,6 +78,17 @@ def load_bucketed_facts(facts: DataFrame, table: str, buckets: int) -> None:
     write_bucketed(new, table, buckets, *MERGE_KEYS, mode="append" if exists else "overwrite")
 
 
+def facts_of(
+    profile: DataFrame, phrases: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon
+) -> Callable[[DataFrame], DataFrame]:
+    """Chats to fact rows, for `stream_merge(chats, facts_of(...), ..., check=require_no_nulls)`."""
+
+    def to_facts(chats: DataFrame) -> DataFrame:
+        return scored_facts(shaped_chats(chats, profile, phrases, days=None), score)
+
+    return to_facts
+
+
 def run_load(
     spark: SparkSession,
     chats: DataFrame,
@@ -78,6 +97,7 @@ def run_load(
     stage: str,
     fact_path: str,
     audit_path: str,
+    quarantine_path: str | None = None,
     first_load: bool = False,
     score: Callable[[DataFrame], DataFrame] = score_by_lexicon,
     **window: object,
@@ -85,7 +105,8 @@ def run_load(
     """Extract, shape, score, stage, load, audit. Returns the stage run's name.
 
     The scored chats are staged once: gate, merge and audit all read that run, so the model is
-    not run again for each of them.
+    not run again for each of them. Chats with an unreadable transcript are added to the table
+    at `quarantine_path`, if one is given; they hold personal data as written.
     """
     if not repeated_keys(profile, "UserID").isEmpty():
         raise ValueError("profile has users with several rows: they would multiply chats")
@@ -94,6 +115,11 @@ def run_load(
     target = None if first_load else spark.read.schema(FACT).parquet(fact_path)
     load_facts(facts, fact_path, target)
     append(audit_row(facts, "chat sentiment", "predict", run), audit_path)
+    if quarantine_path is not None:
+        dialect = window.pop("dialect", "auto")
+        complete = complete_transcripts(windowed_chats(chats, **window))
+        _, unreadable = parsed_and_quarantined(parse_transcripts(complete, dialect=dialect))
+        append(unreadable.select("ID", "UserID", "started", "Messages"), quarantine_path)
     return run
 
 

@@ -22,20 +22,26 @@ def stream_merge(
     checkpoint: str,
     keys: Sequence[str] = ("UserID", "ChatID"),
     order_by: Sequence[str] = ("Date",),
+    check: Callable[[DataFrame], object] | None = None,
 ) -> StreamingQuery:
     """Merge a stream of chats into the fact table at `table`, which must exist.
 
     Each micro-batch writes its own `batch=` folder, and a batch that is retried replaces its
     folder and leaves its own rows out of the target it compares with. So a retry gives the same
-    table, also for rows with null keys, which a merge cannot recognise.
+    table, also for rows with null keys, which a merge cannot recognise. `check` sees the facts of
+    a micro-batch before they are merged and may raise.
     """
 
     def load(rows: DataFrame, batch: int) -> None:
-        facts = to_facts(rows).persist()  # one micro-batch, read for its keys and for its rows
-        stored = rows.sparkSession.read.schema(T.StructType([*facts.schema.fields, BATCH])).parquet(table)
-        target = stored.where(F.col("batch") != batch).select(*facts.columns)
-        write_batch(rows_to_insert(facts, target, list(keys), list(order_by), probe=True), table, batch)
-        facts.unpersist()
+        facts = to_facts(rows).persist()  # one micro-batch: checked, measured and written from here
+        try:
+            if check is not None:
+                check(facts)
+            stored = rows.sparkSession.read.schema(T.StructType([*facts.schema.fields, BATCH])).parquet(table)
+            target = stored.where(F.col("batch") != batch).select(*facts.columns)
+            write_batch(rows_to_insert(facts, target, list(keys), list(order_by), probe=True), table, batch)
+        finally:
+            facts.unpersist()
 
     return (
         chats.writeStream.foreachBatch(load)

@@ -149,6 +149,7 @@ def test_ranked_keeps_class_order_on_ties(spark):
 
 
 def test_very_positive(spark):
-    frame = spark.createDataFrame([("Positive", 0.8), ("Positive", 0.79), ("Neutral", 0.9), (None, 0.9)], "s string, p double")
+    rows = [("Positive", 0.8), ("Positive", 0.79), ("Neutral", 0.9), (None, 0.9)]
+    frame = spark.createDataFrame(rows, "s string, p double")
     flags = [r[0] for r in frame.select(scores.very_positive(F.col("s"), F.col("p"))).collect()]
     assert flags == [True, False, False, False]

@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from palaver.operators import merge
-from palaver.schemas import NEAREST
+from palaver.schemas import FACT, FACT_TABLE, NEAREST
 from palaver.session import fresh_path
 from palaver.sources import sinks
 
@@ -122,9 +122,8 @@ def test_bucketed_target_is_not_shuffled(spark):
 
 
 def test_fact_table_types(spark):
-    from palaver.schemas import FACT, FACT_TABLE
-
-    row = ("t", 5, datetime(2024, 1, 1), 3, "r", 1.25, "b", "c", "Support Chat", "77", "A", "h", 0.125, 0.2, 0.675, "Positive")
+    row = ("t", 5, datetime(2024, 1, 1), 3, "r", 1.25, "b", "c", "Support Chat", "77", "A", "h")
+    row += (0.125, 0.2, 0.675, "Positive")
     stored = merge.to_fact_table(spark.createDataFrame([row], FACT))
     assert [f.dataType for f in stored.schema] == [f.dataType for f in FACT_TABLE]
     first = stored.first()
@@ -132,7 +131,8 @@ def test_fact_table_types(spark):
 
 
 def test_audit_row(spark):
-    scored = spark.createDataFrame([(0.2, 0.3, 0.5), (0.4, 0.3, 0.3)], "Negative double, Neutral double, Positive double")
+    kinds = "Negative double, Neutral double, Positive double"
+    scored = spark.createDataFrame([(0.2, 0.3, 0.5), (0.4, 0.3, 0.3)], kinds)
     row = merge.audit_row(scored, "p", "predict", "note").first()
     assert (row.Stat1, row.Stat2, row.Stat3, row.RecordCount, row.Comments) == (0.3, 0.3, 0.4, 2, "note")
     assert merge.audit_row(scored.limit(0), "p", "train").first().RecordCount == 0

@@ -105,7 +105,8 @@ def gaussian(values, grid):
 def test_density_is_the_plain_kernel_sum(spark):
     rng = np.random.default_rng(3)
     values = np.round(rng.exponential(20, 300) * 60) / 60
-    rows = [(float(v), "Negative") for v in values] + [(4.0, "Neutral")] + [(5.0, "Positive")] * 3 + [(1.0, "Other")] * 2
+    rows = [(float(v), "Negative") for v in values]
+    rows += [(4.0, "Neutral")] + [(5.0, "Positive")] * 3 + [(1.0, "Other")] * 2
     df = spark.createDataFrame(rows, "DurationInMins double, Sentiment string")
     curve = density(df).collect()
     assert {r.Sentiment for r in curve} == {"Negative"}  # one row, or no spread: no curve
