@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, quality
+from palaver.llm import language, packing, quality, token_counts, wavelet
 from palaver.llm.common import remainder
+from palaver.session import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path)
+    return wavelet.read_documents(spark.read.parquet(path))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
+    "op6_wavelet_shards": op6_wavelet_shards,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {}
