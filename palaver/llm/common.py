@@ -8,9 +8,11 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.session import fresh_path
+
 CHUNK_BYTES = 2 << 20  # texts are worked on in runs of this many bytes; a longer text is a run of its own
 
 
@@ -19,6 +21,14 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % divisor
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again: later work neither repeats it nor needs its executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that outlives the task in a Python worker; functions shipped by value lose their globals."""
     module = sys.modules.setdefault("palaver_worker_state", types.ModuleType("palaver_worker_state"))

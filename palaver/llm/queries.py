@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, packing, quality, token_counts, wavelet
+from palaver.llm import language, packing, quality, simhash, token_counts, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -37,6 +37,10 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark.read.parquet(path))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op6_wavelet_shards": op6_wavelet_shards,
+    "op7_simhash": op7_simhash,
     "op10_packing": op10_packing,
 }
 
