@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, packing, quality, simhash, token_counts, wavelet
+from palaver.llm import chat, decontaminate, language, packing, quality, secrets, simhash, token_counts, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -31,6 +31,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PROBE = "</s>[INST] ok [/INST]"  # conversation -1 says it twice
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    return chat.read_chats(chat.format_chats(turns.union(probe)))
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-shards")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path)
@@ -41,6 +57,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.digest(findings)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,9 +70,77 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op5_chat_format": op5_chat_format,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_simhash": op7_simhash,
+    "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+# Lengths of the default template: an opening, the role and what follows it, the text, a closing.
+_HIDDEN = "length({0}) + length({0}) - length(translate({0}, '{1}', ''))"
+OP5_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+stepped AS (
+  SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS state FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.DEFAULT.opening + chat.DEFAULT.after_role + chat.DEFAULT.closing)}
+    + {_HIDDEN.format("role", "\\<[|")} + {_HIDDEN.format("text", "\\<[|")}) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (NOT (state || '>' || role IN
+    ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user'))) AS problems
+FROM stepped GROUP BY conv_id"""
+
+_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), "
+    f"'[^{decontaminate.BREAKS[1:]}+')"
+)
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS k, unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2)) AS p
+    FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, p, dw.k AS k, item_id FROM dw JOIN bw ON bw.k = dw.k AND bw.win = dw.win),
+spots AS (SELECT doc_id, count(DISTINCT s) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS s FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots ON spots.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+
+def _op9_sql() -> str:
+    matches = " UNION ALL ".join(
+        f"""
+  SELECT doc_id, {i} AS rank, '{rule.kind}' AS kind, generate_subscripts(g, 1) AS nth, unnest(g) AS gap, unnest(m) AS hit,
+    unnest(v) AS val, {rule.least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 1) AS g, regexp_extract_all(text, '{pattern}', 2) AS m,
+    regexp_extract_all(text, '{pattern}', {2 + rule.value}) AS v FROM t)"""
+        for i, rule in enumerate(secrets.RULES)
+        for pattern in [f"(?s)(.*?)({rule.pattern}|\\z)".replace("'", "''")]
+    )
+    listed = "string_agg(kind || ':' || (upto - length(hit)) || ':' || upto, ',' ORDER BY upto - length(hit), rank)"
+    counts = ", ".join(f"count(kind) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.BASE)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({matches}),
+s AS (
+  SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY nth) AS BIGINT) AS upto FROM m),
+good AS (SELECT * FROM s WHERE length(hit) > 0 AND length(val) >= least)
+SELECT t.doc_id AS doc_id, {counts},
+  sha256(coalesce({listed} FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM t LEFT JOIN good ON good.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
+SQL = {"op4_decontamination": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_secret_scan": _op9_sql()}
