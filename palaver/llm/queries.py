@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, packing, quality, secrets, simhash, token_counts, wavelet
+from palaver.llm import chat, decontaminate, language, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -57,6 +57,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = remainder("doc_id", toxicity.FOLDS)
+    letters = toxicity.fit_letters(docs)
+    model = toxicity.fit_toxic(docs, labels.filter(fold != toxicity.HELD_OUT), letters)
+    return toxicity.score_toxic(docs, letters, model).select(
+        "doc_id", F.coalesce(fold == toxicity.HELD_OUT, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
@@ -74,6 +85,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
