@@ -21,6 +21,22 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % divisor
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that `df` does not have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """Every column of `df`, whatever is in its name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: later work neither repeats it nor needs its executors."""
     spark = df.sparkSession

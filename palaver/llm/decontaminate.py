@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import settled
+from palaver.llm.common import all_of, settled, spare
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20  # benchmark windows broadcast at a time; a larger set is looked up in blocks
@@ -122,20 +122,25 @@ def remove(
     All columns stay; clean rows are unchanged. Only contaminated rows are matched with their
     hits; rows with equal key and text are alike.
     """
+    same_key, same_text, met, gone, marks, pieces = spare(docs, "_key", "_hash", "_hits", "_gone", "_marks", "_pieces")
     hits = find(docs, benchmark, key, text, item).filter(F.size("hits") > 0).select(
-        F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "hits"
-    ).dropDuplicates(["_key", "_hash"])
-    match = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
+        F.col(key).alias(same_key), F.col("text_hash").alias(same_text), F.col("hits").alias(met)
+    ).dropDuplicates([same_key, same_text])
+    match = F.col(key).eqNullSafe(F.col(same_key)) & (F.xxhash64(text) == F.col(same_text))
     if not spans:
         return docs.join(hits, match, "left_anti")
     # The text as a lead and one piece per word (the word and what follows it), so cutting words keeps the rest.
-    word = BREAKS.replace("[", "[^", 1).replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    # Here A-Z count as letters, as the text is not in lower case.
     gap = BREAKS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    word = gap.replace("[", "[^", 1)
     lead = F.regexp_extract(text, f"^{gap}*", 0)
-    pieces = F.regexp_extract_all(text, F.lit(f"({word}+{gap}*)"), F.lit(1))
-    marks = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda _: F.lit(True)))
-    kept = F.filter("_pieces", lambda _, i: ~F.map_contains_key("_marks", i))
-    joined = docs.join(hits, match, "left").withColumn("_gone", covered("hits")).withColumn("_marks", marks)
-    joined = joined.withColumn("_pieces", F.when(F.col("hits").isNotNull(), pieces))
-    cut = F.when(F.col("hits").isNotNull(), F.concat(lead, F.concat_ws("", kept))).otherwise(F.col(text))
-    return joined.withColumn(text, cut).select(*docs.columns)
+    cut = F.regexp_extract_all(text, F.lit(f"({word}+{gap}*)"), F.lit(1))
+    hit = F.col(met).isNotNull()
+    joined = (
+        docs.join(hits, match, "left")
+        .withColumn(gone, covered(met)).withColumn(pieces, F.when(hit, cut))
+        .withColumn(marks, F.map_from_arrays(F.col(gone), F.transform(gone, lambda _: F.lit(True))))
+    )
+    kept = F.filter(pieces, lambda _, i: ~F.map_contains_key(marks, i))
+    new = F.when(hit, F.concat(lead, F.concat_ws("", kept))).otherwise(F.col(text))
+    return joined.withColumn(text, new).select(*all_of(docs))

@@ -200,5 +200,6 @@ def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, text: str =
 
     The prediction is that of `identify`; rows pass through it, so keys need not be unique.
     """
-    at = docs.columns.index(text)
-    return docs.mapInArrow(lambda batches: _keep(batches, langs, table, at, least), docs.schema)
+    at, plain = docs.columns.index(text), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
+    kept = plain.mapInArrow(lambda batches: _keep(batches, langs, table, at, least), plain.schema)
+    return kept.toDF(*docs.columns)

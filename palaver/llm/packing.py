@@ -1,6 +1,6 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-Documents are cut into whole windows and a rest; rests are cut into pieces of bounded size. A
+Documents are cut into whole windows and a rest; rests into pieces of bounded size and a small one. A
 group of pieces is parted into windows of nearly equal length: every piece starts as a partial
 partition with one filled slot, and the two partitions with the largest imbalance are merged,
 largest slots of one with smallest slots of the other, until one is left. If a window then
@@ -24,7 +24,8 @@ from palaver.llm.token_counts import public_path
 MODEL = "word_bpe_49k.json"
 END = 1
 CAPACITY = 2048
-PIECE = 512  # the rest of a document is cut into pieces of at most this length
+PIECE = 1024  # the rest of a document is cut into pieces of at most this length
+SMALL = (16, 49)  # and one small piece, of 16 to 64 ids, which lets differencing even out the windows
 GROUP = 2048  # pieces that are parted together
 TEXT_RUN = 400
 
@@ -71,10 +72,12 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def cuts(length: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
-    """Lengths of a document's pieces: whole windows, then the rest in equal pieces of at most `piece`."""
+    """Lengths of a document's pieces: whole windows, equal pieces of at most `piece`, a small piece."""
     whole, rest = divmod(length, capacity)
+    small = min(rest, SMALL[0] + rest % SMALL[1])
+    rest -= small
     parts = -(-rest // piece)
-    return [capacity] * whole + [rest // parts + (k < rest % parts) for k in range(parts)]
+    return [capacity] * whole + [rest // parts + (k < rest % parts) for k in range(parts)] + [small] * (small > 0)
 
 
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import settled
+from palaver.llm.common import all_of, settled, spare
 
 REDACTED = "[SECRET]"
 
@@ -36,7 +36,7 @@ class Rule:
 # The first three kinds, in this order.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", value=2, least=12),
-    Rule("access", r"AKIA[A-Z0-9]+", least=18),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", least=18),
     Rule("hex", r"[0-9a-f]{16,}", least=16),
 )
 MORE = (
@@ -167,7 +167,8 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
     """`docs` with the secrets of every row replaced; rows without findings are unchanged, all columns stay."""
     new = settled(update_ledger(docs, ledger, text, rules), "secret-ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    flagged = blob_findings(whole, rules).select(F.col("blob").alias("_blob"))
+    named, blob = spare(docs, "_named", "_blob")
+    flagged = blob_findings(whole, rules).select(F.col("blob").alias(blob))
     # A value that is long enough may follow a shorter one that the scan dropped; it goes as well.
     clean = reduce(
         lambda column, rule: F.regexp_replace(
@@ -175,5 +176,5 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
         ),
         rules, F.col(text),
     )
-    joined = docs.withColumn("_named", blob_of(text)).join(flagged, F.col("_named") == F.col("_blob"), "left")
-    return joined.withColumn(text, F.when(F.col("_blob").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
+    joined = docs.withColumn(named, blob_of(text)).join(flagged, F.col(named) == F.col(blob), "left")
+    return joined.withColumn(text, F.when(F.col(blob).isNotNull(), clean).otherwise(F.col(text))).select(*all_of(docs))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import Words, settled, text_runs
+from palaver.llm.common import Words, all_of, settled, spare, text_runs
 from palaver.llm.components import components
 
 SHINGLE = 3
@@ -197,8 +197,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with the smallest key of their class (a null key last), one of each class, all columns."""
-    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rank = F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("_row").alias("_hash"))
-    chosen = classes(hashed, [key, "_row"], rank, text, size, radius).select("first._key", "first._hash").distinct()
-    kept = hashed.join(chosen, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([key, "_row"]).select(*docs.columns)
+    row, none, least, least_hash = spare(docs, "_row", "_none", "_key", "_hash")
+    hashable = [c for c, f in zip(all_of(docs), docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
+    hashed = docs.withColumn(row, F.xxhash64(*hashable))
+    rank = F.struct(F.col(key).isNull().alias(none), F.col(key).alias(least), F.col(row).alias(least_hash))
+    chosen = classes(hashed, [key, row], rank, text, size, radius).select(f"first.{least}", f"first.{least_hash}").distinct()
+    kept = hashed.join(chosen, F.col(key).eqNullSafe(F.col(least)) & (F.col(row) == F.col(least_hash)), "left_semi")
+    return kept.dropDuplicates([key, row]).select(*all_of(docs))
