@@ -31,11 +31,6 @@ def vip_by_sentiment(df: DataFrame) -> DataFrame:
     return count_by(df, "VIPLevel", "Sentiment")
 
 
-def sentiment_series(counts: DataFrame) -> dict[str, DataFrame]:
-    """One series per sentiment out of a count frame."""
-    return {label: counts.where(F.col("Sentiment") == label) for label in SENTIMENTS}
-
-
 def vip_pivot(df: DataFrame) -> DataFrame:
     """VIP level against sentiment; combinations without chats are 0."""
     table = df.where(F.col("VIPLevel").isNotNull()).groupBy("VIPLevel").pivot("Sentiment", list(SENTIMENTS))
@@ -86,15 +81,38 @@ def totals(df: DataFrame, filtered: DataFrame) -> DataFrame:
     return filtered.agg(F.count("*").alias("hits")).select(everything.alias("table_rows"), "hits")
 
 
+def hourly_charts(df: DataFrame) -> DataFrame:
+    """(chart, Date, value, chats): per hour, per hour and sentiment, per hour and country, in one pass.
+
+    The rows are counted once per (hour, sentiment, country); the three charts roll that up.
+    """
+    counted = (
+        df.where(F.col("Date").isNotNull())
+        .select(round_hour(F.col("Date")).alias("Date"), "Sentiment", "CountryGroup1")
+        .groupBy("Date", "Sentiment", "CountryGroup1").agg(F.count("*").alias("chats"))
+    )
+    views = F.explode(F.array(
+        F.struct(F.lit("per_hour").alias("chart"), F.lit(None).cast("string").alias("value")),
+        F.struct(F.lit("hour_sentiment").alias("chart"), F.col("Sentiment").alias("value")),
+        F.struct(F.lit("hour_country").alias("chart"), F.col("CountryGroup1").alias("value")),
+    ))
+    rows = counted.select("Date", "chats", views.alias("v")).select("v.chart", "Date", "v.value", "chats")
+    kept = rows.where((F.col("chart") == "per_hour") | F.col("value").isNotNull())
+    return kept.groupBy("chart", "Date", "value").agg(F.sum("chats").alias("chats"))
+
+
 def dashboard(df: DataFrame, density_points: int = 500) -> dict[str, DataFrame]:
-    """Every chart of the dashboard over one filtered frame."""
+    """Every chart of the dashboard over one filtered frame.
+
+    The three hourly charts are `hourly`, one frame from one pass; `vip_<sentiment>` are the series
+    of `vip_sentiment`.
+    """
     from palaver.operators.density import density
 
+    vip = vip_by_sentiment(df)
     return {
-        "per_hour": per_hour(df),
-        "hour_sentiment": per_hour(df, "Sentiment"),
-        "hour_country": per_hour(df, "CountryGroup1"),
-        "vip_sentiment": vip_by_sentiment(df),
+        "hourly": hourly_charts(df),
+        "vip_sentiment": vip,
+        **{f"vip_{label.lower()}": vip.where(F.col("Sentiment") == label) for label in SENTIMENTS},
         "density": density(df, points=density_points),
     }
-

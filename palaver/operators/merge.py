@@ -8,13 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.operators.skew import salted_join
 from palaver.schemas import FACT_TABLE, SENTIMENTS
 
-MAX_PROBE_ROWS = 1_000_000
-MAX_PROBE_BYTES = 32 << 20
-
-
 def _all(columns: Sequence[Column]) -> Column:
     return reduce(Column.__and__, columns)
 
@@ -37,39 +32,24 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     return kept.select(*keys, "_row.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _broadcastable(keys: DataFrame) -> bool:
-    """Whether a key frame is small enough to send to every executor; counts it and its bytes."""
-    size = F.sum(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in keys.columns])))
-    rows, size = keys.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return rows <= MAX_PROBE_ROWS and size <= MAX_PROBE_BYTES
-
-
-def _known_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], probe: bool) -> DataFrame:
-    known = target.select(*keys).where(_have_keys(target, keys))
-    if probe:
-        wanted = source.select(*keys).where(_have_keys(source, keys)).distinct()
-        if _broadcastable(wanted):
-            known = known.join(F.broadcast(wanted), list(keys), "left_semi")
-    return known.distinct()
-
-
 def rows_to_insert(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str], probe: bool = False
+    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str]
 ) -> DataFrame:
     """Source rows that an insert-only merge adds to the target.
 
     A key already in the target is skipped, a key repeated in the source goes in once. A row with
     a null in its key matches nothing: it is always added, and takes no part in any shuffle.
-    Source and target keys are partitioned alike, so the anti join adds no shuffle of its own.
 
-    `probe` is for a stored source much smaller than the target. It measures the source's keys
-    and, if they are within fixed bounds, broadcasts them to thin out the target where it is
-    scanned: of a large target only the keys in question are then shuffled.
+    Loaded rows go first, by an anti join with the target's bare keys, so only what is new is
+    reduced to one row per key; the reduction keeps the join's partitioning. A semi join of the
+    target with the batch's keys thins it out before: no hint, so AQE broadcasts the keys of a
+    small batch from their measured size, and a target bucketed by its keys is not shuffled.
     """
-    keyed = first_per_key(source.where(_have_keys(source, keys)), keys, order_by)
-    known = _known_keys(source, target, keys, probe)
-    unkeyed = source.where(~_have_keys(source, keys))
-    return keyed.join(known, list(keys), "left_anti").select(*source.columns).unionByName(unkeyed)
+    keyed, unkeyed = source.where(_have_keys(source, keys)), source.where(~_have_keys(source, keys))
+    known = target.select(*keys).where(_have_keys(target, keys))
+    known = known.join(keyed.select(*keys).distinct(), list(keys), "left_semi")
+    new = keyed.join(known, list(keys), "left_anti").select(*source.columns)
+    return first_per_key(new, keys, order_by).unionByName(unkeyed)
 
 
 def insert_only_merge(
@@ -79,10 +59,6 @@ def insert_only_merge(
     return target.unionByName(rows_to_insert(source, target, keys, order_by))
 
 
-def merge_chats(source: DataFrame, target: DataFrame) -> DataFrame:
-    return insert_only_merge(source, target, ["UserID", "ChatID"], ["Date"])
-
-
 def new_nearest(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows to insert into the nearest-player table: at most one per (player, rank), the nearest."""
     named = source.select(
@@ -104,14 +80,13 @@ def backfill_nulls(
 ) -> DataFrame:
     """Fill nulls of a column from the first non-null source value of the same key.
 
-    Only rows that need a value, and have a key, are joined; all others pass straight through.
+    One left join: the target is read once, AQE splits the partition of a key with very many rows.
+    A row with a null in its key meets nothing and stays as it is.
     """
     usable = source.where(_have_keys(source, keys) & F.col(column).isNotNull())
     first = usable.groupBy(*keys).agg(F.min_by(column, order_by).alias("_fill"))
-    open_rows = _have_keys(target, keys) & F.col(column).isNull()
-    filled = salted_join(target.where(open_rows), first, keys, "left")
-    restored = filled.withColumn(column, F.col("_fill")).select(*target.columns)
-    return target.where(~open_rows).unionByName(restored)
+    filled = target.join(first, list(keys), "left")
+    return filled.withColumn(column, F.coalesce(F.col(column), F.col("_fill"))).select(*target.columns)
 
 
 def backfill_key(
@@ -120,7 +95,7 @@ def backfill_key(
     """Overwrite a column with the source's value wherever the source has a row with the same keys."""
     usable = source.where(_have_keys(source, keys))
     first = usable.groupBy(*keys).agg(F.min_by(F.struct(F.col(column)), order_by).alias("_row"))
-    joined = salted_join(target, first, keys, "left")
+    joined = target.join(first, list(keys), "left")
     value = F.when(F.col("_row").isNotNull(), F.col(f"_row.{column}")).otherwise(F.col(column))
     return joined.withColumn(column, value).select(*target.columns)
 

@@ -31,9 +31,11 @@ def with_global_index(df: DataFrame, order_by: Sequence[str], partitions: int |
 
     Rows are split into ranges of the order, numbered within each range, and shifted by the rows
     in the ranges before. The ranges are pinned by a checkpoint: they come from a sample, and
-    counts and rows must see the same ones. There are as many as the row count calls for.
+    counts and rows must see the same ones. There are as many as the row count calls for, and no
+    fewer than the session's shuffle partitions.
     """
-    n = partitions or 1 + df.count() // ROWS_PER_RANGE
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(spread, 1 + df.count() // ROWS_PER_RANGE)
     ranged = checkpointed(df.repartitionByRange(n, *order_by).withColumn("_range", F.spark_partition_id()))
     # One row per range on this side: at most `n`.
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))

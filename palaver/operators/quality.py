@@ -17,7 +17,6 @@ INTEGER_RANGES = (
     ("smallint", -32768, 32767),
     ("int", -2147483648, 2147483647),
 )
-FLOAT_LIMIT = 3.4028234663852886e38
 
 
 class NullsFound(ValueError):
@@ -28,10 +27,6 @@ def _numeric(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _floating(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-
-
 def _quoted(name: str):
     return F.col(f"`{name}`")
 
@@ -99,9 +94,7 @@ def _narrow_plan(df: DataFrame) -> dict[str, str]:
         else:
             number = column.cast("double")
             fits = F.isnan(number) | (number.cast("float").cast("double") == number)
-            aggregates.append(
-                F.struct(F.bool_and(fits).alias("fits"), F.max(F.abs(number)).alias("high")).alias(f.name)
-            )
+            aggregates.append(F.struct(F.bool_and(fits).alias("fits")).alias(f.name))
     seen = df.agg(*aggregates).first()
     plan = {}
     for f in fields:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -80,22 +79,21 @@ def score_batches(
     rows out evenly over that many tasks first, for when scoring costs far more than a shuffle
     and the input has few or lopsided partitions.
     """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in SENTIMENTS]])
-    place = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        for batch in batches:
-            scorer = scorer or make_scorer()
-            texts = [value or "" for value in batch.column(place).to_pylist()]
+    kinds = T.StructType([T.StructField(c, T.DoubleType()) for c in SENTIMENTS])
+
+    @F.pandas_udf(kinds)
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
+        for values in series:
+            texts = ["" if value is None else value for value in values]
             parts = [scorer(texts[at : at + batch_size]) for at in range(0, len(texts), batch_size)]
             scores = np.concatenate(parts) if parts else np.empty((0, len(SENTIMENTS)))
-            columns = [pa.array(scores[:, n], pa.float64()) for n in range(len(SENTIMENTS))]
-            # The other columns pass through as they came.
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+            yield pd.DataFrame(scores, columns=list(SENTIMENTS))
 
     rows = df.repartition(spread) if spread else df
-    return rows.mapInArrow(run, schema).withColumn("Sentiment", best_label(F.array(*SENTIMENTS)))
+    # Only the text crosses to Python; nondeterministic, so that no filter runs the model again.
+    scored = rows.withColumn("_scores", run.asNondeterministic()(F.col(text)))
+    return with_scores(scored, [F.col(f"_scores.{c}") for c in SENTIMENTS]).drop("_scores")
 
 
 def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
@@ -113,27 +111,6 @@ def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
     return score
 
 
-def transformer_scorer(model_name: str, max_tokens: int = 512) -> Scorer:
-    """A pre-trained sequence classifier with the classes in our order. Needs torch and transformers.
-
-    Use as `score_batches(df, lambda: transformer_scorer(name), spread=...)`.
-    """
-    try:
-        import torch
-        from transformers import AutoModelForSequenceClassification, AutoTokenizer
-    except ImportError as missing:
-        raise RuntimeError("transformer_scorer needs the torch and transformers packages") from missing
-    tokenizer = AutoTokenizer.from_pretrained(model_name)
-    model = AutoModelForSequenceClassification.from_pretrained(model_name).eval()
-
-    def score(texts: list[str]) -> np.ndarray:
-        tokens = tokenizer(texts, padding=True, truncation=True, max_length=max_tokens, return_tensors="pt")
-        with torch.no_grad():
-            return torch.softmax(model(**tokens).logits, dim=-1).numpy()
-
-    return score
-
-
 def class_of_labels(quality: Column, toxic: Column) -> Column:
     """Training class: toxic is Negative, good and not toxic is Positive, the rest Neutral."""
     return F.when(toxic == 1, 0).when(quality == 1, 2).otherwise(1)
@@ -142,7 +119,7 @@ def class_of_labels(quality: Column, toxic: Column) -> Column:
 def train_classifier(labelled: DataFrame, features: int = 1 << 12, iterations: int = 10) -> PipelineModel:
     """Bag-of-words classifier on (text, label 0/1/2). Only the coefficients reach the driver."""
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern="[^\\p{L}]+", minTokenLength=2),
+        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern="[^\\p{L}]+"),
         HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=features),
         LogisticRegression(
             featuresCol="_features", labelCol="label", maxIter=iterations, regParam=0.01, family="multinomial"

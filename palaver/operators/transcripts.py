@@ -14,11 +14,10 @@ from collections.abc import Collection, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palaver.functions.text import html_message
-from palaver.operators.skew import salted_join
 from palaver.schemas import MESSAGE, TRANSCRIPT
+from palaver.session import fresh_path
 
 MAX_INLINE_PHRASES = 5_000
 MAX_PHRASE_BYTES = 4_096
@@ -29,33 +28,52 @@ def complete_transcripts(df: DataFrame, column: str = "Messages") -> DataFrame:
     return df.where(F.col(column).endswith("}]"))
 
 
-def _convert(literal: str | None) -> str | None:
+def _read_literal(literal: str | None) -> list[dict] | None:
+    """The messages of a Python literal, or None if it is no list of messages."""
     if literal is None:
         return None
     try:
-        return json.dumps(ast.literal_eval(literal))
+        found = ast.literal_eval(literal)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
+    if not isinstance(found, list):
+        return None
+    return [_message(m) for m in found]
+
 
+def _message(fields: object) -> dict[str, str | None] | None:
+    if not isinstance(fields, dict):
+        return None
+    return {n: v if v is None or isinstance(v, str) else json.dumps(v) for n in MESSAGE.names for v in [fields.get(n)]}
 
-@F.pandas_udf(T.StringType())
-def _literals_to_json(literals: pd.Series) -> pd.Series:
-    return literals.map(_convert)
 
+# The batch function returns the messages themselves. It is declared nondeterministic so that
+# filters on the result are not pushed below it, which would run it twice; filters on other
+# columns belong in `where`, which is applied before anything is parsed.
+@F.pandas_udf(TRANSCRIPT)
+def _read_literals(literals: pd.Series) -> pd.Series:
+    return pd.Series([_read_literal(x) for x in literals], dtype="object")
 
-# Declared nondeterministic so that filters on the result are not pushed below it, which would
-# run it once for the filter and once more for the rows.
-_literal_to_json = _literals_to_json.asNondeterministic()
+
+_parsed_literal = _read_literals.asNondeterministic()
 
 
 def parse_transcripts(
-    df: DataFrame, column: str = "Messages", into: str = "transcript", dialect: str = "auto"
+    df: DataFrame,
+    column: str = "Messages",
+    into: str = "transcript",
+    dialect: str = "auto",
+    where: Column | None = None,
 ) -> DataFrame:
     """Add the parsed transcript; it is null where the string cannot be parsed.
 
     JSON, also with single quotes, is parsed natively. With `dialect="auto"` what that leaves
-    null is tried as a Python literal: only those strings travel to Python workers.
+    null is tried as a Python literal: only those strings travel to Python workers, and come back
+    as messages. `where` picks rows by their other columns before the parse and reaches the scan;
+    a filter on the result of this function does not.
     """
+    if where is not None:
+        df = df.where(where)
     if into.lower() == column.lower():
         raise ValueError("the parsed column needs a name of its own, letter case aside")
     if dialect == "json":
@@ -68,8 +86,8 @@ def parse_transcripts(
     left_over = F.when(F.col(into).isNull(), F.col(column))
     return (
         df.withColumn(into, F.from_json(F.col(column), TRANSCRIPT))
-        .withColumn("_literal", _literal_to_json(left_over))
-        .withColumn(into, F.coalesce(F.col(into), F.from_json("_literal", TRANSCRIPT)))
+        .withColumn("_literal", _parsed_literal(left_over))
+        .withColumn(into, F.coalesce(F.col(into), F.col("_literal")))
         .drop("_literal")
     )
 
@@ -101,15 +119,18 @@ def joined_texts(messages: Column, separator: str = ",") -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["text"], F.lit(""))), separator)
 
 
-def inline_phrases(phrases: DataFrame, column: str = "FilterMessages") -> tuple[str, ...] | None:
+def inline_phrases(
+    phrases: DataFrame, column: str = "FilterMessages", most: int = MAX_INLINE_PHRASES
+) -> tuple[str, ...] | None:
     """The phrase list as values if it is short enough to be part of an expression, else None.
 
-    Both the number of rows fetched and the bytes of each are bounded.
+    Both the number of rows fetched and the bytes of each are bounded. Either way a chat keeps the
+    same texts: the bound only decides where the list is looked up.
     """
     short = F.when(F.octet_length(column) <= MAX_PHRASE_BYTES, F.col(column))
-    rows = phrases.where(F.col(column).isNotNull()).select(short).limit(MAX_INLINE_PHRASES + 1).collect()
+    rows = phrases.where(F.col(column).isNotNull()).select(short).limit(most + 1).collect()
     values = {row[0] for row in rows}
-    if len(rows) > MAX_INLINE_PHRASES or None in values:
+    if len(rows) > most or None in values:
         return None
     return tuple(sorted(values))
 
@@ -120,10 +141,10 @@ def drop_listed(
     """Messages that equal no listed phrase: an anti join for phrase lists of any length.
 
     A short list is broadcast from its known size. Beyond that one canned answer may be a third of
-    all messages, so the join is salted.
+    all messages: AQE splits its partition, as the left side of an anti join may be split.
     """
     listed = phrases.select(F.col(column).alias(text)).distinct()
-    return salted_join(messages, listed, [text], "left_anti").select(*messages.columns)
+    return messages.join(listed, text, "left_anti").select(*messages.columns)
 
 
 def ordered_concat(
@@ -172,45 +193,70 @@ def top_messages(messages: DataFrame, n: int = 1000) -> DataFrame:
     return counts.orderBy(F.desc("messages"), "text").limit(n)
 
 
+def _with_visitor_text(chats: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
+    """Add `text` to chats with a `_visitor` array; chats left without a message have a null text.
+
+    A phrase list that is too long for an expression is met by an anti join. Each chat is then a
+    row of a stored table under a number of its own: texts find back to their row, whatever its
+    ID says, and nothing is parsed twice.
+    """
+    listed = inline_phrases(phrases, most=most)
+    if listed is not None:
+        kept = F.filter("_visitor", lambda m: ~_listed(m["text"], listed))
+        chats = chats.withColumn("_kept", kept)
+        return chats.withColumn("text", F.when(F.size("_kept") > 0, joined_texts(F.col("_kept")))).drop("_kept", "_visitor")
+    numbered = chats.withColumn("_chat", F.monotonically_increasing_id())
+    path = fresh_path(chats.sparkSession, "visitor-texts")
+    numbered.write.parquet(path)
+    stored = chats.sparkSession.read.schema(numbered.schema).parquet(path)
+    texts = visitor_text_by_key(explode_messages(stored, "_chat", "_visitor"), phrases)
+    return stored.drop("_visitor").join(texts.withColumnRenamed("Key", "_chat"), "_chat", "left").drop("_chat")
+
+
 def shape_chats(
     chats: DataFrame,
     phrases: DataFrame,
     mask: bool = False,
     escape: bool = False,
     dialect: str = "auto",
+    where: Column | None = None,
+    most_inline: int = MAX_INLINE_PHRASES,
 ) -> DataFrame:
     """Add `text` and `html_text` to chats with a `Messages` string, and drop the rest of it.
 
     A chat disappears if its transcript is cut off or unreadable, or if its visitor wrote nothing
     but listed phrases. `mask` hides personal data in `html_text`; `text` stays as written, for
-    scoring.
+    scoring. `where` picks chats by their other columns before the parse. Phrase lists of more
+    than `most_inline` phrases are joined, with the same result.
     """
-    parsed = parse_transcripts(complete_transcripts(chats), dialect=dialect)
-    listed = inline_phrases(phrases)
-    html = html_transcript(F.col("transcript"), mask, escape).alias("html_text")
+    parsed = parse_transcripts(complete_transcripts(chats), dialect=dialect, where=where)
     others = [F.col(f"`{c}`") for c in chats.columns if c != "Messages"]
-    if listed is not None:
-        kept = parsed.withColumn("_kept", visitor_messages(F.col("transcript"), listed))
-        return kept.where(F.size("_kept") > 0).select(*others, joined_texts(F.col("_kept")).alias("text"), html)
-    texts = visitor_text_by_key(explode_messages(parsed), phrases).withColumnRenamed("Key", "ID")
-    return parsed.select(*others, html).join(texts, "ID").select(*others, "text", "html_text")
+    html = html_transcript(F.col("transcript"), mask, escape).alias("html_text")
+    spoken = parsed.select(*others, html, visitor_messages(F.col("transcript")).alias("_visitor"))
+    shaped = _with_visitor_text(spoken, phrases, most_inline)
+    return shaped.where(F.col("text").isNotNull()).select(*others, "text", "html_text")
 
 
-def transcript_census(chats: DataFrame, phrases: DataFrame, dialect: str = "auto") -> DataFrame:
-    """(outcome, chats): how many chats shaping keeps, and why it drops the others."""
-    parsed = parse_transcripts(chats, dialect=dialect)
-    listed = inline_phrases(phrases)
-    if listed is not None:
-        says_something = F.size(visitor_messages(F.col("transcript"), listed)) > 0
-    else:
-        texts = visitor_text_by_key(explode_messages(complete_transcripts(parsed)), phrases)
-        parsed = parsed.join(texts.select(F.col("Key").alias("ID"), F.lit(True).alias("_says")), "ID", "left")
-        says_something = F.col("_says").isNotNull()
+def transcript_census(
+    chats: DataFrame, phrases: DataFrame, dialect: str = "auto", most_inline: int = MAX_INLINE_PHRASES
+) -> DataFrame:
+    """(outcome, chats): how many chats shaping keeps, and why it drops the others.
+
+    Cut-off transcripts are told by their ending and not parsed.
+    """
     complete = F.coalesce(F.col("Messages").endswith("}]"), F.lit(False))
+    whole = chats.select(complete.alias("_complete"), F.when(complete, F.col("Messages")).alias("Messages"))
+    parsed = parse_transcripts(whole, dialect=dialect)
+    spoken = parsed.select(
+        "_complete",
+        F.col("transcript").isNotNull().alias("_readable"),
+        visitor_messages(F.col("transcript")).alias("_visitor"),
+    )
+    told = _with_visitor_text(spoken, phrases, most_inline)
     outcome = (
-        F.when(~complete, "cut off")
-        .when(F.col("transcript").isNull(), "unreadable")
-        .when(says_something, "kept")
+        F.when(~F.col("_complete"), "cut off")
+        .when(~F.col("_readable"), "unreadable")
+        .when(F.col("text").isNotNull(), "kept")
         .otherwise("only listed phrases")
     )
-    return parsed.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("chats"))
+    return told.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("chats"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.numbers import fill_gaps as fill
-from palaver.functions.numbers import half_even
+from palaver.functions.numbers import half_even, nan_to_number
 from palaver.functions.scores import label_of
 from palaver.functions.text import (
     EMAIL_PATTERN,
@@ -26,7 +28,7 @@ from palaver.operators import dashboard as dash
 from palaver.operators import density as kde
 from palaver.operators import extract, filters, merge, ordering, quality, scoring, search
 from palaver.operators import transcripts as tr
-from palaver.plans.jobs import scored_facts, shaped_chats
+from palaver.plans.jobs import load_bucketed_facts, scored_facts, shaped_chats
 from palaver.plans.registry import literal, mask_sql, query, round_hour_sql, scores_sql
 from palaver.schemas import EMAIL_MASK, FACT, FACT_TABLE, NEAREST, PHONE_MASK, SENTIMENTS, URL_MASK
 from palaver.session import fresh_path
@@ -34,7 +36,7 @@ from palaver.sources import files, sample, sinks
 from palaver.sources.warehouse import run_query
 from palaver.streaming import hourly, loads
 
-CUTOFF = "2024-01-16 00:00:00"  # chats before it count as loaded earlier
+CUTOFF = "2024-01-16 13:20:00"  # chats before it count as loaded earlier
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -46,6 +48,13 @@ JOINED = (
 )
 
 
+@query("chats_without_id", "SELECT ID, UserID FROM chats_v WHERE CAST(ID AS BIGINT) % 3 <> 0")
+def chats_without_id(spark: SparkSession, sf: str) -> DataFrame:
+    known = F.when(F.col("ID").cast("long") % 3 != 0, F.col("ID"))
+    chats = sample.chats(spark, sf).withColumn("ID", known)
+    return extract.chats_with_profile(chats, sample.profile(spark, sf)).select("ID", "UserID")
+
+
 @query("chats_profile", f"SELECT {', '.join(JOINED)} FROM joined_v")
 def chats_profile(spark: SparkSession, sf: str) -> DataFrame:
     return extract.chats_with_profile(sample.chats(spark, sf), sample.profile(spark, sf)).select(*JOINED)
@@ -171,19 +180,24 @@ def filter_end_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RANGE_SQL = {
-    "7d": "(SELECT max(Date) FROM fact_v) - INTERVAL 7 DAY",
-    "1m": "(SELECT max(Date) FROM fact_v) - INTERVAL 1 MONTH",
-    "6m": "(SELECT max(Date) FROM fact_v) - INTERVAL 6 MONTH",
-    "ytd": "date_trunc('year', (SELECT max(Date) FROM fact_v))",
-    "1y": "(SELECT max(Date) FROM fact_v) - INTERVAL 1 YEAR",
+    "7d": "(SELECT max(Date) FROM spread) - INTERVAL 7 DAY",
+    "1m": "(SELECT max(Date) FROM spread) - INTERVAL 1 MONTH",
+    "6m": "(SELECT max(Date) FROM spread) - INTERVAL 6 MONTH",
+    "ytd": "date_trunc('year', (SELECT max(Date) FROM spread))",
+    "1y": "(SELECT max(Date) FROM spread) - INTERVAL 1 YEAR",
     "all": "TIMESTAMP '0001-01-01 00:00:00'",
 }
+# The sample's chats fall into one month; here they go back over two years from mid-June.
+SPREAD_SQL = """SELECT ChatID, Date + INTERVAL 140 DAY - CAST(CAST(ChatID AS BIGINT) % 730 AS INT) * INTERVAL 1 DAY AS Date
+  FROM fact_v"""
 
 
 def _register_range(preset: str, start: str) -> None:
-    @query(f"range_{preset}", f"SELECT ChatID, Date FROM fact_v WHERE Date >= {start}")
+    @query(f"range_{preset}", f"WITH spread AS ({SPREAD_SQL}) SELECT ChatID, Date FROM spread WHERE Date >= {start}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return filters.trailing_range(sample.fact(spark, sf), preset).select("ChatID", "Date")
+        back = F.make_dt_interval((F.lit(140) - F.col("ChatID").cast("long") % 730).cast("int"))
+        spread = sample.fact(spark, sf).select("ChatID", (F.col("Date") + back).alias("Date"))
+        return filters.trailing_range(spread, preset)
 
 
 for _preset, _start in RANGE_SQL.items():
@@ -205,6 +219,17 @@ def rounded_hours(spark: SparkSession, sf: str) -> DataFrame:
     return sample.table(spark, sf, "events").select("event_id", round_hour(F.col("ts")).alias("hour"))
 
 
+@query(
+    "dashboard_counts",
+    f"""WITH h AS (SELECT {HOUR_SQL} AS Date, Sentiment, CountryGroup1 FROM fact_v)
+        SELECT 'per_hour' AS chart, Date, NULL AS value, count(*) AS chats FROM h GROUP BY 2
+        UNION ALL SELECT 'hour_sentiment', Date, Sentiment, count(*) FROM h GROUP BY 2, 3
+        UNION ALL SELECT 'hour_country', Date, CountryGroup1, count(*) FROM h GROUP BY 2, 3""",
+)
+def dashboard_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return dash.dashboard(sample.fact(spark, sf))["hourly"]
+
+
 @query("per_hour", f"SELECT {HOUR_SQL} AS Date, count(*) AS chats FROM fact_v GROUP BY 1")
 def per_hour(spark: SparkSession, sf: str) -> DataFrame:
     return dash.per_hour(sample.fact(spark, sf))
@@ -381,12 +406,18 @@ def drop_listed_messages(spark: SparkSession, sf: str) -> DataFrame:
     return tr.drop_listed(messages, sample.phrases(spark, sf))
 
 
-@query(
-    "top_messages",
-    "SELECT text, count(*) AS messages FROM turns_v GROUP BY text ORDER BY messages DESC, text LIMIT 1000",
-)
+# Whole messages hardly repeat in the sample; their words do, and there are more of them than are kept.
+TOP_SQL = """SELECT text, count(*) AS messages FROM (SELECT unnest(string_split(text, ' ')) AS text FROM turns_v)
+  GROUP BY text ORDER BY messages DESC, text LIMIT 1000"""
+
+
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.turns(spark, sf).select(F.explode(F.split("text", " ")).alias("text"))
+
+
+@query("top_messages", TOP_SQL)
 def top_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.top_messages(sample.turns(spark, sf), 1000)
+    return tr.top_messages(_said(spark, sf), 1000)
 
 
 @query(
@@ -403,11 +434,42 @@ def union_unlike(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "transcript_census",
-    """SELECT CASE WHEN v.Key IS NULL THEN 'only listed phrases' ELSE 'kept' END AS outcome, count(*) AS chats
+    """SELECT CASE CAST(h.Key AS BIGINT) % 10 WHEN 3 THEN 'cut off' WHEN 4 THEN 'unreadable' ELSE
+         CASE WHEN v.Key IS NULL THEN 'only listed phrases' ELSE 'kept' END END AS outcome, count(*) AS chats
        FROM html_v h LEFT JOIN visitor_v v USING (Key) GROUP BY 1""",
 )
 def transcript_census(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.transcript_census(sample.transcripts(spark, sf), sample.phrases(spark, sf))
+    place = F.col("ID").cast("long") % 10
+    damaged = sample.transcripts(spark, sf).withColumn(
+        "Messages",
+        F.when(place == 3, F.expr("substring(Messages, 1, length(Messages) - 5)"))
+        .when(place == 4, F.concat(F.lit("[{"), F.col("Messages")))
+        .otherwise(F.col("Messages")),
+    )
+    return tr.transcript_census(damaged, sample.phrases(spark, sf))
+
+
+@query(
+    "shaped_repeated_ids",
+    """SELECT ID, UserID, v.text AS text FROM chats_v JOIN visitor_v v ON v.Key = ID
+       UNION ALL SELECT ID, UserID + 1000, v.text FROM chats_v
+         JOIN visitor_v v ON CAST(v.Key AS BIGINT) = CAST(ID AS BIGINT) + 1""",
+)
+def shaped_repeated_ids(spark: SparkSession, sf: str, most_inline: int = 0) -> DataFrame:
+    """Two users' chats under each ID, the phrase list as a join."""
+    chats, transcripts = sample.chats(spark, sf).drop("Messages"), sample.transcripts(spark, sf)
+    earlier = (F.col("ID").cast("long") - 1).cast("string")
+    second = chats.withColumn("UserID", F.col("UserID") + 1000).join(transcripts.withColumn("ID", earlier), "ID")
+    both = chats.join(transcripts, "ID").unionByName(second).select("ID", "UserID", "Messages")
+    return tr.shape_chats(both, sample.phrases(spark, sf), most_inline=most_inline).select("ID", "UserID", "text")
+
+
+@query("phrase_file", "SELECT DISTINCT FilterMessages FROM phrases_v UNION ALL SELECT 'a \"quoted\", é 日本'")
+def phrase_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "phrases-csv")
+    odd = spark.range(1).select(F.lit('a "quoted", é 日本').alias("FilterMessages"))
+    sinks.write_csv(sample.phrases(spark, sf).union(odd), path)
+    return files.read_phrases(spark, path)
 
 
 SHAPED = ("ID", "UserID", "Date", "ChatType", "text", "html_text")
@@ -560,14 +622,24 @@ def very_positive(spark: SparkSession, sf: str) -> DataFrame:
     return search.with_very_positive(_scored_documents(spark, sf)).select("doc_id", "very_positive")
 
 
-@query("classifier_score")
+@query(
+    "classifier_score",
+    "SELECT doc_id, true AS sums_to_one, true AS label_is_best, true AS whole_text FROM documents",
+)
 def classifier_score(spark: SparkSession, sf: str) -> DataFrame:
     documents = sample.table(spark, sf, "documents").select("doc_id", "text")
     labelled = documents.join(sample.table(spark, sf, "labels"), "doc_id").select(
         "text", scoring.class_of_labels(F.col("quality"), F.col("toxic")).alias("label")
     )
     scored = scoring.score_by_classifier(documents, scoring.train_classifier(labelled))
-    return _rounded_scores(scored).drop("text")
+    scores = F.array(*SENTIMENTS)
+    return scored.select(
+        "doc_id",
+        (F.abs(sum(F.col(c) for c in SENTIMENTS) - 1) < 1e-9).alias("sums_to_one"),
+        (F.get(scores, F.array_position(F.array(*map(F.lit, SENTIMENTS)), F.col("Sentiment")).cast("int") - 1)
+         == F.array_max(scores)).alias("label_is_best"),
+        (F.octet_length("text") >= 0).alias("whole_text"),
+    )
 
 
 @query(
@@ -682,13 +754,27 @@ def narrow_types(spark: SparkSession, sf: str) -> DataFrame:
     return quality.narrow_types(sample.table(spark, sf, "events").select(*EVENT_NUMBERS))
 
 
+# Event values with nulls, NaN and infinities among them.
+ODD_SQL = """(SELECT event_id, user_id, CASE event_id % 10 WHEN 1 THEN CAST('nan' AS DOUBLE)
+  WHEN 2 THEN CAST('infinity' AS DOUBLE) WHEN 3 THEN CAST('-infinity' AS DOUBLE) WHEN 4 THEN NULL ELSE value END AS odd
+  FROM events)"""
+ODD = ("event_id", "user_id", "odd")
+
+
+def _odd_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.col("event_id") % 10
+    odd = F.when(place == 1, float("nan")).when(place == 2, float("inf")).when(place == 3, -float("inf"))
+    events = sample.table(spark, sf, "events")
+    return events.select("event_id", "user_id", odd.when(place != 4, F.col("value")).alias("odd"))
+
+
 @query(
     "clean_numbers",
-    """SELECT CAST(UserID AS DOUBLE) AS UserID, CAST(VIPLevel AS DOUBLE) AS VIPLevel, DurationInMins
-       FROM joined_v WHERE VIPLevel IS NOT NULL""",
+    f"""SELECT CAST(event_id AS DOUBLE) AS event_id, CAST(user_id AS DOUBLE) AS user_id, odd FROM {ODD_SQL}
+        WHERE isfinite(odd)""",
 )
 def clean_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.clean_numbers(chats_profile(spark, sf).select("UserID", "VIPLevel", "DurationInMins"))
+    return quality.clean_numbers(_odd_numbers(spark, sf))
 
 
 @query("complete_rows", "SELECT ID, Brand FROM joined_v WHERE Brand IS NOT NULL")
@@ -701,28 +787,38 @@ def complete_rows(spark: SparkSession, sf: str) -> DataFrame:
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE isnan(CAST({c} AS DOUBLE))) AS nan_count,
               count(*) FILTER (WHERE isinf(CAST({c} AS DOUBLE))) AS inf_count,
-              count(*) FILTER (WHERE isfinite(CAST({c} AS DOUBLE))) AS finite_count FROM joined_v"""
-        for c in ("UserID", "VIPLevel", "DurationInMins")
+              count(*) FILTER (WHERE isfinite(CAST({c} AS DOUBLE))) AS finite_count FROM {ODD_SQL}"""
+        for c in ODD
     ),
 )
 def finite_census(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.finite_census(chats_profile(spark, sf).select("UserID", "VIPLevel", "DurationInMins"))
+    return quality.finite_census(_odd_numbers(spark, sf))
 
 
 @query(
     "all_finite",
-    """SELECT bool_and(VIPLevel IS NOT NULL) AS all_finite, true AS any_finite FROM joined_v""",
+    f"""SELECT bool_and(odd IS NOT NULL AND isfinite(odd)) AS all_finite,
+          bool_or(odd IS NOT NULL AND isfinite(odd)) AS any_finite FROM {ODD_SQL}""",
 )
 def all_finite(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.all_finite(chats_profile(spark, sf).select("UserID", "VIPLevel", "DurationInMins"))
+    return quality.all_finite(_odd_numbers(spark, sf).select("odd"))
 
 
 @query(
     "fill_gaps",
-    "SELECT ID, COALESCE(CAST(VIPLevel AS DOUBLE), 999) AS VIPLevel FROM joined_v",
+    f"SELECT event_id, CASE WHEN isfinite(odd) THEN odd ELSE 999 END AS odd FROM {ODD_SQL}",
 )
 def fill_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return chats_profile(spark, sf).select("ID", fill(F.col("VIPLevel").cast("double")).alias("VIPLevel"))
+    return _odd_numbers(spark, sf).select("event_id", fill(F.col("odd")).alias("odd"))
+
+
+@query(
+    "nan_to_number",
+    f"""SELECT event_id, CASE WHEN isnan(odd) THEN 0 WHEN odd = CAST('infinity' AS DOUBLE) THEN {sys.float_info.max!r}
+          WHEN odd = CAST('-infinity' AS DOUBLE) THEN -{sys.float_info.max!r} ELSE odd END AS odd FROM {ODD_SQL}""",
+)
+def nan_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return _odd_numbers(spark, sf).select("event_id", nan_to_number(F.col("odd")).alias("odd"))
 
 
 @query(
@@ -837,12 +933,15 @@ def backfill_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "backfill_key",
-    f"""SELECT ID AS ChatID, UserID, started AS Date FROM chats_v""",
+    """SELECT ID, UserID, hour(started) AS Hour, COALESCE(f.ChatID, 'lost') AS ChatID FROM chats_v
+       LEFT JOIN (SELECT UserID AS u, hour(started) AS h, min(ID) AS ChatID FROM chats_v WHERE rate = 'rated_good' GROUP BY 1, 2) f
+         ON u = UserID AND h = hour(started)""",
 )
 def backfill_key(spark: SparkSession, sf: str) -> DataFrame:
-    chats = sample.chats(spark, sf).select(F.col("ID").alias("ChatID"), "UserID", F.col("started").alias("Date"))
-    lost = chats.withColumn("ChatID", F.lit("").cast("string"))
-    return merge.backfill_key(lost, chats, ["UserID", "Date"], "ChatID", "ChatID")
+    chats = sample.chats(spark, sf).withColumn("Hour", F.hour("started").cast("long"))
+    good = chats.where("rate = 'rated_good'").select(F.col("ID").alias("ChatID"), "UserID", "Hour")
+    lost = chats.select("ID", "UserID", "Hour", F.lit("lost").alias("ChatID"))
+    return merge.backfill_key(lost, good, ["UserID", "Hour"], "ChatID", "ChatID")
 
 
 @query(
@@ -869,9 +968,9 @@ def stage_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fact_table",
-    """SELECT ChatID, CAST(UserID AS INT) AS UserID, VIPLevel, CAST(round(Negative, 2) AS DOUBLE) AS Negative_Score,
-         CAST(round(Neutral, 2) AS DOUBLE) AS Neutral_Score, CAST(round(Positive, 2) AS DOUBLE) AS Positive_Score,
-         Sentiment, html_text
+    """SELECT * EXCLUDE (Negative, Neutral, Positive) REPLACE (CAST(UserID AS INT) AS UserID, CAST(round(DurationInMins, 2) AS DOUBLE) AS DurationInMins),
+         CAST(round(Negative, 2) AS DOUBLE) AS Negative_Score, CAST(round(Neutral, 2) AS DOUBLE) AS Neutral_Score,
+         CAST(round(Positive, 2) AS DOUBLE) AS Positive_Score
        FROM scored_v""",
 )
 def fact_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -880,7 +979,8 @@ def fact_table(spark: SparkSession, sf: str) -> DataFrame:
     sinks.append(merge.to_fact_table(_scored(spark, sf)), path)
     scores = [F.col(f"{s}_Score").cast("double").alias(f"{s}_Score") for s in SENTIMENTS]
     stored = spark.read.schema(FACT_TABLE).parquet(path)
-    return stored.select("ChatID", "UserID", "VIPLevel", *scores, "Sentiment", "html_text")
+    kept = [c for c in stored.columns if c != "TransactionDate" and not c.endswith("_Score")]
+    return stored.select(*kept, *scores).withColumn("DurationInMins", F.col("DurationInMins").cast("double"))
 
 
 @query("export_messages", "SELECT Key, pos, user_type, text FROM turns_v")
@@ -891,13 +991,10 @@ def export_messages(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_chat_export(spark, path, messages.schema)
 
 
-@query(
-    "export_top_messages",
-    "SELECT text, count(*) AS messages FROM turns_v GROUP BY text ORDER BY messages DESC, text LIMIT 1000",
-)
+@query("export_top_messages", TOP_SQL)
 def export_top_messages(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "counts-csv")
-    counts = tr.top_messages(sample.turns(spark, sf), 1000)
+    counts = tr.top_messages(_said(spark, sf), 1000)
     sinks.write_csv(counts, path)
     return files.read_chat_export(spark, path, counts.schema)
 
@@ -932,6 +1029,55 @@ def search_count(spark: SparkSession, sf: str) -> DataFrame:
     return search.hit_count(_serving(spark, sf), SEARCH)
 
 
+# Documents in the shape of facts: more hits than either limit keeps.
+DOCUMENT_FACTS_SQL = """SELECT CAST(doc_id AS VARCHAR) AS ChatID, doc_id % 150 AS UserID,
+  TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS Date, CAST(n_chars % 5 AS INT) AS VIPLevel,
+  'not_rated' AS Rating, CAST(n_chars AS DOUBLE) / 60 AS DurationInMins, source AS Brand, lang AS CountryGroup1,
+  'Support Chat' AS ChatType, source AS AgentDisplayName, text, text AS html_text, 'Neutral' AS Sentiment,
+  CAST(0.25 AS DOUBLE) AS Negative, CAST(0.5 AS DOUBLE) AS Neutral, CAST(0.25 AS DOUBLE) AS Positive FROM documents"""
+DOCUMENT_HITS_SQL = f"SELECT * FROM ({DOCUMENT_FACTS_SQL}) WHERE regexp_matches(html_text, 'th[aei]|les ')"
+
+
+def _document_facts(spark: SparkSession, sf: str) -> DataFrame:
+    minutes = F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    path = fresh_path(spark, "serving")
+    facts = sample.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("ChatID"), (F.col("doc_id") % 150).alias("UserID"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + minutes).alias("Date"),
+        (F.col("n_chars") % 5).cast("int").alias("VIPLevel"), F.lit("not_rated").alias("Rating"),
+        (F.col("n_chars").cast("double") / 60).alias("DurationInMins"), F.col("source").alias("Brand"),
+        F.col("lang").alias("CountryGroup1"), F.lit("Support Chat").alias("ChatType"),
+        F.col("source").alias("AgentDisplayName"), "text", F.col("text").alias("html_text"),
+        F.lit("Neutral").alias("Sentiment"), F.lit(0.25).alias("Negative"), F.lit(0.5).alias("Neutral"),
+        F.lit(0.25).alias("Positive"),
+    )
+    sinks.write_serving(facts, path)
+    return files.read_serving(spark, path)
+
+
+@query(
+    "search_documents",
+    f"""SELECT substring(text, 1, 100) || '...' AS "Text", UserID AS "User ID", Date AS "Date",
+          VIPLevel AS "VIP Level", round_even(DurationInMins, 0) AS "Duration (Mins)", Brand AS "Brand",
+          CountryGroup1 AS "Country Group", ChatType AS "Chat Type", ChatID AS "Chat ID", AgentDisplayName AS "Agent",
+          Sentiment AS "Sentiment"
+        FROM ({DOCUMENT_HITS_SQL} ORDER BY Date, ChatID LIMIT 500)""",
+)
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search_results(_document_facts(spark, sf), SEARCH, 500)
+
+
+@query(
+    "export_documents",
+    f"SELECT * EXCLUDE (html_text) FROM ({DOCUMENT_HITS_SQL} ORDER BY Date, ChatID LIMIT 100)",
+)
+def export_documents(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "hits-csv")
+    hits = search.export_hits(_document_facts(spark, sf), SEARCH, 100)
+    sinks.write_csv(hits, path)
+    return files.read_chat_export(spark, path, hits.schema)
+
+
 EXPORTED = ("ChatID", "UserID", "VIPLevel", "Brand", "ChatType", "Sentiment", "text")
 
 
@@ -949,13 +1095,19 @@ def export_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "details",
     """SELECT ChatID, unnest(['User ID', 'VIP Level', 'Rating', 'Brand', 'Country Group', 'Chat Type', 'Chat ID',
-           'Agent', 'Sentiment']) AS field,
+           'Agent', 'Sentiment', 'Date', 'Duration (Mins)', 'Positive Score']) AS field,
          unnest([CAST(UserID AS VARCHAR), CAST(VIPLevel AS VARCHAR), Rating, Brand, CountryGroup1, ChatType, ChatID,
-           AgentDisplayName, Sentiment]) AS value
+           AgentDisplayName, Sentiment, CAST(date_trunc('second', Date) AS VARCHAR), CAST(CAST(floor(DurationInMins) AS BIGINT) AS VARCHAR),
+           CAST(UserID % 2 AS VARCHAR)]) AS value
        FROM fact_v""",
 )
 def details(spark: SparkSession, sf: str) -> DataFrame:
-    return search.as_field_rows(sample.fact(spark, sf).drop("Date", "DurationInMins"))
+    facts = sample.fact(spark, sf).withColumns({
+        "Date": F.date_trunc("second", F.col("Date")).cast("timestamp_ntz"),
+        "DurationInMins": F.floor("DurationInMins"),
+        "Positive": F.col("UserID") % 2,
+    })
+    return search.as_field_rows(facts)
 
 
 @query("chat_by_id", "SELECT ChatID, html_text, Sentiment FROM scored_v WHERE ChatID = '7'")
@@ -976,8 +1128,19 @@ def random_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    reader = spark.readStream.schema(sample.TABLES["events"]).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf)
+    """The events as a stream of files that follow no order of time, one to a micro-batch."""
+    path = fresh_path(spark, "event-files")
+    sample.table(spark, sf, "events").repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    return files.stream_table(spark, path, sample.TABLES["events"], max_files=1)
+
+
+@query("bucketed_merge", "SELECT * FROM fact_v")
+def bucketed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads into a table bucketed by the merge keys; the second repeats what the first brought."""
+    table = f"bucketed_{uuid.uuid4().hex}"
+    for facts in (_loaded(spark, sf), sample.fact(spark, sf)):
+        load_bucketed_facts(facts, table, 8, check=False)
+    return spark.table(table)
 
 
 @query("stream_merge", "SELECT * FROM fact_v")
@@ -990,13 +1153,17 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
         chats, lambda rows: sample.fact_of(rows, profile), table, fresh_path(spark, "stream-state")
     )
     started.awaitTermination()
-    return spark.read.parquet(table).select(*loaded.columns)
+    compacted = fresh_path(spark, "stream-fact")
+    loads.compact_batches(spark, table, compacted, loaded.schema)
+    return spark.read.parquet(compacted).select(*loaded.columns)
 
 
 @query("stream_hourly", f"SELECT {HOUR_SQL} AS Date, Sentiment, count(*) AS chats FROM fact_v GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     table = fresh_path(spark, "stream-hourly")
-    facts = sample.fact_of(sample.chats_of(_event_stream(spark, sf)), sample.profile(spark, sf))
-    counts = hourly.hourly_counts(facts, "Sentiment")
-    hourly.start_hourly_counts(counts, table, fresh_path(spark, "stream-state")).awaitTermination()
-    return hourly.read_hourly_counts(spark, table, "Sentiment")
+    facts = sample.moods(sample.chats_of(_event_stream(spark, sf)))
+    started = hourly.start_hourly_counts(facts, table, fresh_path(spark, "stream-state"), "Sentiment")
+    started.awaitTermination()
+    compacted = fresh_path(spark, "stream-hourly")
+    hourly.compact_hourly_counts(spark, table, compacted, "Sentiment")
+    return hourly.read_hourly_counts(spark, compacted, "Sentiment")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import mask_pii
 from palaver.operators.dashboard import dashboard
-from palaver.operators.extract import chats_with_profile, not_yet_loaded, started_within
+from palaver.operators.extract import chats_with_profile, max_loaded, not_yet_loaded, started_within
 from palaver.operators.filters import ChatFilter
 from palaver.operators.merge import audit_row, rows_to_insert
 from palaver.operators.quality import impute, repeated_keys, require_no_nulls
@@ -31,23 +31,50 @@ def windowed_chats(
     as_of: Column | str | None = None,
     days: int | None = 10,
     loaded: DataFrame | None = None,
+    first_load_days: int = 30,
+    mode: str = "timestamp",
 ) -> DataFrame:
-    """Recent chats, or with `loaded` those not loaded yet; `days=None` takes all."""
+    """Recent chats, or with `loaded` those not loaded yet.
+
+    `days` is the rolling window, None takes all. With `loaded` it does not count: chats later than
+    anything loaded are taken, or, while nothing is, those of the last `first_load_days` days.
+    """
     if loaded is not None:
-        return not_yet_loaded(chats, loaded, as_of, days or 30)
+        return not_yet_loaded(chats, loaded, as_of, first_load_days, mode)
     return chats if days is None else started_within(chats, as_of, days)
 
 
+def fixed_window(spark: SparkSession, window: dict[str, object]) -> dict[str, object]:
+    """The same window with its two moving bounds, now and the newest loaded chat, read once.
+
+    Whatever asks for the window's chats during a run then gets the same ones, also after the run
+    has added to the table of loaded chats.
+    """
+    fixed = dict(window)
+    if fixed.get("as_of") is None:
+        fixed["as_of"] = F.lit(spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")).first()[0])
+    if fixed.get("loaded") is not None:
+        newest = max_loaded(fixed["loaded"]).first().max_date
+        fixed["loaded"] = spark.createDataFrame([(newest,)], "Date timestamp_ntz")
+    return fixed
+
+
 def shaped_chats(
-    chats: DataFrame, profile: DataFrame, phrases: DataFrame, dialect: str = "auto", **window: object
+    chats: DataFrame,
+    profile: DataFrame,
+    phrases: DataFrame,
+    dialect: str = "auto",
+    where: Column | None = None,
+    **window: object,
 ) -> DataFrame:
     """Chats ready for scoring: those of the window, with attributes and texts.
 
     The window is applied before the join, and the shaping after it is one narrow stage.
-    `html_text` is masked here, message by message; `text` is masked after scoring.
+    `html_text` is masked here, message by message; `text` is masked after scoring. `where` picks
+    chats by any column but the transcript, before the parse.
     """
     joined = chats_with_profile(windowed_chats(chats, **window), profile)
-    return shape_chats(joined, phrases, mask=True, dialect=dialect)
+    return shape_chats(joined, phrases, mask=True, dialect=dialect, where=where)
 
 
 def scored_facts(shaped: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon) -> DataFrame:
@@ -63,10 +90,10 @@ def load_facts(facts: DataFrame, path: str, target: DataFrame | None) -> None:
     """
     if target is None:
         target = facts.limit(0)
-    append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"], probe=True), path)
+    append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"]), path)
 
 
-def load_bucketed_facts(facts: DataFrame, table: str, buckets: int) -> None:
+def load_bucketed_facts(facts: DataFrame, table: str, buckets: int, check: bool = True) -> None:
     """The same load into a catalogue table bucketed by the merge keys, which it creates if missing.
 
     Only the batch is shuffled, whatever the size of the table.
@@ -74,7 +101,7 @@ def load_bucketed_facts(facts: DataFrame, table: str, buckets: int) -> None:
     spark = facts.sparkSession
     exists = spark.catalog.tableExists(table)
     target = spark.table(table) if exists else facts.limit(0)
-    new = rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"])
+    new = rows_to_insert(require_no_nulls(facts) if check else facts, target, MERGE_KEYS, ["Date"])
     write_bucketed(new, table, buckets, *MERGE_KEYS, mode="append" if exists else "overwrite")
 
 
@@ -105,21 +132,24 @@ def run_load(
     """Extract, shape, score, stage, load, audit. Returns the stage run's name.
 
     The scored chats are staged once: gate, merge and audit all read that run, so the model is
-    not run again for each of them. Chats with an unreadable transcript are added to the table
-    at `quarantine_path`, if one is given; they hold personal data as written.
+    not run again for each of them. The window's bounds are read once, at the start. Chats of the
+    window with an unreadable transcript are added to the table at `quarantine_path`, if one is
+    given, before the load; they hold personal data as written. Finding them parses the window's
+    transcripts once more, as no unmasked text is stored for it.
     """
     if not repeated_keys(profile, "UserID").isEmpty():
         raise ValueError("profile has users with several rows: they would multiply chats")
+    window = fixed_window(spark, window)
     run = write_stage(scored_facts(shaped_chats(chats, profile, phrases, **window), score), stage)
     facts = spark.read.schema(FACT).parquet(f"{stage}/run={run}")
-    target = None if first_load else spark.read.schema(FACT).parquet(fact_path)
-    load_facts(facts, fact_path, target)
-    append(audit_row(facts, "chat sentiment", "predict", run), audit_path)
     if quarantine_path is not None:
         dialect = window.pop("dialect", "auto")
         complete = complete_transcripts(windowed_chats(chats, **window))
         _, unreadable = parsed_and_quarantined(parse_transcripts(complete, dialect=dialect))
         append(unreadable.select("ID", "UserID", "started", "Messages"), quarantine_path)
+    target = None if first_load else spark.read.schema(FACT).parquet(fact_path)
+    load_facts(facts, fact_path, target)
+    append(audit_row(facts, "chat sentiment", "predict", run), audit_path)
     return run
 
 

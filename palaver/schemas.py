@@ -108,7 +108,6 @@ EMAIL_MASK = "<EMAIL>"
 PHONE_MASK = "<PHONE NUMBER>"
 URL_MASK = "<URL>"
 RUN_STAMP = "yyyyMMdd_HH_mm_ss"
-COUNT_LABEL = "No of Chats"
 DISPLAY_NAMES = {
     "text": "Text",
     "UserID": "User ID",

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 SETTINGS = {
     # Chat times carry no zone; a fixed session zone keeps casts to and from text stable.
     "spark.sql.session.timeZone": "UTC",
@@ -36,18 +33,10 @@ def build_session(app: str = "palaver", master: str | None = None, **settings: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local session may go without: it gets one temporary folder.
+    Where that is not set, a folder beside the tables of the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="palaver-")
-    return _local_dirs[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -26,6 +26,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+def stream_table(
+    spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None, max_bytes: str | None = None
+) -> DataFrame:
+    """A stream of the Parquet files under `path`, with at most so many files or bytes per micro-batch."""
+    reader = spark.readStream.schema(schema)
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.parquet(path)
+
+
 def read_serving(spark: SparkSession, path: str) -> DataFrame:
     """The serving table under its analytic names: files that still say `ID` are renamed."""
     df = spark.read.parquet(path)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palaver.operators.extract import chats_with_profile
 from palaver.operators.quality import impute
@@ -72,7 +71,6 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_of(chat_rows: DataFrame, profile_rows: DataFrame) -> DataFrame:
     """Dashboard fact rows; the sentiment is a stand-in, by mood thirds."""
     joined = impute(chats_with_profile(chat_rows, profile_rows, keep=("mood",)))
-    mood = F.col("mood")
     return joined.select(
         F.col("ID").alias("ChatID"),
         "UserID",
@@ -84,10 +82,20 @@ def fact_of(chat_rows: DataFrame, profile_rows: DataFrame) -> DataFrame:
         "CountryGroup1",
         "ChatType",
         "AgentDisplayName",
-        F.when(mood <= 33, "Negative").when(mood <= 66, "Neutral").otherwise("Positive").alias("Sentiment"),
+        _sentiment(),
     )
 
 
+def _sentiment() -> Column:
+    mood = F.col("mood")
+    return F.when(mood <= 33, "Negative").when(mood <= 66, "Neutral").otherwise("Positive").alias("Sentiment")
+
+
+def moods(chat_rows: DataFrame) -> DataFrame:
+    """Time and stand-in sentiment of chats, without their profiles."""
+    return chat_rows.where(F.col("ID").isNotNull()).select(F.col("started").alias("Date"), _sentiment())
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_of(chats(spark, sf_dir), profile(spark, sf_dir))
 
@@ -127,7 +135,7 @@ def literal_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("', 'date': '"),
         F.col("date"),
         F.lit("', "),
-        F.substring(text, 2, 1 << 30),
+        text.substr(F.lit(2), F.length(text)),
     )
     return _joined_transcripts(turns(spark, sf_dir).select("Key", "pos", message.alias("message")))
 
@@ -146,6 +154,3 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
 
-
-def schema_of(name: str) -> T.StructType:
-    return T.StructType.fromDDL(TABLES[name])

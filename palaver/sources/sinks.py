@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palaver.functions.times import run_stamp
 from palaver.operators.merge import replaced_partition_split
+from palaver.session import fresh_path, shared_dir
 from palaver.sources.files import CSV_OPTIONS
 
 
-def new_run() -> str:
-    return datetime.now().strftime("%Y%m%d_%H_%M_%S_%f")
+def new_run(spark: SparkSession) -> str:
+    """A run name from the session's clock, with a part that tells runs of one moment apart."""
+    now = F.current_timestamp()
+    stamp, micros = spark.range(1).select(run_stamp(now), F.date_format(now, "SSSSSS")).first()
+    return f"{stamp}_{micros}_{uuid.uuid4().hex[:8]}"
 
 
 def write_stage(df: DataFrame, stage: str, run: str | None = None) -> str:
@@ -22,7 +27,7 @@ def write_stage(df: DataFrame, stage: str, run: str | None = None) -> str:
     Also the way to rewrite a table that the frame itself reads: the old run stays untouched
     until the new one is complete, and readers take the newest complete one.
     """
-    run = run or new_run()
+    run = run or new_run(df.sparkSession)
     df.write.mode("errorifexists").parquet(f"{stage}/run={run}")
     return run
 
@@ -48,31 +53,46 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "CurrentDate") -> None:
+def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "CurrentDate", run: str | None = None) -> None:
     """Load rows into a table partitioned by `TransactionDateID`.
 
-    The partition of the newest date among the rows is replaced, rows of other dates are added.
-    On this load path a blank text is the null marker, so blanks are stored as null. The rows are
-    read for their newest date and for both writes: pass a stored frame.
+    The partition of the newest date among the rows is replaced, rows of other dates are added. On
+    this load path a blank text is the null marker, so blanks are stored as null.
+
+    Both happen in one job that overwrites the dates concerned: what older dates hold already is
+    put beside the rows in a stored copy first. `run` names the load. A load that broke off and is
+    tried again under its name finds its copy and writes that once more, so the table is as after
+    one load, wherever it broke off.
     """
-    newest = rows.agg(F.max(date_column)).first()[0]
-    if newest is None:
-        return
-    replacing, adding = replaced_partition_split(rows, newest, date_column)
+    spark = rows.sparkSession
+    stage = f"{shared_dir(spark)}/replace-{run}" if run else fresh_path(spark, "replace")
+    if not _finished(spark, stage):
+        newest = rows.agg(F.max(date_column)).first()[0]
+        if newest is None:
+            return
+        replacing, adding = replaced_partition_split(rows, newest, date_column)
+        table = adding.unionByName(replacing)
+        if _exists(spark, path):
+            stored = spark.read.schema(table.schema).parquet(path)
+            older = adding.select("TransactionDateID").distinct()
+            table = table.unionByName(stored.join(older, "TransactionDateID", "left_semi").select(*table.columns))
+        table.write.mode("overwrite").parquet(stage)
     (
-        replacing.hint("rebalance")  # one date holds all these rows: spread them by size, not by key
+        spark.read.parquet(stage).hint("rebalance", "TransactionDateID")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("TransactionDateID")
         .parquet(path)
-    )
-    if not adding.isEmpty():
-        (
-            adding.hint("rebalance", "TransactionDateID")
-            .write.mode("append")
-            .partitionBy("TransactionDateID")
-            .parquet(path)
-        )
+    )
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite") -> None:

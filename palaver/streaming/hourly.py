@@ -10,22 +10,22 @@ from palaver.functions.times import round_hour
 from palaver.sources.sinks import write_batch
 
 
-def hourly_counts(facts: DataFrame, *dimensions: str, late: str = "2 hours") -> DataFrame:
-    """Streaming chats per rounded hour (and dimensions).
+def partial_counts(facts: DataFrame, *dimensions: str) -> DataFrame:
+    """Chats per rounded hour (and dimensions) of some facts; rows without a date are left out."""
+    hourly = facts.where(F.col("Date").isNotNull()).select(round_hour(F.col("Date")).alias("Date"), *dimensions)
+    return hourly.groupBy("Date", *dimensions).agg(F.count("*").alias("chats"))
 
-    The watermark is on the rounded hour, which is up to half an hour off the event. Rows later
-    than `late` are dropped; a batch run over the stored facts is the correction.
-    """
-    # Watermarks need a zoned timestamp; the cast is undone when the counts are read.
-    rows = facts.select(round_hour(F.col("Date")).cast("timestamp").alias("Date"), *dimensions)
-    return rows.withWatermark("Date", late).groupBy("Date", *dimensions).agg(F.count("*").alias("chats"))
 
+def start_hourly_counts(facts: DataFrame, table: str, checkpoint: str, *dimensions: str) -> StreamingQuery:
+    """Write the counts of every micro-batch of a stream of facts; a retried batch replaces its folder.
 
-def start_hourly_counts(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write every change of a count under its micro-batch; a retried batch replaces its folder."""
+    Nothing is kept between batches, so a row may come as late as it likes and is counted once.
+    How much a batch takes is the reader's choice (`maxFilesPerTrigger`, `maxBytesPerTrigger`).
+    """
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(lambda rows, batch: write_batch(rows, table, batch))
+        facts.writeStream.foreachBatch(
+            lambda rows, batch: write_batch(partial_counts(rows, *dimensions), table, batch)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -33,7 +33,14 @@ def start_hourly_counts(counts: DataFrame, table: str, checkpoint: str) -> Strea
 
 
 def read_hourly_counts(spark: SparkSession, table: str, *dimensions: str) -> DataFrame:
-    """The newest count of every hour."""
-    changes = spark.read.parquet(table)
-    newest = changes.groupBy("Date", *dimensions).agg(F.max_by("chats", "batch").alias("chats"))
-    return newest.withColumn("Date", F.col("Date").cast("timestamp_ntz"))
+    """The count of every hour: the sum of what the batches counted."""
+    return spark.read.parquet(table).groupBy("Date", *dimensions).agg(F.sum("chats").alias("chats"))
+
+
+def compact_hourly_counts(spark: SparkSession, table: str, into: str, *dimensions: str) -> None:
+    """The same counts as one batch folder of a new table, under the newest batch's number.
+
+    The stream goes on in the new table once it is pointed there; until then the old one is whole.
+    """
+    newest = spark.read.parquet(table).agg(F.max("batch")).first()[0]
+    write_batch(read_hourly_counts(spark, table, *dimensions), into, newest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,7 +29,8 @@ def stream_merge(
     Each micro-batch writes its own `batch=` folder, and a batch that is retried replaces its
     folder and leaves its own rows out of the target it compares with. So a retry gives the same
     table, also for rows with null keys, which a merge cannot recognise. `check` sees the facts of
-    a micro-batch before they are merged and may raise.
+    a micro-batch before they are merged and may raise. How much a batch takes is the reader's
+    choice (`maxFilesPerTrigger`, `maxBytesPerTrigger`): `files.stream_table` has both.
     """
 
     def load(rows: DataFrame, batch: int) -> None:
@@ -39,7 +40,7 @@ def stream_merge(
                 check(facts)
             stored = rows.sparkSession.read.schema(T.StructType([*facts.schema.fields, BATCH])).parquet(table)
             target = stored.where(F.col("batch") != batch).select(*facts.columns)
-            write_batch(rows_to_insert(facts, target, list(keys), list(order_by), probe=True), table, batch)
+            write_batch(rows_to_insert(facts, target, list(keys), list(order_by)), table, batch)
         finally:
             facts.unpersist()
 
@@ -49,3 +50,13 @@ def stream_merge(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def compact_batches(spark: SparkSession, table: str, into: str, schema: T.StructType) -> None:
+    """All rows of a table of batches as one batch folder of a new table, under the newest batch's number.
+
+    The stream goes on in the new table once it is pointed there; until then the old one is whole.
+    """
+    stored = spark.read.schema(T.StructType([*schema.fields, BATCH])).parquet(table)
+    newest = stored.agg(F.max("batch")).first()[0]
+    write_batch(stored.drop("batch").hint("rebalance"), into, newest)

@@ -96,6 +96,29 @@ def test_windows(spark):
     assert [r.ID for r in later.collect()] == ["9"]
 
 
+def test_window_without_and_before_a_first_load(spark):
+    chats, profile, phrases = tables(spark, chat(1, "a"), chat(9, "b"))
+    nothing = jobs.scored_facts(jobs.shaped_chats(chats, profile, phrases, days=None)).limit(0)
+    taken = lambda **window: sorted(r.ID for r in jobs.windowed_chats(chats, **window).collect())
+    assert taken(days=None) == ["1", "9"]
+    assert taken(days=0, as_of="2024-01-08 12:00:00") == ["9"]
+    assert taken(loaded=nothing, as_of="2024-01-25 00:00:00", days=2) == ["1", "9"]
+    assert taken(loaded=nothing, as_of="2024-01-25 00:00:00", first_load_days=20) == ["9"]
+    fixed = jobs.fixed_window(spark, {"loaded": nothing, "days": None})
+    assert fixed["days"] is None and fixed["loaded"].count() == 1 and taken(**fixed) == []
+
+
+def test_filters_on_other_columns_reach_the_scan_before_the_parse(spark):
+    chats, profile, phrases = tables(spark, chat(1, "a"), chat(9, "b"))
+    chats.write.parquet(path := fresh_path(spark, "chats"))
+    stored = spark.read.schema(CHATS).parquet(path)
+    late = F.col("Date") > F.lit("2024-01-05").cast("timestamp_ntz")
+    frame = jobs.shaped_chats(stored, profile, phrases, days=None, where=late)
+    assert [r.ID for r in frame.collect()] == ["9"]
+    plan = spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    assert "GreaterThan(started,2024-01-05" in plan
+
+
 def test_unreadable_chats_are_set_aside(spark):
     paths = [fresh_path(spark, name) for name in ("stage", "facts", "audit", "quarantine")]
     chats, profile, phrases = tables(spark, chat(1, "a"), chat(2, "b", Messages="[{'text': undefined}]"))
@@ -133,21 +156,26 @@ def test_empty_load(spark):
 
 def test_dashboard_frames(spark, sf_dir):
     frames = jobs.serve_dashboard(sample.fact(spark, sf_dir), ChatFilter(chat_types=["Support Chat"]))
-    assert set(frames) == {"per_hour", "hour_sentiment", "hour_country", "vip_sentiment", "density"}
-    total = frames["per_hour"].agg(F.sum("chats")).first()[0]
-    assert total == sample.fact(spark, sf_dir).where("ChatType = 'Support Chat'").count()
+    series = {f"vip_{s}" for s in ("negative", "neutral", "positive")}
+    assert set(frames) == {"hourly", "vip_sentiment", "density"} | series
+    facts = sample.fact(spark, sf_dir).where("ChatType = 'Support Chat'")
+    totals = {r.chart: r.n for r in frames["hourly"].groupBy("chart").agg(F.sum("chats").alias("n")).collect()}
+    assert totals == dict.fromkeys(("per_hour", "hour_sentiment", "hour_country"), facts.count())
+    assert sum(frames[s].agg(F.sum("chats")).first()[0] for s in series) == facts.count()
+    assert frames["hourly"]._jdf.queryExecution().optimizedPlan().toString().count("events") <= 1 + facts._jdf.queryExecution().optimizedPlan().toString().count("events")
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
     path = fresh_path(spark, "serving")
     sinks.write_serving(sample.fact(spark, sf_dir), path)
     chosen = ChatFilter(date=("2024-01-03", None), vip=(1, 3), sentiments=["Negative"])
-    frame = jobs.serve_dashboard(spark.read.parquet(path), chosen)["hour_sentiment"]
+    frame = jobs.serve_dashboard(spark.read.parquet(path), chosen)["hourly"]
     plan = spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
     pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
     expected = ("GreaterThanOrEqual(Date,2024-01-03", "GreaterThanOrEqual(VIPLevel,1)", "(VIPLevel,3)", "(Sentiment,Neg")
     assert all(part in pushed for part in expected)
-    assert "ReadSchema: struct<Date:timestamp_ntz,VIPLevel:int,Sentiment:string>" in plan
+    assert plan.count("ReadSchema") == 1  # one scan for three charts
+    assert "ReadSchema: struct<Date:timestamp_ntz,VIPLevel:int,CountryGroup1:string,Sentiment:string>" in plan
 
 
 def test_csv_sources(spark, tmp_path):
@@ -229,10 +257,16 @@ def test_hourly_counts_follow_new_chats(spark):
 
     def run():
         stream = spark.readStream.schema(sample.TABLES["events"]).parquet(source)
-        counts = hourly.hourly_counts(sample.fact_of(sample.chats_of(stream), profile))
-        hourly.start_hourly_counts(counts, table, state).awaitTermination()
+        facts = sample.fact_of(sample.chats_of(stream), profile)
+        hourly.start_hourly_counts(facts, table, state).awaitTermination()
         return {r.Date.hour: r.chats for r in hourly.read_hourly_counts(spark, table).collect()}
 
     assert run() == {1: 1, 2: 2}
     events(spark, source, event(2), event(3))
     assert run() == {1: 1, 2: 3, 3: 1}
+    events(spark, source, event(23))
+    assert run() == {1: 1, 2: 3, 3: 1, 23: 1}
+    events(spark, source, event(1))  # very late, in an hour that was counted
+    assert run() == {1: 2, 2: 3, 3: 1, 23: 1}
+    hourly.compact_hourly_counts(spark, table, compacted := fresh_path(spark, "counts"))
+    assert {r.Date.hour: r.chats for r in hourly.read_hourly_counts(spark, compacted).collect()} == {1: 2, 2: 3, 3: 1, 23: 1}

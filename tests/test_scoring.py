@@ -61,14 +61,6 @@ def test_long_texts_are_read_to_the_end(spark):
     assert scoring.score_by_lexicon(df).first().Sentiment == "Positive"
 
 
-def test_transformer_is_optional():
-    try:
-        import transformers  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="transformers"):
-            scoring.transformer_scorer("any")
-
-
 def test_unpack(spark):
     df = spark.createDataFrame([(1, [0.3, 0.3, 0.4]), (2, [0.4, 0.4, 0.2])], "n int, scores array<double>")
     assert labels(scoring.unpack_scores(df)) == ["Positive", "Negative"]

@@ -7,7 +7,6 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from palaver.operators import transcripts as tr
-from palaver.operators.skew import salted_join
 
 
 def chats(spark, *transcripts):
@@ -89,10 +88,10 @@ TALKS = [
 ]
 
 
-def shaped(spark, phrases):
+def shaped(spark, phrases, **options):
     rows = chats(spark, *[str(t) for t in TALKS])
     listed = spark.createDataFrame([(p,) for p in phrases], "FilterMessages string")
-    return {r.ID: (r.text, r.html_text) for r in tr.shape_chats(rows, listed).collect()}
+    return {r.ID: (r.text, r.html_text) for r in tr.shape_chats(rows, listed, **options).collect()}
 
 
 def test_phrases_match_exactly_and_empty_chats_vanish(spark):
@@ -101,10 +100,9 @@ def test_phrases_match_exactly_and_empty_chats_vanish(spark):
     assert result["2"][1].startswith("<b>Al (visitor) on 2024-01-01 10:00</b><br><br><br>")
 
 
-def test_long_phrase_lists_give_the_same(spark, monkeypatch):
+def test_long_phrase_lists_give_the_same(spark):
     inline = shaped(spark, PHRASES)
-    monkeypatch.setattr(tr, "MAX_INLINE_PHRASES", 2)
-    assert shaped(spark, PHRASES) == inline
+    assert shaped(spark, PHRASES, most_inline=2) == inline
 
 
 def test_phrases_with_long_texts_are_not_inlined(spark):
@@ -131,32 +129,29 @@ def test_top_messages_breaks_ties_by_text(spark):
     assert [tuple(r) for r in tr.top_messages(rows, 2).collect()] == [("c", 2), ("a", 1)]
 
 
-def test_salted_join_is_a_plain_join_when_shuffled(spark):
-    left = spark.range(2000).select((F.col("id") % 3).alias("k"), F.lit("same").alias("v"))
-    right = spark.createDataFrame([(0, "zero"), (1, "one")], "k long, w string")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        counts = {tuple(r) for r in salted_join(left, right, ["k"], "left").groupBy("k", "w").count().collect()}
-        rest = salted_join(left, right.select("k"), ["k"], "left_anti").count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert counts == {(0, "zero", 667), (1, "one", 667), (2, None, 666)}
-    assert rest == 666
+@pytest.mark.parametrize("most", [0, 1, 1000])
+def test_repeated_ids_keep_their_own_texts(spark, most):
+    """Two users under one ID: whether the list is inlined or joined, each keeps what was said to them."""
+    rows = chats(spark, str([{"user_type": "visitor", "text": "first"}]), str([{"user_type": "visitor", "text": "second"}]))
+    same = rows.withColumn("UserID", F.col("ID")).withColumn("ID", F.lit("1"))
+    listed = spark.createDataFrame([("x",), ("y",)], "FilterMessages string")
+    shaped = tr.shape_chats(same, listed, most_inline=most)
+    assert sorted(r.text for r in shaped.collect()) == ["first", "second"]
+    assert shaped.select("UserID").distinct().count() == 2
 
 
 @pytest.mark.parametrize("inline", [True, False])
-def test_census_names_every_outcome(spark, monkeypatch, inline):
-    if not inline:
-        monkeypatch.setattr(tr, "MAX_INLINE_PHRASES", 2)
+def test_census_names_every_outcome(spark, inline):
+    most = 1000 if inline else 2
     talks = [str(t) for t in TALKS] + [str(TALKS[0])[:-3], None, "[]", "[{'text': undefined}]"]
     listed = spark.createDataFrame([(p,) for p in PHRASES], "FilterMessages string")
-    counts = {r.outcome: r.chats for r in tr.transcript_census(chats(spark, *talks), listed).collect()}
+    counts = {r.outcome: r.chats for r in tr.transcript_census(chats(spark, *talks), listed, most_inline=most).collect()}
     assert counts == {"kept": 2, "only listed phrases": 2, "cut off": 3, "unreadable": 1}
 
 
 def test_worker_functions_travel_by_value(tmp_path):
-    payload = cloudpickle.dumps(tr._convert)
-    code = "import pickle, sys; print(pickle.load(sys.stdin.buffer)('[None, True]'))"
+    payload = cloudpickle.dumps(tr._read_literal)
+    literal = "[{'text': None, 'date': True}]"
+    code = f"import pickle, sys; print(pickle.load(sys.stdin.buffer)({literal!r}))"
     done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd=tmp_path, check=True)
-    assert done.stdout.decode().strip() == "[null, true]"
+    assert "'text': None" in done.stdout.decode() and "'date': 'true'" in done.stdout.decode()
