@@ -20,6 +20,11 @@ def display_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: DISPLAY_NAMES[c] for c in df.columns if c in DISPLAY_NAMES})
 
 
+def rename_by_position(df: DataFrame, *names: str) -> DataFrame:
+    """The columns under other names, in their order; as many names as columns."""
+    return df.toDF(*names)
+
+
 def search_results(df: DataFrame, chosen: ChatFilter, n: int = 500) -> DataFrame:
     """The first n hits as the results table shows them: no scores, whole minutes, text preview."""
     hits = first_rows(chosen.apply(df), n)

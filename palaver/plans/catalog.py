@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -260,6 +261,28 @@ def vip_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return dash.vip_by_sentiment(sample.fact(spark, sf))
 
 
+@query(
+    "vip_table",
+    """SELECT VIPLevel AS "VIP Level", Sentiment AS "Sentiment", count(*) AS "No of Chats" FROM fact_v GROUP BY 1, 2""",
+)
+def vip_table(spark: SparkSession, sf: str) -> DataFrame:
+    counts = dash.vip_by_sentiment(sample.fact(spark, sf))
+    return search.rename_by_position(counts, "VIP Level", "Sentiment", "No of Chats")
+
+
+@query(
+    "vip_series",
+    """SELECT lower(Sentiment) AS series, VIPLevel, Sentiment, count(*) AS chats FROM fact_v GROUP BY 2, 3""",
+)
+def vip_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The three series of the dashboard's VIP chart, one under the other."""
+    charts = dash.dashboard(sample.fact(spark, sf))
+    names = [label.lower() for label in SENTIMENTS]
+    return reduce(
+        DataFrame.unionByName, (charts[f"vip_{name}"].withColumn("series", F.lit(name)) for name in names)
+    )
+
+
 @query(
     "vip_pivot",
     f"""SELECT VIPLevel, {', '.join(f"count(*) FILTER (WHERE Sentiment = '{s}') AS {s}" for s in SENTIMENTS)}

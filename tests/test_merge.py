@@ -1,5 +1,8 @@
+import uuid
 from datetime import datetime
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from palaver.operators import merge
