@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from palaver.llm import decontaminate, language, packing, secrets, simhash
 from palaver.llm.common import remainder, settled
 
+BATCH_BYTES = "8m"  # of the Arrow batches that whole documents travel in; Spark's default of 64 MB is held several times over
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known well enough; those without letters go.
@@ -20,12 +26,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Prototypes are learned from the labelled documents of the same folds as the registered query.
     Rows with one key and text share their prediction, so copies stay copies.
     """
+    _small_batches(spark)
     langs, prototypes = language.prototypes(docs.filter(remainder("doc_id", language.FOLDS) != language.HELD_OUT))
     return language.keep_known(docs, langs, prototypes)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest key."""
+    _small_batches(spark)
     return simhash.one_per_class(docs)
 
 
@@ -42,6 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 

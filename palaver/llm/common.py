@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palaver.session import fresh_path
 
-CHUNK_BYTES = 2 << 20  # texts are worked on in runs of this many bytes; a longer text is a run of its own
+CHUNK_BYTES = 1 << 20  # texts are worked on in runs of this many bytes; a longer text is a run of its own
 
 
 def remainder(key: str, divisor: int) -> Column:

@@ -197,10 +197,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with the smallest key of their class (a null key last), one of each class, all columns."""
-    row, none, least, least_hash = spare(docs, "_row", "_none", "_key", "_hash")
+    # Two hashes of the whole row stand for it: equal rows are one document. Only they meet in the
+    # join, whose partitioning and order then also serve to drop repeated rows: one shuffle of texts.
+    row, other, none, least = spare(docs, "_row", "_other", "_none", "_key")
     hashable = [c for c, f in zip(all_of(docs), docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
-    hashed = docs.withColumn(row, F.xxhash64(*hashable))
-    rank = F.struct(F.col(key).isNull().alias(none), F.col(key).alias(least), F.col(row).alias(least_hash))
-    chosen = classes(hashed, [key, row], rank, text, size, radius).select(f"first.{least}", f"first.{least_hash}").distinct()
-    kept = hashed.join(chosen, F.col(key).eqNullSafe(F.col(least)) & (F.col(row) == F.col(least_hash)), "left_semi")
-    return kept.dropDuplicates([key, row]).select(*all_of(docs))
+    hashed = docs.withColumns({row: F.xxhash64(*hashable), other: F.xxhash64(F.lit(1), *hashable)})
+    rank = F.struct(F.col(key).isNull().alias(none), F.col(key).alias(least), row, other)
+    chosen = classes(hashed, [key, row, other], rank, text, size, radius).select(f"first.{row}", f"first.{other}").distinct()
+    return hashed.join(chosen, [row, other], "left_semi").dropDuplicates([row, other]).select(*all_of(docs))
