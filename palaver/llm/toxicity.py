@@ -320,7 +320,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, model: LetterModel, key: str =
         .groupBy(F.col(key).alias("_key")).agg(F.max("toxic").alias("_toxic"))
         .orderBy(F.xxhash64("_key"), "_key").limit(bound)
     )
-    sample = docs.join(F.broadcast(known), F.col(key) == F.col("_key")).select(F.col(text), F.col("_toxic"))
+    sample = docs.select(key, text).join(F.broadcast(known), F.col(key) == F.col("_key")).select(F.col(text), F.col("_toxic"))
     count = sample.groupBy("_toxic").count().toPandas().set_index("_toxic")["count"]
     n1, n0 = int(count.get(1, 0)), int(count.drop(1, errors="ignore").sum())
     none = np.zeros(0, np.int64)
