@@ -21,7 +21,7 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known well enough; those without letters go.
+    """All documents but those without letters and those long enough to tell that they are of no learned language.
 
     Prototypes are learned from the labelled documents of the same folds as the registered query.
     Rows with one key and text share their prediction, so copies stay copies.

@@ -22,7 +22,8 @@ from palaver.llm.common import text_bytes, worker_state
 DIMENSIONS = 1024
 SEED = 20
 FOLDS, HELD_OUT = 5, 0
-MIN_SCORE = 0.08  # the pipeline rejects texts below it: unrelated letters reach about 0.05
+MIN_SCORE = 0.08  # 2.5 times the noise 1 / sqrt(DIMENSIONS): unrelated letters reach about 0.05
+LEAST_GRAMS = 100  # so many even 3-grams a text must have for its cosine to speak against it
 UNKNOWN = "und"
 RUN_BYTES, RUN_ROWS, BLOCK = 1 << 18, 128, 4096
 LEARN_BYTES, LEARN_ROWS = 1 << 21, 1 << 14
@@ -149,9 +150,13 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     return [r.lang for r, k in zip(rows, kept, strict=True) if k], (table[kept] / length[kept]).astype(np.float32)
 
 
-def _best(column: pa.Array, langs: list[str], table: np.ndarray, vectors: LetterVectors) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the best language of each text (their count where there is none) and its cosine."""
-    best, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+def _best(column: pa.Array, langs: list[str], table: np.ndarray, vectors: LetterVectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language of each text (their count where there is none), its cosine, and how many 3-grams tell it.
+
+    The last is the number of equally frequent 3-grams that give a profile of this length: one
+    repeated 3-gram tells no more than a single one.
+    """
+    best, scores, told = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
     for _, _, data, bounds in _runs(column, RUN_BYTES, RUN_ROWS):
         grams = Grams(data, bounds)
         profile = grams.bundle(grams.text, len(bounds) - 1, vectors)
@@ -162,13 +167,15 @@ def _best(column: pa.Array, langs: list[str], table: np.ndarray, vectors: Letter
         at = cosines.argmax(axis=1)
         best.append(at)
         scores.append(np.where(at == len(langs), 0, np.clip(cosines[np.arange(len(at)), at], 0, 1)))
-    return np.concatenate(best), np.concatenate(scores).astype(np.float64)
+        total = np.bincount(grams.text, minlength=len(length)).astype(np.float64)
+        told.append((total / np.maximum(length, 1e-9)) ** 2 * vectors.dimensions)
+    return np.concatenate(best), np.concatenate(scores).astype(np.float64), np.concatenate(told)
 
 
 def predict(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     vectors, names = LetterVectors(), np.array([*langs, UNKNOWN], object)
     for batch in batches:
-        best, scores = _best(batch.column(1), langs, table, vectors)
+        best, scores, _ = _best(batch.column(1), langs, table, vectors)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(names[best], pa.string()), pa.array(scores)],
             [batch.schema.names[0], "lang_pred", "score"],
@@ -191,14 +198,16 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, key: str = "d
 def _keep(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray, at: int, least: float) -> Iterator[pa.RecordBatch]:
     vectors = LetterVectors()
     for batch in batches:
-        best, scores = _best(batch.column(at), langs, table, vectors)
-        yield batch.filter(pa.array((best < len(langs)) & (scores >= least)))
+        best, scores, told = _best(batch.column(at), langs, table, vectors)
+        yield batch.filter(pa.array((best < len(langs)) & ((scores >= least) | (told < LEAST_GRAMS))))
 
 
 def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "text", least: float = MIN_SCORE) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is known with a score of `least` or more.
+    """The rows of `docs`, all columns, but those without letters and those that are of no learned language.
 
-    The prediction is that of `identify`; rows pass through it, so keys need not be unique.
+    A score under `least` tells that only of a text with enough 3-grams (`LEAST_GRAMS`): a short
+    one scores low in its own language. The prediction is that of `identify`; rows pass through
+    it, so keys need not be unique.
     """
     at, plain = docs.columns.index(text), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
     kept = plain.mapInArrow(lambda batches: _keep(batches, langs, table, at, least), plain.schema)

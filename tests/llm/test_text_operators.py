@@ -1,5 +1,6 @@
 """Quality, language, token counts, toxicity against brute force, and their odd rows."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -80,6 +81,19 @@ def test_language_of_odd_rows(spark):
     assert language.identify(empty(spark), langs, table_).count() == 0
 
 
+def test_short_texts_of_a_learned_language_stay(spark, sf_dir):
+    langs, table_ = language.prototypes(table(spark, sf_dir, "documents"))
+    letters = random.Random(5)
+    noise = ["".join(letters.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000)) for _ in range(20)]
+    short = ["Avec.", "A.", "A.\nAll rights reserved.", "A. " * 2000]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate([*short, "12 !", *noise])])
+    score = {r.doc_id: r.score for r in language.identify(docs, langs, table_).collect()}
+    low = {i for i in score if score[i] < language.MIN_SCORE}
+    assert low & set(range(len(short)))
+    assert {r.doc_id for r in language.keep_known(docs, langs, table_).collect()} == set(score) - (low - set(range(len(short))))
+    assert len(low) > 15
+
+
 def test_language_profile_by_hand(spark):
     """The matrix form gives the bundle that adding up bound, permuted vectors gives."""
     import numpy as np
