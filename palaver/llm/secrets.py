@@ -39,12 +39,22 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", least=18),
     Rule("hex", r"[0-9a-f]{16,}", least=16),
 )
+# A private key runs to its END line; where that is missing, over the header and base64 lines that follow.
+# Repeats are bounded, as Java nests a call for each one, and parted, as DuckDB takes at most 1,000 nested ones.
+# No part may hold two dashes, so a key never runs into the next.
+_HEADERS = r"(?:[\r\n\x20]*[A-Za-z]+(?:-[A-Za-z]+)?:\x20[^\r\n]*){0,8}"
+_LINES = r"""(?:[\x09-\x0D\x20"'\\,;:>|#*]*[A-Za-z0-9+/]{20,}={0,2})"""
+_LAST = r"(?:\r?\n\x20*[A-Za-z0-9+/]{1,64}={0,2}(?:\r?\n|\z))?"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,128}-{5,}END [A-Z ]*PRIVATE KEY-----"
+    rf"|{_HEADERS}{_LINES}{f'{_LINES}{{0,25}}' * 16}{_LAST}|)"
+)
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2),
 )
 RULES = BASE + MORE
 LEDGER = "blob string, rules array<string>, findings array<struct<kind:string,start:bigint,end:bigint>>"
@@ -170,11 +180,12 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
     named, blob = spare(docs, "_named", "_blob")
     flagged = blob_findings(whole, rules).select(F.col("blob").alias(blob))
     # A value that is long enough may follow a shorter one that the scan dropped; it goes as well.
+    # Keys go first: another rule's match inside would hide where they begin or end.
     clean = reduce(
         lambda column, rule: F.regexp_replace(
             column, rule.pattern.replace("]+))", f"]{{{rule.least},}}))") if rule.value else rule.pattern, F.lit(REDACTED)
         ),
-        rules, F.col(text),
+        sorted(rules, key=lambda rule: rule.kind != "pem"), F.col(text),
     )
     joined = docs.withColumn(named, blob_of(text)).join(flagged, F.col(named) == F.col(blob), "left")
     return joined.withColumn(text, F.when(F.col(blob).isNotNull(), clean).otherwise(F.col(text))).select(*all_of(docs))
