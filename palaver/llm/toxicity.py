@@ -38,6 +38,12 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "+": "t", "€": "e", "£": "l",
 }
 SUBSTITUTE, REPEAT, NOISE, APART = 1.0, 0.7, 8.0, 0.2  # costs in nats
+BREAK = 1.0  # of a word break in a gap between letters set apart; APART where the gap is wider than one beside it
+NEAR = 6.0  # words of a span set apart that lie on a path this much dearer than the best one are restored as well
+LONGEST = 40  # letters of a word set apart
+
+
+START: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}  # two letters before: cost, path
 
 
 class Letters:
@@ -162,27 +168,74 @@ class Decoder:
             last = c
             yield arcs
 
-    def _decode(self, span: str, apart: bool) -> str:
-        best: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
-        for arcs in self._arcs(span, apart):
-            after: dict = {}
-            for (a, b), (cost, path) in best.items():
-                for letter, extra in arcs:
-                    if letter:
-                        total = cost + extra + self.cost(ord(a) if a else 0, ord(b) if b else 0, ord(letter))
-                        state, way = (b, letter), (letter, path)
-                    else:
-                        total, state, way = cost + extra, (a, b), path
-                    if state not in after or total < after[state][0]:
-                        after[state] = total, way
-            best = after
+    def _step(self, best: dict, arcs: list[tuple[str, float]]) -> dict:
+        after: dict = {}
+        for (a, b), (cost, path) in best.items():
+            for letter, extra in arcs:
+                if letter:
+                    total = cost + extra + self.cost(ord(a) if a else 0, ord(b) if b else 0, ord(letter))
+                    state, way = (b, letter), (letter, path)
+                else:
+                    total, state, way = cost + extra, (a, b), path
+                if state not in after or total < after[state][0]:
+                    after[state] = total, way
+        return after
+
+    def _end(self, best: dict) -> tuple[float, str]:
+        """Cost and letters of the best path when the word ends."""
         ends = ((cost + self.cost(ord(a) if a else 0, ord(b) if b else 0, 0), path) for (a, b), (cost, path) in best.items())
-        path = min(ends, key=lambda x: x[0])[1]
+        cost, path = min(ends, key=lambda x: x[0])
         out = []
         while path is not None:
             out.append(path[0])
             path = path[1]
-        return "".join(reversed(out))
+        return cost, "".join(reversed(out))
+
+    def _decode(self, span: str, apart: bool) -> tuple[str, ...]:
+        """The restored word; of a span set apart every word on a path at most NEAR dearer than the best."""
+        steps = list(self._arcs(span, apart))
+        if not apart:
+            best = START
+            for arcs in steps:
+                best = self._step(best, arcs)
+            return (self._end(best)[1],)
+        # Words run from node to node; each gap is passed within a word or ends it.
+        breaks = _breaks(span)
+        nodes = [0, *(at + 1 for at in breaks), len(span)]
+        words = []
+        for i, first in enumerate(nodes[:-1]):
+            best = START
+            for j in range(i + 1, min(i + LONGEST, len(nodes) - 1) + 1):
+                for at in range(nodes[j - 1], nodes[j]):
+                    if at in breaks:
+                        cost, word = self._end(best)
+                        words.append((i, j, cost + breaks[at], word))
+                    best = self._step(best, steps[at])
+            if nodes[j] == len(span):
+                words.append((i, j, *self._end(best)))
+        before, behind = [0.0] + [np.inf] * (len(nodes) - 1), [np.inf] * (len(nodes) - 1) + [0.0]
+        for i, j, cost, _ in words:
+            before[j] = min(before[j], before[i] + cost)
+        for i, j, cost, _ in reversed(words):
+            behind[i] = min(behind[i], behind[j] + cost)
+        return tuple(dict.fromkeys(w for i, j, cost, w in words if before[i] + cost + behind[j] <= before[-1] + NEAR))
+
+
+def _breaks(span: str) -> dict[int, float]:
+    """The last place of each gap of a span set apart, and what a word break costs there."""
+    gaps, start = [], None
+    for at, c in enumerate(span + "a"):
+        if c.isalpha() or c in STANDS_FOR:
+            if start is not None:
+                gaps.append((at - 1, at - start))
+            start = None
+        elif start is None:
+            start = at
+    out = {}
+    for k, (at, width) in enumerate(gaps):
+        beside = [w for _, w in gaps[max(k - 1, 0) : k + 2]]
+        out[at] = APART if width > min(beside) else BREAK
+    return out
 
 
 def _plain(span: str) -> str:
@@ -200,10 +253,11 @@ def restore(run: Letters, decoder: Decoder) -> tuple[list[str], list[int]]:
         span = _plain(run.text[a:b])
         if not any(c.isalpha() for c in span):
             continue
-        word = decoder.decode(span, apart)
-        if word and word != span:
-            words.append(word)
-            owners.append(int(np.searchsorted(run.bounds, a, side="right")) - 1)
+        owner = int(np.searchsorted(run.bounds, a, side="right")) - 1
+        for word in decoder.decode(span, apart):
+            if word and word != span:
+                words.append(word)
+                owners.append(owner)
     return words, owners
 
 

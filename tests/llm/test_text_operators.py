@@ -162,6 +162,20 @@ def test_toxicity_restores_hidden_words(spark):
     assert min(score[i] for i in range(4)) >= toxicity.CUT > max(score[i] for i in range(4, 8))
 
 
+def test_toxicity_parts_words_set_apart(spark):
+    docs, labels = labelled(spark)
+    letters = toxicity.fit_letters(docs)
+    hidden = ["a s t u p i d one", "y c l o w n", "s t u p i d c l o w n", "a  s t u p i d  c l o w n", "w h a t  a s.t.u.p.1.d"]
+    words = toxicity.restored_words(hidden, letters).groupby("text")["word"].agg(set).to_dict()
+    for i, expected in enumerate([{"a", "stupid"}, {"clown"}, {"stupid", "clown"}, {"a", "stupid", "clown"}, {"what", "stupid"}]):
+        assert expected <= words[i], hidden[i]
+    model = toxicity.fit_toxic(docs, labels, letters)
+    clean = ["a n i c e d a y", "w h a t  a  n i c e  d a y"]
+    tests = frame(spark, [(i, t, None) for i, t in enumerate([*hidden, *clean])])
+    score = {r.doc_id: r.score for r in toxicity.score_toxic(tests, letters, model).collect()}
+    assert min(score[i] for i in range(5)) >= toxicity.CUT > max(score[5], score[6])
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark)
     letters = toxicity.fit_letters(frame(spark))
