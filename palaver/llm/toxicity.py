@@ -84,11 +84,10 @@ class Letters:
 
         twice = np.zeros(len(letter), bool)
         twice[1:] = letter[1:] & (self.letters[1:] == self.letters[:-1])
-        thrice = twice.copy()
-        thrice[1:] &= twice[:-1]
         n_letters, n_signs = within(letter), within(self.signs)
-        odd = ((n_letters > 0) & (n_signs > 0)) | ((n_signs == 0) & ((within(thrice) > 0) | (within(twice) > 2)))
-        out = [(int(a), int(b), False) for a, b in zip(starts[odd], ends[odd], strict=True)]
+        # any doubled letter may be a repetition: the letter model decides, once per distinct word
+        odd = (n_letters > 0) & ((n_signs > 0) | (within(twice) > 0))
+        out = [(a, b, False) for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
         # runs of four or more single characters with at most two others between them
         text = np.searchsorted(self.bounds, starts, side="right")
         single = ends - starts == 1
@@ -153,7 +152,7 @@ class Decoder:
 
     def __init__(self, model: LetterModel):
         self.cost = lru_cache(1 << 16)(model.cost)
-        self.decode = lru_cache(1 << 16)(self._decode)
+        self.words = lru_cache(1 << 16)(self._words)
 
     def _arcs(self, span: str, apart: bool) -> Iterator[list[tuple[str, float]]]:
         """For each character, the letters it may give (or none) and their costs."""
@@ -220,6 +219,13 @@ class Decoder:
             behind[i] = min(behind[i], behind[j] + cost)
         return tuple(dict.fromkeys(w for i, j, cost, w in words if before[i] + cost + behind[j] <= before[-1] + NEAR))
 
+    def _words(self, text: str, apart: bool) -> tuple[str, ...]:
+        """What a span is restored to, where that is not the span itself."""
+        span = _plain(text)
+        if not any(c.isalpha() for c in span):
+            return ()
+        return tuple(word for word in self._decode(span, apart) if word and word != span)
+
 
 def _breaks(span: str) -> dict[int, float]:
     """The last place of each gap of a span set apart, and what a word break costs there."""
@@ -248,17 +254,12 @@ def _plain(span: str) -> str:
 
 def restore(run: Letters, decoder: Decoder) -> tuple[list[str], list[int]]:
     """Restored words of a run, and the text each is in."""
-    words, owners = [], []
+    words, places = [], []
     for a, b, apart in run.suspects():
-        span = _plain(run.text[a:b])
-        if not any(c.isalpha() for c in span):
-            continue
-        owner = int(np.searchsorted(run.bounds, a, side="right")) - 1
-        for word in decoder.decode(span, apart):
-            if word and word != span:
-                words.append(word)
-                owners.append(owner)
-    return words, owners
+        for word in decoder.words(run.text[a:b], apart):
+            words.append(word)
+            places.append(a)
+    return words, (np.searchsorted(run.bounds, np.array(places, np.int64), side="right") - 1).tolist()
 
 
 def _hash_words(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -176,6 +176,21 @@ def test_toxicity_parts_words_set_apart(spark):
     assert min(score[i] for i in range(5)) >= toxicity.CUT > max(score[5], score[6])
 
 
+def test_toxicity_restores_doubled_letters(spark):
+    docs, labels = labelled(spark)
+    letters = toxicity.fit_letters(docs)
+    hidden = ["stuupid", "sstupid", "STUPPIDD", "clownn", "a ccloown"]
+    words = toxicity.restored_words(hidden, letters)
+    assert words.values.tolist() == [[0, "stupid"], [1, "stupid"], [2, "stupid"], [3, "clown"], [4, "clown"]]
+    rows = [(i, f"{ENGLISH} all hills will be well", None) for i in range(20)]
+    honest = toxicity.fit_letters(docs.unionByName(frame(spark, rows)))
+    assert toxicity.restored_words(["all hills will be well"], honest).empty
+    model = toxicity.fit_toxic(docs, labels, letters)
+    tests = frame(spark, [(i, t, None) for i, t in enumerate([*hidden, "all hills", "nnice daay"])])
+    score = {r.doc_id: r.score for r in toxicity.score_toxic(tests, letters, model).collect()}
+    assert min(score[i] for i in range(5)) >= toxicity.CUT > max(score[5], score[6])
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark)
     letters = toxicity.fit_letters(frame(spark))
