@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
+from palaver.llm import chat, decontaminate, language, merkle, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -77,6 +77,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+TAMPERED = 7  # rows whose key's crc32 this divides are checked with a changed value
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = {f: F.col(f) for f in merkle.FIELDS}
+    changed = F.when(remainder("doc_id", TAMPERED) == 0, merkle.leaf(*(values | {"n_chars": F.col("n_chars") + 1}).values()))
+    rows = merkle.manifest(docs, changed=changed)
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -88,6 +102,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 # Lengths of the default template: an opening, the role and what follows it, the text, a closing.
