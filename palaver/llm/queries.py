@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, language, merkle, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
+from palaver.llm import chat, decontaminate, divergence, language, merkle, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -91,6 +91,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 # Lengths of the default template: an opening, the role and what follows it, the text, a closing.
@@ -169,5 +174,35 @@ SELECT t.doc_id AS doc_id, {counts},
   sha256(coalesce({listed} FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
 FROM t LEFT JOIN good ON good.doc_id = t.doc_id GROUP BY t.doc_id"""
 
-
-SQL = {"op4_decontamination": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_secret_scan": _op9_sql()}
+_SHARE = f"(1 + ({divergence.SCALE} * ({{0}} + {divergence.SMOOTH})::HUGEINT) // ({{1}} + {divergence.SMOOTH} * {{2}}))::BIGINT"
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+u AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM u GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.LEAST_DOCUMENTS}),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM kept GROUP BY lang),
+grid AS (SELECT g.lang AS lang, source, term, n_lang FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept ON kept.lang = g.lang),
+counted AS (
+  SELECT grid.*, coalesce(n, 0) AS n FROM grid LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM u GROUP BY lang, source, term) c
+    ON c.lang = grid.lang AND c.source = grid.source AND c.term = grid.term),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own FROM counted),
+shares AS (
+  SELECT s.lang AS lang, source, term, n, {_SHARE.format("n", "own", "v")} AS p, {_SHARE.format("n_lang", "total", "v")} AS q
+  FROM summed s JOIN langs ON langs.lang = s.lang),
+pairs AS (
+  SELECT a.lang AS lang, a.source AS source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+gs AS (SELECT DISTINCT lang, source FROM d),
+rows AS (
+  SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM gs a JOIN gs b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+SQL = {"op4_decontamination": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_secret_scan": _op9_sql(), "op12_source_divergence": OP12_SQL}
