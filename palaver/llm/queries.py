@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import chat, decontaminate, divergence, language, merkle, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
+from palaver.llm import chat, covertree, decontaminate, divergence, language, merkle, packing, quality, secrets, simhash, token_counts, toxicity, wavelet
 from palaver.llm.common import remainder
 from palaver.session import fresh_path
 
@@ -95,6 +95,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_divergence": op12_source_divergence,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 # Lengths of the default template: an opening, the role and what follows it, the text, a closing.
