@@ -36,6 +36,7 @@ class WaveletMatrix:
     def __init__(self, size: int, planes: list[np.ndarray], directories: list[np.ndarray]):
         self.size, self.planes, self.directories = size, planes, directories  # planes: bytes, low bit first
         self.zeros = [size - int(d[-1]) for d in directories]
+        self._directories: dict[tuple[int, bool], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -115,27 +116,42 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.size)
 
-    def _find(self, level: int, number: int, one: bool) -> int:
-        """Position of the bit (one or zero) with `number` like it before, on a level."""
-        directory = self.directories[level].astype(np.int64)
-        before = directory if one else np.arange(len(directory)) * BLOCK - directory
-        block = int(np.searchsorted(before, number, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == one)[number - int(before[block])])
+    def _before(self, level: int, one: bool) -> np.ndarray:
+        """How many ones (or zeros) lie before each block of a level; worked out once."""
+        key = level, one
+        if key not in self._directories:
+            ones = self.directories[level].astype(np.int64)
+            self._directories[key] = ones if one else np.arange(len(ones)) * BLOCK - ones
+        return self._directories[key]
+
+    def _find(self, level: int, numbers: np.ndarray, one: bool) -> np.ndarray:
+        """Positions of the bits (ones or zeros) with `numbers` like them before, on a level."""
+        if len(numbers) * BLOCK > self.size:  # so many that looking through the whole plane is less work
+            bits = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
+            return np.flatnonzero(bits if one else ~bits)[numbers]
+        before = self._before(level, one)
+        block = np.searchsorted(before, numbers, side="right") - 1
+        bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
+        upto = np.cumsum(bits == one, axis=1, dtype=np.int32)
+        return block * BLOCK + (upto > (numbers - before[block])[:, None]).argmax(axis=1)
+
+    def _up(self, token: int, places: np.ndarray) -> np.ndarray:
+        """Positions of a token's occurrences from their places after the last level."""
+        for level in range(len(self.planes) - 1, -1, -1):
+            one = bool(token >> (len(self.planes) - 1 - level) & 1)
+            places = self._find(level, places - self.zeros[level] if one else places, one)
+        return places
 
     def select(self, token: int, number: int) -> int:
         """Position of the occurrence with `number` occurrences before it."""
         start, stop = self._range(token, 0, self.size)
         if not 0 <= number < stop - start:
             raise IndexError(number)
-        at = start + number
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = bool(token >> (len(self.planes) - 1 - level) & 1)
-            at = self._find(level, at - self.zeros[level] if one else at, one)
-        return at
+        return int(self._up(token, np.array([start + number]))[0])
 
-    def positions(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def positions(self, token: int) -> np.ndarray:
+        """Positions of all occurrences, in order: one pass per level for all of them."""
+        return self._up(token, np.arange(*self._range(token, 0, self.size)))
 
     def decode(self) -> np.ndarray:
         """All ids in order: the splits undone from the last level up."""
@@ -155,13 +171,15 @@ def _encode(batches: Iterator[pa.RecordBatch], locate, end: int, size: int) -> I
     close, names = np.array([end], np.uint32), None
 
     def written(kind):
-        body = WaveletMatrix.build(np.concatenate(ids)).to_bytes()
+        whole = np.concatenate(ids)
+        body = WaveletMatrix.build(whole).to_bytes()
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64()),
+                pa.array([whole.min()], pa.int64()), pa.array([whole.max()], pa.int64()),
                 pa.array([keys], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([body], pa.binary()),
             ],
-            names=["part", "shard", "n_ids", "keys", "lengths", "body"],
+            names=["part", "shard", "n_ids", "least", "greatest", "keys", "lengths", "body"],
         )
 
     kind = None
@@ -196,7 +214,7 @@ def write_shards(
         docs.select(key, text).repartitionByRange(*order).sortWithinPartitions(*order)
         .mapInArrow(
             lambda batches: _encode(batches, lambda: public_path(model), end, size),
-            f"part int, shard int, n_ids long, keys array<{kind}>, lengths array<long>, body binary",
+            f"part int, shard int, n_ids long, least long, greatest long, keys array<{kind}>, lengths array<long>, body binary",
         )
         .write.option("compression", "zstd").parquet(path)
     )
@@ -236,3 +254,55 @@ def read_documents(shards: DataFrame, key: str = "doc_id") -> DataFrame:
     return placed.select("keys", "lengths", "body", "at").mapInArrow(
         lambda batches: _decode(batches, key), f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long"
     )
+
+
+def _may_hold(tokens: list[int]):
+    """Whether a shard's least and greatest id leave room for one of the tokens; Spark checks it against row-group bounds."""
+    held = F.lit(False)
+    for token in sorted(set(tokens)):
+        held = held | ((F.col("least") <= token) & (F.col("greatest") >= token))
+    return held
+
+
+def _counts(batches: Iterator[pa.RecordBatch], tokens: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body in batch.column(0):
+            shard = WaveletMatrix.from_bytes(body.as_py())
+            found = [shard.count(token) for token in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(found, pa.int64())], ["token", "n"])
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of the ids occurs in all shards, by rank on their planes; an id that never occurs has n 0.
+
+    A negative id, or one beyond the vocabulary, never occurs. Only shards whose bounds leave room
+    for one of the ids are opened.
+    """
+    asked = sorted(set(tokens))
+    listed = shards.sparkSession.createDataFrame([(t,) for t in asked], "token long")
+    fitting = [t for t in asked if t >= 0]
+    found = shards.filter(_may_hold(fitting)).select("body").mapInArrow(lambda batches: _counts(batches, fitting), "token long, n long")
+    sums = found.groupBy("token").agg(F.sum("n").alias("n"))
+    return listed.join(sums, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _places(batches: Iterator[pa.RecordBatch], token: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            keys, lengths, body = (batch.column(k)[row] for k in range(3))
+            at = WaveletMatrix.from_bytes(body.as_py()).positions(token)
+            ends = np.cumsum(lengths.values.to_numpy())
+            owner = np.searchsorted(ends, at, side="right")
+            starts = ends - lengths.values.to_numpy()
+            yield pa.RecordBatch.from_arrays([keys.values.take(pa.array(owner)), pa.array(at - starts[owner])], [name, "at"])
+
+
+def occurrences(shards: DataFrame, token: int, key: str = "doc_id") -> DataFrame:
+    """(key, at): every occurrence of an id, as its document and its place among the document's ids, by select on the planes.
+
+    Shards whose bounds leave no room for the id are not opened. Rows of one key that were written
+    as several documents give places in each.
+    """
+    kind = shards.schema["keys"].dataType.elementType.simpleString()
+    held = shards.filter(_may_hold([token]) if token >= 0 else F.lit(False))
+    return held.select("keys", "lengths", "body").mapInArrow(lambda batches: _places(batches, token, key), f"`{key}` {kind}, at long")
