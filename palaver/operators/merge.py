@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.schemas import FACT_TABLE, SENTIMENTS
+from palaver.session import fresh_path
+
 
 def _all(columns: Sequence[Column]) -> Column:
     return reduce(Column.__and__, columns)
@@ -33,7 +35,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 
 
 def rows_to_insert(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str]
+    source: DataFrame, target: DataFrame, keys: Sequence[str], order_by: Sequence[str], store: bool = True
 ) -> DataFrame:
     """Source rows that an insert-only merge adds to the target.
 
@@ -44,7 +46,15 @@ def rows_to_insert(
     reduced to one row per key; the reduction keeps the join's partitioning. A semi join of the
     target with the batch's keys thins it out before: no hint, so AQE broadcasts the keys of a
     small batch from their measured size, and a target bucketed by its keys is not shuffled.
+
+    The source's keys, keyed rows and other rows take different ways. It is stored in the shared
+    folder first, so whatever made it runs once, and all three are of one run; `store=False` is for
+    a source that lies stored already.
     """
+    if store:
+        path = fresh_path(source.sparkSession, "merge-source")
+        source.write.parquet(path)
+        source = source.sparkSession.read.schema(source.schema).parquet(path)
     keyed, unkeyed = source.where(_have_keys(source, keys)), source.where(~_have_keys(source, keys))
     known = target.select(*keys).where(_have_keys(target, keys))
     known = known.join(keyed.select(*keys).distinct(), list(keys), "left_semi")
@@ -120,18 +130,29 @@ def to_fact_table(df: DataFrame, loaded_at: Column | None = None) -> DataFrame:
     return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_TABLE.fields])
 
 
-def audit_row(scored: DataFrame, project: str, kind: str, comment: str = "") -> DataFrame:
-    """One run-audit row: mean class scores of a scored frame and its row count."""
-    means = [F.round(F.avg(label), 6).alias(f"Stat{n}") for n, label in enumerate(SENTIMENTS, start=1)]
+def _described(values: DataFrame, project: str, kind: str, comment: str) -> DataFrame:
+    """The audit row of a one-row frame with Stat1 to Stat3 and RecordCount."""
     described = [
         column
         for n, label in enumerate(SENTIMENTS, start=1)
         for column in (F.col(f"Stat{n}"), F.lit(f"mean {label} score").alias(f"Stat{n}Desc"))
     ]
-    return scored.agg(*means, F.count("*").alias("RecordCount")).select(
+    return values.select(
         F.lit(project).alias("Project"),
         F.lit(kind).alias("TrainOrPredict"),
         *described,
         "RecordCount",
         F.lit(comment).alias("Comments"),
     )
+
+
+def audit_row(scored: DataFrame, project: str, kind: str, comment: str = "") -> DataFrame:
+    """One run-audit row: mean class scores of a scored frame and its row count."""
+    means = [F.round(F.avg(label), 6).alias(f"Stat{n}") for n, label in enumerate(SENTIMENTS, start=1)]
+    return _described(scored.agg(*means, F.count("*").alias("RecordCount")), project, kind, comment)
+
+
+def observed_audit_row(spark: SparkSession, observed: dict, project: str, kind: str, comment: str = "") -> DataFrame:
+    """The same row from the metrics that the write of the scored frame observed."""
+    means = [F.round(F.lit(observed[f"mean {label}"]).cast("double"), 6).alias(f"Stat{n}") for n, label in enumerate(SENTIMENTS, start=1)]
+    return _described(spark.range(1).select(*means, F.lit(observed["rows"]).cast("long").alias("RecordCount")), project, kind, comment)

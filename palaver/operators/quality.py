@@ -55,6 +55,23 @@ def require_no_nulls(df: DataFrame) -> DataFrame:
     return df
 
 
+def observed_metrics(df: DataFrame, means: Sequence[str] = ()) -> list:
+    """What a gate and an audit need to know of a frame, as metrics for `DataFrame.observe`.
+
+    The number of rows, the nulls of every column, the means of the columns `means`. They are
+    gathered by the job that writes the frame, in the tasks that write it: nothing is read again.
+    """
+    nulls = [F.count_if(_quoted(c).isNull()).alias(f"nulls {c}") for c in df.columns]
+    return [F.count(F.lit(1)).alias("rows"), *nulls, *(F.avg(_quoted(c)).alias(f"mean {c}") for c in means)]
+
+
+def require_none_observed(observed: dict) -> None:
+    """The null gate over observed metrics: raises what `require_no_nulls` would."""
+    found = {name.removeprefix("nulls "): n for name, n in observed.items() if name.startswith("nulls ") and n}
+    if found:
+        raise NullsFound(f"nulls before load: {found}")
+
+
 def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column_name, distinct_values). `approximate` keeps a sketch per column instead of a shuffle."""
     count = F.approx_count_distinct if approximate else F.count_distinct

@@ -20,6 +20,8 @@ from palaver.schemas import SENTIMENTS
 
 Scorer = Callable[[list[str]], np.ndarray]
 
+CELLS = 1 << 17  # of a padded batch, in what texts are measured by
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -66,18 +68,39 @@ def score_by_lexicon(df: DataFrame, text: str = "text", lexicon: Lexicon = Lexic
     return with_scores(logits, scores).drop("_neg", "_pos")
 
 
+def batches_by_cells(lengths: np.ndarray, cells: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """Row numbers in batches of like length: a batch holds rows while its padded size stays within `cells`.
+
+    A model pads every row of a batch to its longest, so the size is the number of rows times the
+    longest length. A row that is larger alone makes a batch of its own. `most` bounds the rows.
+    """
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    for at in range(len(order)):
+        rows = at - start + 1
+        if rows > 1 and (rows * max(int(lengths[order[at]]), 1) > cells or (most and rows > most)):
+            yield order[start:at]
+            start = at
+    if start < len(order):
+        yield order[start:]
+
+
 def score_batches(
     df: DataFrame,
     make_scorer: Callable[[], Scorer],
     text: str = "text",
-    batch_size: int = 50,
+    batch_size: int | None = None,
     spread: int | None = None,
+    cells: int = CELLS,
+    measure: Callable[[str], int] = len,
 ) -> DataFrame:
     """Score texts with any model that maps a list of texts to an (n, 3) array of probabilities.
 
-    The model is made once per task. Scores stay on the row they belong to. `spread` deals the
-    rows out evenly over that many tasks first, for when scoring costs far more than a shuffle
-    and the input has few or lopsided partitions.
+    The model is made once per task. It gets texts of like length together, by `measure` (their
+    characters, or what a tokenizer counts, up to where the model cuts), as many as fit `cells` when
+    padded to the longest and at most `batch_size`. Scores stay on the row they belong to, in the
+    order of the rows. `spread` deals the rows out evenly over that many tasks first, for when
+    scoring costs far more than a shuffle and the input has few or lopsided partitions.
     """
     kinds = T.StructType([T.StructField(c, T.DoubleType()) for c in SENTIMENTS])
 
@@ -86,8 +109,10 @@ def score_batches(
         scorer = make_scorer()
         for values in series:
             texts = ["" if value is None else value for value in values]
-            parts = [scorer(texts[at : at + batch_size]) for at in range(0, len(texts), batch_size)]
-            scores = np.concatenate(parts) if parts else np.empty((0, len(SENTIMENTS)))
+            scores = np.empty((len(texts), len(SENTIMENTS)))
+            lengths = np.fromiter(map(measure, texts), np.int64, len(texts))
+            for rows in batches_by_cells(lengths, cells, batch_size):
+                scores[rows] = scorer([texts[k] for k in rows])
             yield pd.DataFrame(scores, columns=list(SENTIMENTS))
 
     rows = df.repartition(spread) if spread else df

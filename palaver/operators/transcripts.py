@@ -38,7 +38,10 @@ def _read_literal(literal: str | None) -> list[dict] | None:
         return None
     if not isinstance(found, list):
         return None
-    return [_message(m) for m in found]
+    try:
+        return [_message(m) for m in found]
+    except TypeError:  # a value that has no JSON form, such as bytes
+        return None
 
 
 def _message(fields: object) -> dict[str, str | None] | None:
@@ -58,6 +61,76 @@ def _read_literals(literals: pd.Series) -> pd.Series:
 _parsed_literal = _read_literals.asNondeterministic()
 
 
+# The lexer of literals. Escaped backslashes and quotes are set aside under marks first, so that a
+# quoted run ends at the next quote of its kind.
+BACKSLASH_MARK, SINGLE_MARK, DOUBLE_MARK = "\ue000", "\ue001", "\ue002"
+TOKENS = r"""'[^']*'|"[^"]*"|[^'"]+"""
+# Escapes that are left then and mean the same in both notations, or have a JSON form.
+ESCAPES = r"\\(?![nrtbfav]|x[0-9a-fA-F]{2}|u(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
+CONTROLS = "[\\x00-\\x08\\x0a-\\x1f]"  # without the tab
+# Between quoted runs: names of constants and whole numbers, and around them brackets, blanks, commas, colons.
+CONSTANTS = r"(?:\b(?:None|True|False|0|[1-9][0-9]*)|-[1-9][0-9]*)\b"
+BETWEEN = r"^[\[\]{}:, \t\r\n]*$"
+
+
+def _quoted_as_json(token: Column) -> Column:
+    """A quoted run as a JSON string."""
+    inner = token.substr(F.lit(2), F.length(token) - 2)
+    inner = F.replace(F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+    inner = F.regexp_replace(inner, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    inner = F.replace(F.replace(inner, F.lit("\\a"), F.lit("\\u0007")), F.lit("\\v"), F.lit("\\u000b"))
+    for mark, text in ((SINGLE_MARK, "'"), (DOUBLE_MARK, '\\"'), (BACKSLASH_MARK, "\\\\")):
+        inner = F.replace(inner, F.lit(mark), F.lit(text))
+    return F.concat(F.lit('"'), inner, F.lit('"'))
+
+
+def _between_as_json(token: Column) -> Column:
+    for name, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        token = F.replace(token, F.lit(name), F.lit(value))
+    return token
+
+
+def literals_as_json(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Add `into`: a list of dictionaries in Python's notation as JSON, by built-in expressions alone.
+
+    Null for any other string, and for what is written otherwise than `repr` writes it: nested
+    lists or dictionaries, numbers with a fraction, other escapes, prefixes, tuples. Quoted runs
+    keep every character.
+    """
+    # Strings that hold a mark of their own could not be told apart.
+    raw = F.when(~F.col(column).rlike(f"[{BACKSLASH_MARK}{SINGLE_MARK}{DOUBLE_MARK}]"), F.col(column))
+    marked = F.replace(raw, F.lit("\\\\"), F.lit(BACKSLASH_MARK))
+    marked = F.replace(F.replace(marked, F.lit("\\'"), F.lit(SINGLE_MARK)), F.lit('\\"'), F.lit(DOUBLE_MARK))
+    is_quoted = lambda t: t.substr(1, 1).isin("'", '"')
+    between = F.array_join(F.filter("_tokens", lambda t: ~is_quoted(t)), " ")
+    quoted = F.array_join(F.filter("_tokens", is_quoted), "")
+    brackets = F.regexp_replace("_between", r"[^\[\]{}]", "")
+    readable = (
+        (F.aggregate("_tokens", F.lit(0), lambda n, t: n + F.length(t)) == F.length("_marked"))  # every quote is closed
+        & F.regexp_replace("_between", CONSTANTS, "").rlike(BETWEEN)
+        & (F.replace(brackets, F.lit("{}"), F.lit("")) == "[]") & brackets.startswith("[")
+        & ~F.col("_quoted").rlike(ESCAPES) & ~F.col("_quoted").rlike(CONTROLS)
+    )
+    return (
+        df.withColumn("_marked", marked)
+        .withColumn("_tokens", F.regexp_extract_all("_marked", F.lit(TOKENS), F.lit(0)))
+        .withColumn("_between", between).withColumn("_quoted", quoted)
+        .withColumn(into, F.when(readable, F.array_join(
+            F.transform("_tokens", lambda t: F.when(is_quoted(t), _quoted_as_json(t)).otherwise(_between_as_json(t))), ""
+        )))
+        .drop("_marked", "_tokens", "_between", "_quoted")
+    )
+
+
+def _once(column: Column) -> Column:
+    """The column, pinned where it stands.
+
+    A filter on what is parsed from it would otherwise be pushed below the parse and parse a second
+    time. The condition always holds, but being nondeterministic it stays where it is.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def parse_transcripts(
     df: DataFrame,
     column: str = "Messages",
@@ -67,29 +140,42 @@ def parse_transcripts(
 ) -> DataFrame:
     """Add the parsed transcript; it is null where the string cannot be parsed.
 
-    JSON, also with single quotes, is parsed natively. With `dialect="auto"` what that leaves
-    null is tried as a Python literal: only those strings travel to Python workers, and come back
-    as messages. `where` picks rows by their other columns before the parse and reaches the scan;
-    a filter on the result of this function does not.
+    `dialect="json"` reads JSON, also with single quotes. `"native"` reads Python literals as well,
+    as far as the lexer of `literals_as_json` takes them: a string that looks like one is turned
+    into JSON, and all are parsed in one pass, without Python. `"auto"` hands what that leaves null
+    to Python as a last resort; only those strings travel to the workers. `literal_census` counts
+    them. `where` picks rows by their other columns before the parse and reaches the scan; a filter
+    on the result of this function does not.
     """
     if where is not None:
         df = df.where(where)
     if into.lower() == column.lower():
         raise ValueError("the parsed column needs a name of its own, letter case aside")
     if dialect == "json":
-        # A filter on the result would otherwise be pushed below it and parse a second time. The
-        # condition always holds, but being nondeterministic it stays where it is.
-        once = F.when(F.monotonically_increasing_id() >= 0, F.col(column))
-        return df.withColumn(into, F.from_json(once, TRANSCRIPT))
-    if dialect != "auto":
+        return df.withColumn(into, F.from_json(_once(F.col(column)), TRANSCRIPT))
+    if dialect not in ("auto", "native"):
         raise ValueError(f"unknown dialect {dialect!r}")
+    # JSON proper needs no lexer: its first quote is a double one and it has none of the constants.
+    literal = F.col(column).rlike(r"^[\s\[{]*'") | F.col(column).contains("None") | F.col(column).contains("True") | F.col(column).contains("False")
+    lexed = literals_as_json(df.withColumn("_literal", F.when(literal, F.col(column))), "_literal", "_lexed")
+    parsed = lexed.withColumn(into, F.from_json(_once(F.coalesce("_lexed", F.col(column))), TRANSCRIPT)).drop("_literal", "_lexed")
+    if dialect == "native":
+        return parsed
     left_over = F.when(F.col(into).isNull(), F.col(column))
     return (
-        df.withColumn(into, F.from_json(F.col(column), TRANSCRIPT))
-        .withColumn("_literal", _parsed_literal(left_over))
-        .withColumn(into, F.coalesce(F.col(into), F.col("_literal")))
-        .drop("_literal")
+        parsed.withColumn("_literal", _parsed_literal(left_over)).withColumn(into, F.coalesce(F.col(into), F.col("_literal"))).drop("_literal")
+    )
+
+
+def literal_census(df: DataFrame, column: str = "Messages") -> DataFrame:
+    """(read, transcripts): how many complete transcripts are read natively, how many need Python, how many neither reads."""
+    complete = complete_transcripts(df, column).select(column)
+    native = parse_transcripts(complete, column, "_native", "native")
+    rest = F.when(F.col("_native").isNull(), F.col(column))
+    told = native.withColumn("_python", _parsed_literal(rest)).select(
+        F.when(F.col("_native").isNotNull(), "native").when(F.col("_python").isNotNull(), "python").otherwise("unreadable").alias("read")
     )
+    return told.groupBy("read").agg(F.count("*").alias("transcripts"))
 
 
 def parsed_and_quarantined(df: DataFrame, column: str = "transcript") -> tuple[DataFrame, DataFrame]:
@@ -221,20 +307,29 @@ def shape_chats(
     dialect: str = "auto",
     where: Column | None = None,
     most_inline: int = MAX_INLINE_PHRASES,
+    unreadable: str | None = None,
 ) -> DataFrame:
     """Add `text` and `html_text` to chats with a `Messages` string, and drop the rest of it.
 
     A chat disappears if its transcript is cut off or unreadable, or if its visitor wrote nothing
     but listed phrases. `mask` hides personal data in `html_text`; `text` stays as written, for
     scoring. `where` picks chats by their other columns before the parse. Phrase lists of more
-    than `most_inline` phrases are joined, with the same result.
+    than `most_inline` phrases are joined, with the same result. With `unreadable`, chats whose
+    transcript is whole but cannot be read stay, without text, and a column of that name holds
+    their transcript; it is null for the others. So one parse serves both.
     """
     parsed = parse_transcripts(complete_transcripts(chats), dialect=dialect, where=where)
     others = [F.col(f"`{c}`") for c in chats.columns if c != "Messages"]
+    if unreadable is not None:
+        others.append(F.when(F.col("transcript").isNull(), F.col("Messages")).alias(unreadable))
     html = html_transcript(F.col("transcript"), mask, escape).alias("html_text")
     spoken = parsed.select(*others, html, visitor_messages(F.col("transcript")).alias("_visitor"))
     shaped = _with_visitor_text(spoken, phrases, most_inline)
-    return shaped.where(F.col("text").isNotNull()).select(*others, "text", "html_text")
+    kept = F.col("text").isNotNull()
+    if unreadable is not None:
+        kept = kept | F.col(unreadable).isNotNull()
+        others[-1] = F.col(unreadable)
+    return shaped.where(kept).select(*others, "text", "html_text")
 
 
 def transcript_census(

@@ -27,13 +27,13 @@ from palaver.functions.text import (
 from palaver.functions.times import date_id, round_hour
 from palaver.operators import dashboard as dash
 from palaver.operators import density as kde
-from palaver.operators import extract, filters, merge, ordering, quality, scoring, search
+from palaver.operators import extract, filters, frequent, merge, ordering, quality, scoring, search, sketches
 from palaver.operators import transcripts as tr
 from palaver.plans.jobs import load_bucketed_facts, scored_facts, shaped_chats
 from palaver.plans.registry import literal, mask_sql, query, round_hour_sql, scores_sql
 from palaver.schemas import EMAIL_MASK, FACT, FACT_TABLE, NEAREST, PHONE_MASK, SENTIMENTS, URL_MASK
 from palaver.session import fresh_path
-from palaver.sources import files, sample, sinks
+from palaver.sources import clustered, files, sample, sinks, text_index
 from palaver.sources.warehouse import run_query
 from palaver.streaming import hourly, loads
 
@@ -164,6 +164,43 @@ def filter_all(spark: SparkSession, sf: str) -> DataFrame:
     return CHOSEN.apply(sample.fact(spark, sf))
 
 
+def _clustered(spark: SparkSession, sf: str) -> Callable[[filters.ChatFilter], DataFrame]:
+    """The facts in a clustered table; gives what a filter leaves of it."""
+    facts, path = sample.fact(spark, sf), fresh_path(spark, "clustered")
+    clustered.write_clustered(facts, path)
+    return lambda chosen: clustered.read_clustered(spark, path, facts.schema, chosen)
+
+
+@query("clustered_filter_all", f"SELECT * FROM fact_v WHERE {FILTERED_SQL}")
+def clustered_filter_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _clustered(spark, sf)(CHOSEN)
+
+
+# A filter on each column of the curve alone, and on two of them.
+CLUSTERED_FILTERS = {
+    "date": (filters.ChatFilter(date=("2024-01-10", "2024-01-12")), "Date BETWEEN '2024-01-10' AND '2024-01-12'"),
+    "vip": (filters.ChatFilter(vip=(4, None)), "VIPLevel >= 4"),
+    "brand": (filters.ChatFilter(brands=("MACHINERY", "BUILDING")), "Brand IN ('MACHINERY', 'BUILDING')"),
+    "country": (filters.ChatFilter(countries=("ASIA",)), "CountryGroup1 = 'ASIA'"),
+    "brand and vip": (filters.ChatFilter(brands=("FURNITURE",), vip=(1, 2)), "Brand = 'FURNITURE' AND VIPLevel BETWEEN 1 AND 2"),
+}
+
+
+@query(
+    "clustered_counts",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS chosen, count(*) AS chats, count(DISTINCT UserID) AS users FROM fact_v WHERE {where}"
+        for name, (_, where) in CLUSTERED_FILTERS.items()
+    ),
+)
+def clustered_counts(spark: SparkSession, sf: str) -> DataFrame:
+    left_by = _clustered(spark, sf)
+    return reduce(DataFrame.union, [
+        left_by(chosen).agg(F.lit(name).alias("chosen"), F.count("*").alias("chats"), F.count_distinct("UserID").alias("users"))
+        for name, (chosen, _) in CLUSTERED_FILTERS.items()
+    ])
+
+
 @query("filter_none", "SELECT * FROM fact_v")
 def filter_none(spark: SparkSession, sf: str) -> DataFrame:
     chosen = filters.ChatFilter(countries=("All Countries", "ASIA"), agents=["All Agents"])
@@ -378,7 +415,12 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 @query("parse_literals", "SELECT Key, pos, user_type, date, text FROM turns_v")
 def parse_literals(spark: SparkSession, sf: str) -> DataFrame:
     complete = tr.complete_transcripts(sample.literal_transcripts(spark, sf))
-    return tr.explode_messages(tr.parse_transcripts(complete)).drop("author_name", "agent_id")
+    return tr.explode_messages(tr.parse_transcripts(complete, dialect="native")).drop("author_name", "agent_id")
+
+
+@query("literal_census", "SELECT 'native' AS read, count(DISTINCT Key) AS transcripts FROM turns_v")
+def literal_census(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.literal_census(sample.literal_transcripts(spark, sf))
 
 
 @query("explode_messages", "SELECT Key, pos, author_name, user_type, date, text FROM turns_v")
@@ -443,6 +485,21 @@ def top_messages(spark: SparkSession, sf: str) -> DataFrame:
     return tr.top_messages(_said(spark, sf), 1000)
 
 
+@query("frequent_messages", TOP_SQL)
+def frequent_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return frequent.frequent_messages(_said(spark, sf), 1000)[0]
+
+
+@query(
+    "frequent_words",
+    """SELECT text, count(*) AS messages FROM (SELECT unnest(string_split(text, ' ')) AS text FROM documents)
+       GROUP BY text ORDER BY messages DESC, text LIMIT 20""",
+)
+def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = sample.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("text"))
+    return frequent.frequent_messages(words, 20)[0]
+
+
 @query(
     "union_unlike",
     """SELECT Key, pos, text, author_name, NULL AS agent_id FROM turns_v WHERE user_type = 'visitor'
@@ -647,7 +704,7 @@ def very_positive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "classifier_score",
-    "SELECT doc_id, true AS sums_to_one, true AS label_is_best, true AS whole_text FROM documents",
+    """SELECT doc_id, true AS sums_to_one, true AS label_is_best, md5(text) AS scored_text FROM documents""",
 )
 def classifier_score(spark: SparkSession, sf: str) -> DataFrame:
     documents = sample.table(spark, sf, "documents").select("doc_id", "text")
@@ -661,7 +718,7 @@ def classifier_score(spark: SparkSession, sf: str) -> DataFrame:
         (F.abs(sum(F.col(c) for c in SENTIMENTS) - 1) < 1e-9).alias("sums_to_one"),
         (F.get(scores, F.array_position(F.array(*map(F.lit, SENTIMENTS)), F.col("Sentiment")).cast("int") - 1)
          == F.array_max(scores)).alias("label_is_best"),
-        (F.octet_length("text") >= 0).alias("whole_text"),
+        F.md5("text").alias("scored_text"),  # of the text as the scored row has it
     )
 
 
@@ -739,6 +796,50 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
     return quality.distinct_counts(chats_profile(spark, sf).select(*DISTINCT_COLUMNS))
 
 
+# Whole days, alone and with choices of the dimensions that sketches are kept by.
+SKETCH_RANGES = {
+    "all": (filters.ChatFilter(), "TRUE"),
+    "week": (
+        filters.ChatFilter(date=("2024-01-08", "2024-01-14"), end_inclusive_day=True),
+        "Date >= '2024-01-08' AND Date < '2024-01-15'",
+    ),
+    "week, country": (
+        filters.ChatFilter(date=("2024-01-08", "2024-01-14"), end_inclusive_day=True, countries=("ASIA", "EUROPE")),
+        "Date >= '2024-01-08' AND Date < '2024-01-15' AND CountryGroup1 IN ('ASIA', 'EUROPE')",
+    ),
+    "brand, sentiment": (
+        filters.ChatFilter(brands=("MACHINERY",), sentiments=("Negative", "Positive")),
+        "Brand = 'MACHINERY' AND Sentiment IN ('Negative', 'Positive')",
+    ),
+    "nothing": (filters.ChatFilter(brands=("no such brand",)), "FALSE"),
+}
+
+
+@query(
+    "distinct_by_range",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS chosen, '{c}' AS column_name, count(DISTINCT {c}) AS exact, TRUE AS within_bound FROM fact_v WHERE {where}"
+        for name, (_, where) in SKETCH_RANGES.items()
+        for c in sketches.COLUMNS
+    ),
+)
+def distinct_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts, and whether sketches stored in two loads and united come within their bound of them."""
+    facts, path = sample.fact(spark, sf), fresh_path(spark, "sketches")
+    early = F.col("Date") < F.lit("2024-01-11 09:00:00").cast("timestamp_ntz")  # a day that both loads share
+    for load in (facts.where(early), facts.where(~early)):
+        sinks.append(sketches.daily_sketches(load), path)
+    stored = spark.read.parquet(path)
+    told = []
+    for name, (chosen, _) in SKETCH_RANGES.items():
+        exact = quality.distinct_counts(chosen.apply(facts).select(*sketches.COLUMNS)).withColumnRenamed("distinct_values", "exact")
+        close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.ceil(F.col("exact") * sketches.error_bound())
+        told.append(exact.join(sketches.estimates(stored, chosen), "column_name").select(
+            F.lit(name).alias("chosen"), "column_name", "exact", close.alias("within_bound")
+        ))
+    return reduce(DataFrame.union, told)
+
+
 @query("distinct_values", "SELECT DISTINCT user_type FROM turns_v")
 def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
     return quality.distinct_values(sample.turns(spark, sf), "user_type")
@@ -967,14 +1068,14 @@ def backfill_key(spark: SparkSession, sf: str) -> DataFrame:
     return merge.backfill_key(lost, good, ["UserID", "Hour"], "ChatID", "ChatID")
 
 
-@query(
-    "audit_row",
-    f"""SELECT 'chat sentiment' AS Project, 'predict' AS TrainOrPredict, round(avg(Negative), 6) AS Stat1,
+AUDIT_SQL = f"""SELECT 'chat sentiment' AS Project, 'predict' AS TrainOrPredict, round(avg(Negative), 6) AS Stat1,
           'mean Negative score' AS Stat1Desc, round(avg(Neutral), 6) AS Stat2, 'mean Neutral score' AS Stat2Desc,
           round(avg(Positive), 6) AS Stat3, 'mean Positive score' AS Stat3Desc, count(*) AS RecordCount,
           'documents' AS Comments
-        FROM ({scores_sql('documents', 'text')})""",
-)
+        FROM ({scores_sql('documents', 'text')})"""
+
+
+@query("audit_row", AUDIT_SQL)
 def audit_row(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "audit")
     row = merge.audit_row(_scored_documents(spark, sf), "chat sentiment", "predict", "documents")
@@ -982,6 +1083,16 @@ def audit_row(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(row.schema).parquet(path)
 
 
+@query("observed_audit", AUDIT_SQL)
+def observed_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit row out of the metrics that the stage's own write observed."""
+    path = fresh_path(spark, "audit")
+    _, observed = sinks.write_observed_stage(_scored_documents(spark, sf), fresh_path(spark, "stage"), SENTIMENTS)
+    row = merge.observed_audit_row(spark, observed, "chat sentiment", "predict", "documents")
+    sinks.append(row, path)
+    return spark.read.schema(row.schema).parquet(path)
+
+
 @query("stage_run", "SELECT * FROM fact_v")
 def stage_run(spark: SparkSession, sf: str) -> DataFrame:
     stage = fresh_path(spark, "stage")
@@ -1090,6 +1201,50 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_results(_document_facts(spark, sf), SEARCH, 500)
 
 
+def _indexed_documents(spark: SparkSession, sf: str) -> str:
+    """The documents as an indexed table, in two loads."""
+    facts, path = _document_facts(spark, sf), fresh_path(spark, "indexed")
+    early = F.col("UserID") < 75
+    for load in (facts.where(early), facts.where(~early)):
+        text_index.append_indexed(load, path, block_rows=100)
+    return path
+
+
+@query(
+    "indexed_search",
+    f"""SELECT substring(text, 1, 100) || '...' AS "Text", UserID AS "User ID", Date AS "Date",
+          VIPLevel AS "VIP Level", round_even(DurationInMins, 0) AS "Duration (Mins)", Brand AS "Brand",
+          CountryGroup1 AS "Country Group", ChatType AS "Chat Type", ChatID AS "Chat ID", AgentDisplayName AS "Agent",
+          Sentiment AS "Sentiment"
+        FROM ({DOCUMENT_HITS_SQL} ORDER BY Date, ChatID LIMIT 500)""",
+)
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = text_index.candidates(spark, _indexed_documents(spark, sf), SEARCH)
+    return search.search_results(rows, SEARCH, 500)
+
+
+# Rare words, a flag, a class, an optional part; the last one has nothing that must occur.
+INDEXED_PATTERNS = (r"AKIA[0-9A-Z]{4}", r"(?i)passw(or)?d|api_?key", "[Zz]ürich|Straße", r"[0-9]{3}-[0-9]{4}")
+
+
+@query(
+    "indexed_counts",
+    " UNION ALL ".join(
+        f"SELECT {literal(p)} AS pattern, count(*) AS hits, count(DISTINCT UserID) AS users FROM ({DOCUMENT_FACTS_SQL}) "
+        f"WHERE regexp_matches(html_text, {literal(p)})"
+        for p in INDEXED_PATTERNS
+    ),
+)
+def indexed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = _indexed_documents(spark, sf)
+    counts = []
+    for pattern in INDEXED_PATTERNS:
+        chosen = filters.ChatFilter(search=pattern)
+        hits = chosen.apply(text_index.candidates(spark, path, chosen))
+        counts.append(hits.agg(F.lit(pattern).alias("pattern"), F.count("*").alias("hits"), F.count_distinct("UserID").alias("users")))
+    return reduce(DataFrame.union, counts)
+
+
 @query(
     "export_documents",
     f"SELECT * EXCLUDE (html_text) FROM ({DOCUMENT_HITS_SQL} ORDER BY Date, ChatID LIMIT 100)",
@@ -1181,6 +1336,22 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(compacted).select(*loaded.columns)
 
 
+@query("stream_dedupe", "SELECT * FROM fact_v")
+def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Four files in no order of time; the first and third again at the end. What was loaded before lies in the table."""
+    table, profile = fresh_path(spark, "stream-days"), sample.profile(spark, sf)
+    loaded, path = _loaded(spark, sf), fresh_path(spark, "event-files")
+    loads.write_days(loaded, table, -1)
+    events = sample.table(spark, sf, "events").withColumn("_file", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for number in (0, 1, 2, 3, 0, 2):
+        events.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    chats = sample.chats_of(files.stream_table(spark, path, sample.TABLES["events"], max_files=1))
+    loads.stream_merge_by_day(
+        chats, lambda rows: sample.fact_of(rows, profile), table, fresh_path(spark, "stream-state")
+    ).awaitTermination()
+    return spark.read.parquet(table).select(*loaded.columns)
+
+
 @query("stream_hourly", f"SELECT {HOUR_SQL} AS Date, Sentiment, count(*) AS chats FROM fact_v GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     table = fresh_path(spark, "stream-hourly")

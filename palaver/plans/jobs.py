@@ -6,22 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver.functions.text import mask_pii
 from palaver.operators.dashboard import dashboard
 from palaver.operators.extract import chats_with_profile, max_loaded, not_yet_loaded, started_within
 from palaver.operators.filters import ChatFilter
-from palaver.operators.merge import audit_row, rows_to_insert
-from palaver.operators.quality import impute, repeated_keys, require_no_nulls
+from palaver.operators.merge import observed_audit_row, rows_to_insert
+from palaver.operators.quality import impute, repeated_keys, require_no_nulls, require_none_observed
 from palaver.operators.scoring import score_by_lexicon
-from palaver.operators.transcripts import (
-    complete_transcripts,
-    parse_transcripts,
-    parsed_and_quarantined,
-    shape_chats,
-)
-from palaver.schemas import FACT
-from palaver.sources.sinks import append, write_bucketed, write_stage
+from palaver.operators.transcripts import shape_chats
+from palaver.schemas import FACT, SENTIMENTS
+from palaver.session import fresh_path
+from palaver.sources.sinks import append, remove, write_bucketed, write_observed_stage
 
 MERGE_KEYS = ["UserID", "ChatID"]
 
@@ -65,32 +62,39 @@ def shaped_chats(
     phrases: DataFrame,
     dialect: str = "auto",
     where: Column | None = None,
+    unreadable: str | None = None,
     **window: object,
 ) -> DataFrame:
     """Chats ready for scoring: those of the window, with attributes and texts.
 
     The window is applied before the join, and the shaping after it is one narrow stage.
     `html_text` is masked here, message by message; `text` is masked after scoring. `where` picks
-    chats by any column but the transcript, before the parse.
+    chats by any column but the transcript, before the parse. `unreadable` keeps the chats that
+    cannot be read, their transcript in a column of that name.
     """
     joined = chats_with_profile(windowed_chats(chats, **window), profile)
-    return shape_chats(joined, phrases, mask=True, dialect=dialect, where=where)
+    return shape_chats(joined, phrases, mask=True, dialect=dialect, where=where, unreadable=unreadable)
 
 
-def scored_facts(shaped: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon) -> DataFrame:
-    """Fact rows: scored on the text as written, imputed, then masked. Nothing unmasked is stored."""
+def scored_facts(shaped: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon, *more: str) -> DataFrame:
+    """Fact rows: scored on the text as written, imputed, then masked. Nothing unmasked is stored. `more` names columns to keep."""
     scored = impute(score(shaped)).withColumn("text", mask_pii(F.col("text"))).withColumnRenamed("ID", "ChatID")
-    return scored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT.fields])
+    return scored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT.fields], *more)
 
 
-def load_facts(facts: DataFrame, path: str, target: DataFrame | None) -> None:
+def load_facts(facts: DataFrame, path: str, target: DataFrame | None, observed: dict | None = None) -> None:
     """Gate on nulls, then insert what the target does not have yet.
 
-    `target` is the table at `path` as read before the load, or None for a first load.
+    `target` is the table at `path` as read before the load, or None for a first load. `facts` lie
+    stored. `observed` are the metrics of their write; without them the gate reads the facts.
     """
+    if observed is None:
+        require_no_nulls(facts)
+    else:
+        require_none_observed(observed)
     if target is None:
         target = facts.limit(0)
-    append(rows_to_insert(require_no_nulls(facts), target, MERGE_KEYS, ["Date"]), path)
+    append(rows_to_insert(facts, target, MERGE_KEYS, ["Date"], store=False), path)
 
 
 def load_bucketed_facts(facts: DataFrame, table: str, buckets: int, check: bool = True) -> None:
@@ -131,28 +135,48 @@ def run_load(
 ) -> str:
     """Extract, shape, score, stage, load, audit. Returns the stage run's name.
 
-    The scored chats are staged once: gate, merge and audit all read that run, so the model is
-    not run again for each of them. The window's bounds are read once, at the start. Chats of the
-    window with an unreadable transcript are added to the table at `quarantine_path`, if one is
-    given, before the load; they hold personal data as written. Finding them parses the window's
-    transcripts once more, as no unmasked text is stored for it.
+    The scored chats are staged once, and the gate and the audit know them from the metrics that
+    the write observed: the stage is read again by the merge alone. The window's bounds are read
+    once, at the start. Chats of the window with an unreadable transcript are added to the table at
+    `quarantine_path`, if one is given, before the load; they hold personal data as written. They
+    come out of the same parse as the others: one job writes both side by side into a folder of
+    its own, which is taken apart and removed.
     """
     if not repeated_keys(profile, "UserID").isEmpty():
         raise ValueError("profile has users with several rows: they would multiply chats")
     window = fixed_window(spark, window)
-    run = write_stage(scored_facts(shaped_chats(chats, profile, phrases, **window), score), stage)
+    if quarantine_path is None:
+        facts = scored_facts(shaped_chats(chats, profile, phrases, **window), score)
+        run, observed = write_observed_stage(facts, stage, SENTIMENTS)
+    else:
+        run, observed = _stage_and_quarantine(spark, shaped_chats(chats, profile, phrases, unreadable="Messages", **window), score, stage, quarantine_path)
     facts = spark.read.schema(FACT).parquet(f"{stage}/run={run}")
-    if quarantine_path is not None:
-        dialect = window.pop("dialect", "auto")
-        complete = complete_transcripts(windowed_chats(chats, **window))
-        _, unreadable = parsed_and_quarantined(parse_transcripts(complete, dialect=dialect))
-        append(unreadable.select("ID", "UserID", "started", "Messages"), quarantine_path)
     target = None if first_load else spark.read.schema(FACT).parquet(fact_path)
-    load_facts(facts, fact_path, target)
-    append(audit_row(facts, "chat sentiment", "predict", run), audit_path)
+    load_facts(facts, fact_path, target, observed)
+    append(observed_audit_row(spark, observed, "chat sentiment", "predict", run), audit_path)
     return run
 
 
+def _stage_and_quarantine(
+    spark: SparkSession, shaped: DataFrame, score: Callable[[DataFrame], DataFrame], stage: str, quarantine_path: str
+) -> tuple[str, dict]:
+    """Write the facts of readable chats as a stage run and add the unreadable ones to the quarantine, from one pass."""
+    raw = {"ID": "string", "UserID": "long", "started": "timestamp_ntz", "Messages": "string"}
+    kept = F.struct(F.col("ID"), F.col("UserID"), F.col("Date").alias("started"), F.col("Messages"))
+    # The scorer sees a blank where there is nothing to read; its answer for it is dropped.
+    marked = shaped.withColumn("_raw", F.when(F.col("Messages").isNotNull(), kept)).withColumn("text", F.coalesce("text", F.lit("")))
+    facts = scored_facts(marked, score, "_raw")
+    path = fresh_path(spark, "load")
+    try:
+        facts.withColumn("readable", F.col("_raw").isNull()).write.partitionBy("readable").parquet(path)
+        both = spark.read.schema(T.StructType([*facts.schema.fields, T.StructField("readable", T.BooleanType())])).parquet(path)
+        run, observed = write_observed_stage(both.where("readable").select(*FACT.names), stage, SENTIMENTS)
+        append(both.where("NOT readable").select(*[F.col(f"_raw.{name}").cast(kind).alias(name) for name, kind in raw.items()]), quarantine_path)
+    finally:
+        remove(spark, path)
+    return run, observed
+
+
 def serve_dashboard(facts: DataFrame, chosen: ChatFilter = ChatFilter()) -> dict[str, DataFrame]:
     """All charts for one choice of filters; each reads only its own columns of the serving table."""
     return dashboard(chosen.apply(facts))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palaver.functions.times import run_stamp
 from palaver.operators.merge import replaced_partition_split
+from palaver.operators.quality import observed_metrics
 from palaver.session import fresh_path, shared_dir
 from palaver.sources.files import CSV_OPTIONS
 
@@ -32,6 +34,23 @@ def write_stage(df: DataFrame, stage: str, run: str | None = None) -> str:
     return run
 
 
+def write_observed_stage(df: DataFrame, stage: str, means: Sequence[str] = (), run: str | None = None) -> tuple[str, dict]:
+    """Write a stage run and return its name and the frame's `observed_metrics`, gathered while it was written.
+
+    The metrics belong to the last stage of the job, the one that writes: Spark counts each of its
+    tasks once, however often it was tried.
+    """
+    watch = Observation()
+    name = write_stage(df.observe(watch, *observed_metrics(df, means)), stage, run)
+    return name, watch.get
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder the library wrote for itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_serving(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -72,7 +91,7 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
             return
         replacing, adding = replaced_partition_split(rows, newest, date_column)
         table = adding.unionByName(replacing)
-        if _exists(spark, path):
+        if exists(spark, path):
             stored = spark.read.schema(table.schema).parquet(path)
             older = adding.select("TransactionDateID").distinct()
             table = table.unionByName(stored.join(older, "TransactionDateID", "left_semi").select(*table.columns))
@@ -86,13 +105,14 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, f"{path}/_SUCCESS")
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite") -> None:

@@ -47,6 +47,25 @@ def test_keys_of_the_batch_thin_out_the_target(spark):
     assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftAnti")  # what is loaded goes first
 
 
+def test_the_source_of_a_merge_runs_once(spark):
+    """The pipeline behind the source feeds three branches and is evaluated for none of them again."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    source = frame(spark, (1, "a", 1, "x"), (2, "b", 1, "y"), (None, "c", 1, "z")).mapInPandas(counted, SCHEMA)
+    target = frame(spark, (1, "a", 0, "old"))
+    assert merge.rows_to_insert(source, target, KEYS, ["Date"]).count() == 2
+    assert ran.value == 3
+    stored = fresh_path(spark, "source")
+    source.write.parquet(stored)
+    plan = merge.rows_to_insert(spark.read.parquet(stored), target, KEYS, ["Date"], store=False)._jdf.queryExecution().toString()
+    assert "merge-source" not in plan
+
+
 def test_second_run_adds_only_null_keys(spark):
     source = frame(spark, (1, "a", 1, "x"), (1, "b", 1, "y"), (None, "c", 1, "z"))
     once = merge.insert_only_merge(source, frame(spark).limit(0), KEYS, ["Date"])

@@ -51,6 +51,56 @@ def test_batch_size_is_respected(texts):
     assert set(labels(scoring.score_batches(texts, make, batch_size=3))) == {"Positive"}
 
 
+def test_batches_hold_like_lengths_within_the_budget():
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(0, 400, 900), rng.integers(3000, 9000, 60), [50_000]])
+    batches = list(scoring.batches_by_cells(lengths, 20_000))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(len(lengths)))
+    padded = [len(b) * lengths[b].max() for b in batches]
+    assert all(p <= 20_000 or len(b) == 1 for p, b in zip(padded, batches, strict=True))
+    by_fifty = sum(50 * lengths[k : k + 50].max() for k in range(0, len(lengths), 50))
+    assert sum(padded) < 1.35 * lengths.sum() < 0.6 * by_fifty  # little padding, where batches of fifty rows have much
+    assert max(len(b) for b in scoring.batches_by_cells(lengths, 20_000, 7)) == 7
+    assert list(scoring.batches_by_cells(np.zeros(0, np.int64), 10)) == []
+
+
+def test_model_sees_texts_of_like_length(spark):
+    """Padded cells, counted where the model runs, stay close to the texts' own."""
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(n, "x" * (n * 37 % 500 if n % 20 else 4000)) for n in range(400)], "n int, text string").coalesce(1)
+
+    def make():
+        def score(batch):
+            seen.add(len(batch) * max(map(len, batch)))
+            return np.tile([0.2, 0.2, 0.6], (len(batch), 1))
+
+        return score
+
+    scored = scoring.score_batches(df, make, cells=20_000)
+    assert [r.n for r in scored.collect()] == list(range(400))  # in the order of the rows
+    own = df.agg(F.sum(F.length("text"))).first()[0]
+    assert own <= seen.value < 1.3 * own
+
+
+def test_classifier_on_documents_it_has_not_seen(spark, sf_dir):
+    """Trained on three quarters of the labelled documents, it ranks the toxic ones of the rest first; whole texts are scored."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = documents.join(labels, "doc_id").select(
+        "doc_id", "text", scoring.class_of_labels(F.col("quality"), F.col("toxic")).alias("label")
+    )
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = scoring.train_classifier(labelled.where(~held))
+    rows = scoring.score_by_classifier(labelled.where(held), model).collect()
+    for label, least in ((0, 0.65), (2, 0.58)):
+        scores, mine = np.array([r[SENTIMENTS[label]] for r in rows]), np.array([r.label == label for r in rows])
+        assert (scores[mine][:, None] > scores[~mine]).mean() > least
+    assert all(abs(r.Negative + r.Neutral + r.Positive - 1) < 1e-9 for r in rows)
+    first = documents.where(F.length("text") > 5000).limit(1)
+    cut = first.withColumn("text", F.substring("text", 1, 500))
+    assert scoring.score_by_classifier(first, model).first().Positive != scoring.score_by_classifier(cut, model).first().Positive
+
+
 def test_empty_in_empty_out(texts):
     assert scoring.score_batches(texts.limit(0), scoring.lexicon_scorer).count() == 0
     assert scoring.score_by_lexicon(texts.limit(0)).count() == 0

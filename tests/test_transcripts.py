@@ -3,6 +3,8 @@ import subprocess
 import sys
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -51,25 +53,79 @@ def test_literal_dialects(spark):
     assert {r.ID for r in bad.collect()} == {"7", "8"}
 
 
-def test_json_dialect_needs_no_python(spark):
-    parsed = tr.parse_transcripts(chats(spark, json.dumps([msg("a")])), dialect="json")
+@pytest.mark.parametrize("dialect", ["json", "native"])
+def test_native_dialects_need_no_python(spark, dialect):
+    parsed = tr.parse_transcripts(chats(spark, json.dumps([msg("a")])), dialect=dialect)
     assert parsed.first().transcript[0].text == "a"
     assert "Python" not in parsed._jdf.queryExecution().toString()
 
 
+HARD = [
+    "it's", 'he said "no"', "'\"'\"", "back\\slash", "\\", "\\'", "\\\\\"", "tab\tend", "line\nbreak\r\n", "caf\xe9 \x7f\x80\xa0", "\x00\x01\x1f",
+    "None", "True, False", "[{'text': None}]", "}, {", "😀 日本語", "\u2028\u200b", "\\x41 \\u0041 \\n", "a" * 5000, "'" * 3000, "", " ", "\x07\x0b\x08\x0c", "$1 \\1",
+]
+
+
+def messages(row):
+    return None if row is None else [None if m is None else m.asDict() for m in row]
+
+
+def test_the_lexer_reads_what_python_writes(spark):
+    """Every text, as `repr` writes it, comes back without Python; so do constants and whole numbers."""
+    talks = [[msg(t), msg(None), {"text": t, "agent_id": 17, "date": True, "extra": -5, "user_type": False}] for t in HARD]
+    talks += [[], [{}], [None, msg("x")], [msg(t) for t in HARD] * 20]
+    rows = chats(spark, *[repr(t) for t in talks])
+    native = {r.ID: messages(r.transcript) for r in tr.parse_transcripts(rows, dialect="native").collect()}
+    assert native == {str(n): tr._read_literal(repr(t)) for n, t in enumerate(talks)}
+    complete = [t for t in talks if repr(t).endswith("}]")]
+    assert [tuple(r) for r in tr.literal_census(rows).collect()] == [("native", len(complete))]
+
+
+ODD = [
+    "[{'text': 'a' 'b'}]", "[{'text': ('a', 'b')}]", "[{'text': 1.50}]", "[{'text': -0}]", "[{'text': 1e3}]", "[{'text': 0x1f}]", "[{'text': 1_000}]",
+    "[{'text': {'deep': 1}}]", "[{'text': ['x']}]", "[{'text': 'x',}]", "[{'text': b'x'}]", "[{'text': u'x'}]", "[{'text': r'x\\n'}]", "[{1: 'x'}]",
+    "[{'text': '\\101'}]", "[{'text': '\\N{BULLET}'}]", "[{'text': '\\U0001F600'}]", "[{'text': 'raw\ttab'}]", "[{'text': 'raw\nbreak'}]",
+    "{'text': 'no list'}", "[{'text': 'open}]", "[{'text': 'a'} {'text': 'b'}]", "[{'text': 'mark \ue001'}]", "[{'text': true}]", "[{'text': '\\q'}]",
+    "[{'text': 'a'}, 'b']", "[[{'text': 'a'}]]", "'[{}]'", "[{'text': None None}]", "[{'text': 'a', 'text': 'b'}]", "[{'text': NoneTrue}]",
+]
+
+
+def test_what_the_lexer_leaves_goes_to_python(spark):
+    rows = chats(spark, *ODD)
+    auto = {r.ID: messages(r.transcript) for r in tr.parse_transcripts(rows).collect()}
+    expected = {str(n): tr._read_literal(text) for n, text in enumerate(ODD)}
+    # JSON, but for its single quotes: read as such, before Python is asked
+    lenient = {str(n) for n, text in enumerate(ODD) if "true" in text or "deep" in text or text[0] == "{"}
+    assert {k: v for k, v in auto.items() if k not in lenient} == {k: v for k, v in expected.items() if k not in lenient}
+    native = {r.ID: messages(r.transcript) for r in tr.parse_transcripts(rows, dialect="native").collect()}
+    assert all(v is None or v == auto[k] for k, v in native.items())
+    counts = {r.read: r.transcripts for r in tr.literal_census(rows).collect()}
+    assert counts["python"] > 5 and counts["unreadable"] > 3 and counts["native"] > 1
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=12), max_size=4), min_size=1, max_size=60))
+def test_the_lexer_agrees_with_python_on_any_text(spark, talks):
+    literals = [repr([msg(t) for t in talk]) for talk in talks]
+    native = {r.ID: messages(r.transcript) for r in tr.parse_transcripts(chats(spark, *literals), dialect="native").collect()}
+    for n, literal in enumerate(literals):
+        odd = "\\U" in literal or any(c in literal for c in "\ue000\ue001\ue002")
+        assert native[str(n)] == tr._read_literal(literal) or (odd and native[str(n)] is None)
+
+
 def test_parsed_column_may_not_shadow_the_source(spark):
     with pytest.raises(ValueError):
         tr.parse_transcripts(chats(spark, "[]"), into="messages")
 
 
-@pytest.mark.parametrize("dialect", ["auto", "json"])
+@pytest.mark.parametrize("dialect", ["auto", "json", "native"])
 def test_parsing_happens_once(spark, dialect):
     rows = chats(spark, json.dumps([msg("a")]))
     phrases = spark.createDataFrame([("b",)], "FilterMessages string")
     plan = tr.shape_chats(rows, phrases, dialect=dialect)._jdf.queryExecution().executedPlan().toString()
-    parses = [line for line in plan.splitlines() if "true), Messages#" in line or "THEN Messages#" in line]
-    native = [line for line in parses if "from_json" in line]
-    assert len(native) == 1 and "Filter" not in native[0]
+    native = [line for line in plan.splitlines() if "from_json" in line]
+    assert len(native) == 1 and "Filter" not in native[0] and native[0].count("from_json") == 1
+    assert sum("regexp_extract_all" in line for line in plan.splitlines()) == (0 if dialect == "json" else 1)
     assert "Exchange" not in plan
 
 
