@@ -10,8 +10,9 @@ zero: sums start from shares of zero and the accumulators carry the corrections.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import all_of, byte_table, settled, text_bytes
+from palaver.llm.common import all_of, byte_table, runs, settled, text_bytes
 
 SCALE = 1_000_000_000
 SMOOTH = 5
@@ -28,7 +29,9 @@ TOP = 50
 BLOCK = 1 << 18  # postings a block holds, as the hash of their words deals them
 TILE_SUMS = 1 << 20  # sums that a block emits at once; with more sources their rows go to several tiles
 PIECE = 1 << 20  # bytes of a text that are split into words at once
-ENTRIES = 1 << 18  # counted words a task holds before it passes them on
+RUN = 1 << 22  # bytes of texts that are counted together
+ENTRIES = 1 << 22  # counts a task sums up before it passes half as many on
+WORDS = 1 << 20  # distinct words it holds
 BREAKS = byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 # Words in lower case, everything between them a blank.
 FOLDED = bytes(0x20 if BREAKS[b] else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -46,42 +49,70 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
     yield text[start:].split()
 
 
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of each value over the rows of a key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+
+
+class _Counts:
+    """Counts of words per group: words and groups by number, sums as sorted arrays."""
+
+    def __init__(self):
+        self.words: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.groups: defaultdict[tuple[str, str], int] = defaultdict(count().__next__)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, texts: list[tuple[int, np.ndarray]]) -> None:
+        """Count texts, given as (group, numbers of the words)."""
+        sizes = [len(codes) for _, codes in texts]
+        rows = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        # Once per text and word first: the number of such rows is the number of texts with the word.
+        found = np.sort(rows << 32 | np.concatenate([codes for _, codes in texts]))
+        first = np.flatnonzero(np.diff(found, prepend=found[:1] - 1))
+        times = np.diff(first, append=len(found))
+        group = np.array([g for g, _ in texts], np.int64)
+        keys = group[found[first] >> 32] << 32 | found[first] & 0xFFFFFFFF
+        self.parts.append(_summed(keys, times, np.ones(len(times), np.int64)))
+        self.held += len(self.parts[-1][0])
+        if self.held > ENTRIES:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+            self.held = len(self.parts[0][0])
+
+    def full(self) -> bool:
+        return self.held > ENTRIES // 2 or len(self.words) > WORDS
+
+    def told(self) -> pa.RecordBatch:
+        keys, times, documents = _summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        group, word = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.string()).take(group) for k in (0, 1))
+        terms = pa.array(list(self.words), pa.binary()).cast(pa.string()).take(word)
+        columns = [langs, sources, terms, pa.array(times), pa.array(documents)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "documents"])
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, documents): sums over some of the rows."""
-    counted: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def told() -> pa.RecordBatch:
-        langs, sources, terms, times, documents = [], [], [], [], []
-        for (lang, source), (all_words, once) in counted.items():
-            langs += [lang] * len(all_words)
-            sources += [source] * len(all_words)
-            terms += [word.decode() for word in all_words]
-            times += all_words.values()
-            documents += [once[word] for word in all_words]
-        counted.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.string()),
-             pa.array(times, pa.int64()), pa.array(documents, pa.int64())],
-            ["lang", "source", "term", "n", "documents"],
-        )
-
+    counts = _Counts()
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         data, bounds = text_bytes(batch.column(2))
-        for row, group in enumerate(zip(langs, sources, strict=True)):
-            text = data[bounds[row] : bounds[row + 1]].tobytes().translate(FOLDED)
-            all_words, once = counted.setdefault(group, (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for words in _pieces(text):
-                all_words.update(words)
-                seen.update(words)
-            once.update(seen)
-            if row % 64 == 0 and sum(len(c) for c, _ in counted.values()) > ENTRIES:
-                yield told()
-        if sum(len(c) for c, _ in counted.values()) > ENTRIES:
-            yield told()
-    if counted:
-        yield told()
+        for start, stop in runs(bounds, RUN):
+            texts = []
+            for row in range(start, stop):
+                number = counts.words.__getitem__
+                text = data[bounds[row] : bounds[row + 1]].tobytes().translate(FOLDED)
+                codes = [np.fromiter(map(number, words), np.int64, len(words)) for words in _pieces(text)]
+                texts.append((counts.groups[langs[row], sources[row]], np.concatenate(codes)))
+            counts.add(texts)
+            if counts.full():
+                yield counts.told()
+                counts = _Counts()
+    if counts.parts:
+        yield counts.told()
 
 
 def share(n: str, total: str, terms: str) -> Column:
