@@ -1,12 +1,14 @@
 """Token counts: batch encoding inside Arrow functions that return lengths only.
 
-Texts are cut into pieces at safe boundaries and gathered into batches of about equal bytes, so
-neither a very long text nor a run of short ones makes a batch large.
+Texts are cut into pieces at safe boundaries, in any script that sets blanks between words, and
+gathered into batches of about equal bytes, so neither a very long text nor a run of short ones
+makes a batch large. A long text without such a blank goes to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,9 @@ MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 PIECE_CHARS = 1 << 15
 BATCH_BYTES = 1 << 20
-# A single blank between ASCII letters or digits: normalising leaves it alone, and no token crosses it.
-SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+# A single blank between letters or digits of any script. No token crosses it; it is safe where
+# normalising leaves both neighbours alone, as it then has nothing to join or drop beside the blank.
+BETWEEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 def public_path(name: str) -> str:
@@ -45,24 +48,42 @@ def _processor(model: str):
     return state[model]
 
 
+def _plain(char: str) -> bool:
+    """Whether normalising leaves a character alone: it is its own compatibility form, and a letter or digit proper."""
+    return char.isascii() or (unicodedata.is_normalized("NFKC", char) and unicodedata.combining(char) == 0)
+
+
+def safe_blank(text: str, start: int) -> int:
+    """Place of the first safe blank from `start` on, or -1."""
+    for blank in BETWEEN.finditer(text, max(start, 1)):
+        if _plain(text[blank.start() - 1]) and _plain(text[blank.end()]):
+            return blank.start()
+    return -1
+
+
 def pieces_of(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """The text cut at safe blanks into pieces of `size` characters, or longer where no blank is safe."""
     start = 0
     while len(text) - start > size:
-        cut = SAFE.search(text, start + size)
-        if cut is None:
+        cut = safe_blank(text, start + size)
+        if cut < 0:
             break
-        yield text[start : cut.start()]
-        start = cut.end()
+        yield text[start:cut]
+        start = cut + 1
     yield text[start:]
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def _batches(pieces: Iterator[tuple[int, str]], size: int):
+    """Pieces in batches of about `size` bytes."""
     owners, texts, held = [], [], 0
     for owner, piece in pieces:
         owners.append(owner)
         texts.append(piece)
-        held += len(piece)
+        held += _bytes(piece)
         if held >= size:
             yield owners, texts
             owners, texts, held = [], [], 0

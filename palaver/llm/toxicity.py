@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import mix, text_runs
+from palaver.llm.common import mix, settled, text_runs
 from palaver.llm.language import _letters
 
 FOLDS, HELD_OUT = 4, 2
@@ -43,7 +43,10 @@ NEAR = 6.0  # words of a span set apart that lie on a path this much dearer than
 LONGEST = 40  # letters of a word set apart
 
 
-START: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}  # two letters before: cost, path
+WINDOW = 1024  # letters of a span set apart whose words are held at once
+REMEMBERED = 256  # characters of the spans whose words a decoder remembers
+
+START: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # two letters before: cost, path
 
 
 class Letters:
@@ -148,31 +151,44 @@ def fit_letters(docs: DataFrame, text: str = "text") -> LetterModel:
 
 
 class Decoder:
-    """Viterbi search through the lattice of a span; spans and letter costs are remembered."""
+    """Viterbi search through the lattice of a span; short spans and letter costs are remembered."""
 
     def __init__(self, model: LetterModel):
-        self.cost = lru_cache(1 << 16)(model.cost)
-        self.words = lru_cache(1 << 16)(self._words)
+        self.model = model
+        self.costs: dict[tuple[int, int, int], float] = {}
+        self.remembered = lru_cache(1 << 16)(self._words)
+
+    def words(self, text: str, apart: bool) -> tuple[str, ...]:
+        """What a span is restored to, where that is not the span itself."""
+        return self.remembered(text, apart) if len(text) <= REMEMBERED else self._words(text, apart)
 
-    def _arcs(self, span: str, apart: bool) -> Iterator[list[tuple[str, float]]]:
-        """For each character, the letters it may give (or none) and their costs."""
+    def _cost(self, three: tuple[int, int, int]) -> float:
+        if len(self.costs) > 1 << 16:
+            self.costs.clear()
+        cost = self.costs[three] = self.model.cost(*three)
+        return cost
+
+    def _arcs(self, span: str, apart: bool) -> Iterator[list[tuple[int, float]]]:
+        """For each character, the letters it may give (0: none) and their costs."""
         last = ""
         for c in span:
             if c in STANDS_FOR:
-                arcs = [(x, SUBSTITUTE) for x in STANDS_FOR[c]] + [("", REPEAT if c == last else NOISE)]
+                arcs = [(ord(x), SUBSTITUTE) for x in STANDS_FOR[c]] + [(0, REPEAT if c == last else NOISE)]
             elif c.isalpha():
-                arcs = [(c, 0.0)] + ([("", REPEAT)] if c == last else [])
+                arcs = [(ord(c), 0.0)] + ([(0, REPEAT)] if c == last else [])
             else:
-                arcs = [("", APART if apart else NOISE)]
+                arcs = [(0, APART if apart else NOISE)]
             last = c
             yield arcs
 
-    def _step(self, best: dict, arcs: list[tuple[str, float]]) -> dict:
+    def _step(self, best: dict, arcs: list[tuple[int, float]]) -> dict:
         after: dict = {}
+        known = self.costs.get
         for (a, b), (cost, path) in best.items():
             for letter, extra in arcs:
                 if letter:
-                    total = cost + extra + self.cost(ord(a) if a else 0, ord(b) if b else 0, ord(letter))
+                    more = known((a, b, letter))
+                    total = cost + extra + (self._cost((a, b, letter)) if more is None else more)
                     state, way = (b, letter), (letter, path)
                 else:
                     total, state, way = cost + extra, (a, b), path
@@ -180,53 +196,100 @@ class Decoder:
                     after[state] = total, way
         return after
 
-    def _end(self, best: dict) -> tuple[float, str]:
-        """Cost and letters of the best path when the word ends."""
-        ends = ((cost + self.cost(ord(a) if a else 0, ord(b) if b else 0, 0), path) for (a, b), (cost, path) in best.items())
-        cost, path = min(ends, key=lambda x: x[0])
-        out = []
-        while path is not None:
-            out.append(path[0])
-            path = path[1]
-        return cost, "".join(reversed(out))
+    def _end(self, best: dict) -> tuple[float, tuple | None]:
+        """Cost and path of the best way when the word ends."""
+        known = self.costs.get
+        least, way = np.inf, None
+        for (a, b), (cost, path) in best.items():
+            more = known((a, b, 0))
+            total = cost + (self._cost((a, b, 0)) if more is None else more)
+            if total < least:
+                least, way = total, path
+        return least, way
+
+    def _from(self, i: int, nodes: list[int], breaks: dict[int, float], steps: list) -> Iterator[tuple[int, float, tuple | None]]:
+        """The words from node `i` of a span set apart: (node where it ends, cost, path); each gap is passed or ends it."""
+        best = START
+        for j in range(i + 1, min(i + LONGEST, len(nodes) - 1) + 1):
+            for at in range(nodes[j - 1], nodes[j]):
+                if at in breaks:
+                    cost, path = self._end(best)
+                    yield j, cost + breaks[at], path
+                best = self._step(best, steps[at])
+        if nodes[j] == nodes[-1]:
+            yield j, *self._end(best)
 
     def _decode(self, span: str, apart: bool) -> tuple[str, ...]:
-        """The restored word; of a span set apart every word on a path at most NEAR dearer than the best."""
-        steps = list(self._arcs(span, apart))
+        """The restored word; of a span set apart every word on a path at most NEAR dearer than the best.
+
+        What a long span holds in memory is a cost for each letter, and the words of WINDOW letters:
+        costs from the start are worked out in one pass, then the span is gone through again from
+        its end, window by window, with the costs to the end. Cut or not, the words are the same.
+        """
+        steps = list(self._arcs(span, apart)) if len(span) <= 4 * WINDOW else _Steps(self, span, apart)
         if not apart:
             best = START
             for arcs in steps:
                 best = self._step(best, arcs)
-            return (self._end(best)[1],)
-        # Words run from node to node; each gap is passed within a word or ends it.
+            return (_spelled(self._end(best)[1]),)
         breaks = _breaks(span)
         nodes = [0, *(at + 1 for at in breaks), len(span)]
-        words = []
-        for i, first in enumerate(nodes[:-1]):
-            best = START
-            for j in range(i + 1, min(i + LONGEST, len(nodes) - 1) + 1):
-                for at in range(nodes[j - 1], nodes[j]):
-                    if at in breaks:
-                        cost, word = self._end(best)
-                        words.append((i, j, cost + breaks[at], word))
-                    best = self._step(best, steps[at])
-            if nodes[j] == len(span):
-                words.append((i, j, *self._end(best)))
-        before, behind = [0.0] + [np.inf] * (len(nodes) - 1), [np.inf] * (len(nodes) - 1) + [0.0]
-        for i, j, cost, _ in words:
+        size = len(nodes) - 1
+        before, behind = np.full(size + 1, np.inf), np.full(size + 1, np.inf)
+        before[0] = behind[-1] = 0.0
+        held = None
+        if size <= WINDOW:
+            held = [(i, *word) for i in range(size) for word in self._from(i, nodes, breaks, steps)]
+        for i, j, cost in ((i, j, cost) for i, j, cost, _ in held) if held is not None else (
+            (i, j, cost) for i in range(size) for j, cost, _ in self._from(i, nodes, breaks, steps)
+        ):
             before[j] = min(before[j], before[i] + cost)
-        for i, j, cost, _ in reversed(words):
-            behind[i] = min(behind[i], behind[j] + cost)
-        return tuple(dict.fromkeys(w for i, j, cost, w in words if before[i] + cost + behind[j] <= before[-1] + NEAR))
+        found: list[list[str]] = []
+        for stop in range(size, 0, -WINDOW):
+            start = max(stop - WINDOW, 0)
+            some = held if held is not None else [(i, *word) for i in range(start, stop) for word in self._from(i, nodes, breaks, steps)]
+            for i, j, cost, _ in reversed(some):
+                behind[i] = min(behind[i], behind[j] + cost)
+            near = (_spelled(path) for i, j, cost, path in some if before[i] + cost + behind[j] <= before[-1] + NEAR)
+            found.append(list(dict.fromkeys(near)))
+        return tuple(dict.fromkeys(word for words in reversed(found) for word in words))
 
     def _words(self, text: str, apart: bool) -> tuple[str, ...]:
-        """What a span is restored to, where that is not the span itself."""
         span = _plain(text)
         if not any(c.isalpha() for c in span):
             return ()
         return tuple(word for word in self._decode(span, apart) if word and word != span)
 
 
+class _Steps:
+    """The arcs of a long span's characters, worked out in runs when they are asked for."""
+
+    def __init__(self, decoder: Decoder, span: str, apart: bool):
+        self.decoder, self.span, self.apart = decoder, span, apart
+        self.runs: dict[int, list] = {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, float]]:
+        run, place = divmod(at, WINDOW)
+        if run not in self.runs:
+            if len(self.runs) > 8:
+                self.runs.clear()
+            start = run * WINDOW
+            some = list(self.decoder._arcs(self.span[max(start - 1, 0) : start + WINDOW], self.apart))
+            self.runs[run] = some[start > 0 :]
+        return self.runs[run][place]
+
+    def __iter__(self) -> Iterator[list[tuple[int, float]]]:
+        return (self[at] for at in range(len(self.span)))
+
+
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        out.append(chr(path[0]))
+        path = path[1]
+    return "".join(reversed(out))
+
+
 def _breaks(span: str) -> dict[int, float]:
     """The last place of each gap of a span set apart, and what a word break costs there."""
     gaps, start = [], None
@@ -310,16 +373,12 @@ def _distinct(found: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found[new], text[new]
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch], model: LetterModel, chosen: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _feature_rows(batches: Iterator[pa.RecordBatch], model: LetterModel) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(model)
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for start, stop, data, bounds in text_runs(batch.column(0)):
-            found, text = features(Letters(data, bounds), decoder)
-            if chosen is not None:
-                kept = _known(found, chosen) >= 0
-                found, text = found[kept], text[kept]
-            found, text = _distinct(found, text)
+            found, text = _distinct(*features(Letters(data, bounds), decoder))
             split = np.searchsorted(text, np.arange(stop - start + 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array(split, pa.int32()), pa.array(found)), pa.array(label[start:stop].astype(np.int32))],
@@ -327,6 +386,18 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], model: LetterModel, chosen:
             )
 
 
+def _chosen_rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The same rows with the chosen features alone."""
+    for batch in batches:
+        column = batch.column(0)
+        found = column.flatten().to_numpy()
+        kept = _known(found, chosen) >= 0
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        split = upto[column.offsets.to_numpy() - column.offsets[0].as_py()]
+        features = pa.ListArray.from_arrays(pa.array(split, pa.int32()), pa.array(found[kept]))
+        yield pa.RecordBatch.from_arrays([features, batch.column(1)], ["features", "toxic"])
+
+
 def _known(found: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Place of each hash among the sorted `chosen` ones, -1 where it is none of them."""
     out = np.full(len(found), -1, np.int64)
@@ -376,13 +447,14 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, model: LetterModel, key: str =
         .orderBy(F.xxhash64("_key"), "_key").limit(bound)
     )
     sample = docs.select(key, text).join(F.broadcast(known), F.col(key) == F.col("_key")).select(F.col(text), F.col("_toxic"))
-    count = sample.groupBy("_toxic").count().toPandas().set_index("_toxic")["count"]
+    # Read and decoded once; the features of `bound` documents at most lie in the shared folder.
+    rows = settled(sample.mapInArrow(lambda b: _feature_rows(b, model), "features array<long>, toxic int"), "toxic-features")
+    count = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"]
     n1, n0 = int(count.get(1, 0)), int(count.drop(1, errors="ignore").sum())
     none = np.zeros(0, np.int64)
     if not n1 or not n0:
         rate = min(max(n1 / (n1 + n0) if n1 + n0 else 0.0, 1e-6), 1 - 1e-6)
         return LinearModel(none, np.zeros(0), float(np.log(rate / (1 - rate))))
-    rows = sample.mapInArrow(lambda b: _feature_rows(b, model, None), "features array<long>, toxic int")
     tally = (
         rows.select(F.explode("features").alias("feature"), F.col("toxic").cast("long").alias("toxic"))
         .groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).filter("n > 2")
@@ -399,7 +471,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, model: LetterModel, key: str =
     )
     best = tally.withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & (a * total > n * n1))
     chosen = np.sort(best.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature").toPandas()["feature"].to_numpy(np.int64))
-    held = sample.mapInArrow(lambda b: _feature_rows(b, model, chosen), "features array<long>, toxic int").toPandas()
+    held = rows.mapInArrow(lambda b: _chosen_rows(b, chosen), "features array<long>, toxic int").toPandas()
     lists = [np.asarray(f, np.int64) for f in held["features"]]
     row = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
     place = _known(np.concatenate(lists) if lists else none, chosen)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import duckdb
@@ -181,6 +182,36 @@ def test_shards_of_odd_rows(spark):
     assert wavelet.read_documents(spark.read.parquet(path)).count() == 0
 
 
+def test_lookups_over_the_shard_table(spark):
+    """Counts and places of ids over all shards, against the library's ids of every text."""
+    path = fresh_path(spark, "shards")
+    wavelet.write_shards(frame(spark), path, size=40)
+    shards = spark.read.parquet(path)
+    whole = library(wavelet.MODEL)
+    ids = [(i, [*whole(t), 2]) for i, t, _ in TEXTS]
+    common = [t for t, _ in Counter(x for _, some in ids for x in some).most_common(40)]
+    asked = [*common[:3], *common[20:24], 2, 50256, 49999, 10**6, -1, common[0]]
+    told = {r.token: r.n for r in wavelet.count_tokens(shards, asked).collect()}
+    assert told == {t: sum(some.count(t) for _, some in ids) for t in asked}
+    for token in (common[0], common[30], 2, 10**6, -1):
+        places = bag(wavelet.occurrences(shards, token))
+        assert places == sorted(((i, at) for i, some in ids for at, x in enumerate(some) if x == token), key=repr)
+    plan = wavelet.occurrences(shards, 49999)._jdf.queryExecution().executedPlan().toString()
+    assert "least" in plan.split("PushedFilters")[1] and "greatest" in plan.split("PushedFilters")[1]
+
+
+@pytest.mark.parametrize("size, ids", [(1, 5), (700, 3), (5000, 40), (9000, 50_000)])
+def test_select_in_one_pass(size, ids):
+    rng = np.random.default_rng(size)
+    values = (rng.zipf(1.3, size) % ids).astype(np.uint32)
+    shard = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values).to_bytes())
+    for token in {*values[:20].tolist(), 0, ids + 7}:
+        places = np.flatnonzero(values == token)
+        assert shard.positions(token).tolist() == places.tolist()
+        for k in range(0, len(places), max(len(places) // 3, 1)):
+            assert shard.select(token, k) == places[k] and shard.rank(token, int(places[k])) == k
+
+
 def test_shards_query(spark, sf_dir):
     whole, start = library(wavelet.MODEL), 0
     rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op6_wavelet_shards"](spark, sf_dir).collect()}

@@ -1,10 +1,13 @@
 """Quality, language, token counts, toxicity against brute force, and their odd rows."""
 
+import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +141,39 @@ def test_safe_cuts_change_nothing(pieces):
     assert list(token_counts.pieces_of("a" * 50, 10)) == ["a" * 50]
 
 
+SCRIPTS = {
+    "cyrillic": "Съешь же ещё этих мягких французских булок, да выпей чаю № 5 ",
+    "arabic": "نص حكيم له سر قاطع وذو شأن عظيم مكتوب على ثوب أخضر ",
+    "cjk": "日本語 の 文章 に は 普通 空白 が ない ｶﾞ ㍿ ",
+    "greek": "Ξεσκεπάζω τὴν ψυχοφθόρα βδελυγμία ﬁ ",
+    "hindi": "ऋषियों को सताने वाले दुष्ट राक्षसों के राजा रावण ",
+    "korean": "다람쥐 헌 쳇바퀴에 타고파 ㈜ ",
+    "marks": "e\u0301 a\u0308 \u0301x \u200b y \xa0 z \u3000 w \uac00 \u11a8 ",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_safe_cuts_in_every_script(pieces, script):
+    text = SCRIPTS[script] * 40
+    whole = len(pieces.encode(text))
+    for size in (1, 5, 64, 300):
+        parts = list(token_counts.pieces_of(text, size))
+        assert sum(len(pieces.encode(p)) for p in parts) == whole, size
+        assert len(parts) > 1 or script == "marks"
+
+
+@pytest.mark.parametrize("script", ["cyrillic", "cjk"])
+def test_very_long_texts_are_cut(pieces, script):
+    """Ten megabytes: no piece much longer than asked for, batches of about their bytes, the library's count."""
+    text = SCRIPTS[script] * (10_000_000 // len(SCRIPTS[script].encode()))
+    parts = list(token_counts.pieces_of(text))
+    assert len(parts) > 50 and max(map(len, parts)) < token_counts.PIECE_CHARS + 100
+    batches = list(token_counts._batches(((0, p) for p in parts), token_counts.BATCH_BYTES))
+    sizes = [sum(len(p.encode()) for p in some) for _, some in batches]
+    assert max(sizes) < token_counts.BATCH_BYTES + 4 * (token_counts.PIECE_CHARS + 100) and min(sizes[:-1]) >= token_counts.BATCH_BYTES
+    assert sum(len(pieces.encode(p)) for p in parts) == len(pieces.encode(text))
+
+
 def test_token_query(spark, sf_dir, pieces):
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = QUERIES["op3_token_counts"](spark, sf_dir).collect()
@@ -191,6 +227,89 @@ def test_toxicity_restores_doubled_letters(spark):
     assert min(score[i] for i in range(5)) >= toxicity.CUT > max(score[5], score[6])
 
 
+@pytest.fixture(scope="module")
+def letter_model(spark):
+    docs, _ = labelled(spark)
+    return toxicity.fit_letters(docs)
+
+
+def path_cost(letters, model):
+    """What the letter model says of a word: from two breaks to the break at its end."""
+    points = [0, 0, *map(ord, letters), 0]
+    return sum(model.cost(*points[k : k + 3]) for k in range(len(letters) + 1))
+
+
+def ways(decoder, span, apart):
+    """Every reading of a span: (what the channel costs, letters)."""
+    for arcs in itertools.product(*decoder._arcs(span, apart)):
+        yield sum(extra for _, extra in arcs), "".join(chr(letter) for letter, _ in arcs if letter)
+
+
+@pytest.mark.parametrize("span", ["st1pid", "cl0wn", "stuupid", "$tup1d", "aab", "n1ce", "1l1", "cl00wn!", "d@y"])
+def test_viterbi_finds_the_cheapest_of_all_readings(letter_model, span):
+    decoder = toxicity.Decoder(letter_model)
+    cost, best = min((extra + path_cost(word, letter_model), word) for extra, word in ways(decoder, span, False))
+    (found,) = decoder._decode(span, False)
+    assert found == best or path_cost(found, letter_model) - path_cost(best, letter_model) < 1e-9 + cost
+    again = min(extra + path_cost(word, letter_model) for extra, word in ways(decoder, span, False) if word == found)
+    assert again == pytest.approx(cost)
+
+
+@pytest.mark.parametrize("span", ["a c l o", "y  o u b", "s t 1 p", "n.i c e"])
+def test_words_set_apart_are_those_near_the_cheapest_of_all_readings(letter_model, span):
+    decoder = toxicity.Decoder(letter_model)
+    breaks = toxicity._breaks(span)
+    totals = {}  # word: the cheapest reading of the whole span that it is part of
+    for cut in itertools.product((False, True), repeat=len(breaks)):
+        edges = [0, *(at + 1 for at, taken in zip(breaks, cut, strict=True) if taken), len(span)]
+        parts = []
+        for a, b in itertools.pairwise(edges):
+            inner = span[a : b - 1] if b - 1 in breaks and b != len(span) else span[a:b]
+            # the last character of a gap that breaks is paid for by the break
+            paid = breaks.get(b - 1, 0.0) if b != len(span) else 0.0
+            parts.append(min(((extra + path_cost(w, letter_model) + paid, w) for extra, w in ways(decoder, inner, True))))
+        whole = sum(cost for cost, _ in parts)
+        for _, word in parts:
+            totals[word] = min(totals.get(word, np.inf), whole)
+    best = min(totals.values())
+    expected = {w for w, cost in totals.items() if cost <= best + toxicity.NEAR}
+    assert set(decoder._decode(span, True)) == expected
+
+
+def test_long_spans_set_apart_give_the_same_words_in_windows(letter_model, monkeypatch):
+    rng = random.Random(9)
+    span = "".join(rng.choice("stupidclown1ae") + rng.choice([" ", " ", "  ", "."]) for _ in range(300)) + "n"
+    whole = toxicity.Decoder(letter_model)._decode(span, True)
+    for window in (7, 64, 299):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        assert toxicity.Decoder(letter_model)._decode(span, True) == whole
+
+
+def test_a_long_text_of_letters_set_apart_takes_bounded_memory(letter_model):
+    text = " ".join("stupid clown what a nice day".replace(" ", "") * 260)  # 5,980 letters
+    tracemalloc.start()
+    words = toxicity.Decoder(letter_model).words(text, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {"stupid", "clown"} <= set(words)
+    assert peak < 16e6  # 8 KB a letter would be 48 MB
+
+
+def test_the_labelled_sample_is_read_once(spark):
+    docs, labels = labelled(spark)
+    letters = toxicity.fit_letters(docs)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    model = toxicity.fit_toxic(watched, labels, letters)
+    assert len(model.chosen) and read.value == 60
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark)
     letters = toxicity.fit_letters(frame(spark))
