@@ -15,12 +15,13 @@ import numpy as np
 
 from palaver.llm.common import worker_state
 
-MAX_WORDS = 1 << 20  # words the table holds before it is emptied
+MAX_WORDS = 1 << 20  # words the table holds before it is thinned out
 LONG_CHARS = 1 << 20  # longer texts are cut at safe blanks first
 JOINED = 1000  # new words encoded in one call
 BREAK = "\n"
 HEAD = "\0"  # marks a word at the start of a text or line, which has no blank before it
 TAILS = ".,;:!?)]}\"%$&*#|"  # may follow a word; the library starts a new word there
+ODD = re.compile(r"[^\S \n]|\u180e")
 SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
@@ -32,6 +33,7 @@ class _Words:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int32)  # runs of texts that found the word here
         self.used = 0
 
     def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -41,12 +43,23 @@ class _Words:
         while number + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.ids[self.used : end] = ids
         self.start[number : number + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.length[number : number + len(words)] = lengths
         self.used = end
         self.at.update(zip(words, range(number, number + len(words)), strict=True))
 
+    def thinned(self, most: int) -> _Words:
+        """A table of the words that were found again, at most so many: those found most often."""
+        hits = self.hits[: len(self.at)]
+        kept = np.flatnonzero(hits)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argpartition(hits[kept], -most)[-most:]])
+        words, out = list(self.at), _Words()
+        out.add([words[k] for k in kept], self.gather(kept, self.length[kept]), self.length[kept])
+        return out
+
     def gather(self, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The ids of the words, one after the other; a word with length 0 here gives none."""
         ends = np.cumsum(length)
@@ -104,20 +117,22 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Add words to the table; a known word with marks after it is put together from both."""
-        known, split, wanted = self.words.at, {}, set()
-        for word in words:
+        known, split = self.words.at, {}
+        letters = set(filter(str.isalpha, words))  # most words are nothing else
+        wanted = set()
+        for word in words - letters:
             base = word.rstrip(TAILS)
             if base != word and base and base[-1].lower().isalpha():
                 tail = HEAD + word[len(base) :] if self.blanks else word[len(base) :]
                 split[word] = base, tail
-                wanted.update((base, tail))
+                wanted.add(base)
+                wanted.add(tail)
             else:
                 wanted.add(word)
-        plain: dict[bool, list[str]] = {False: [], True: []}
+        wanted = (wanted - letters).difference(known)
+        plain: dict[bool, list[str]] = {False: [*letters], True: []}
         others = []
         for word in wanted:
-            if word in known:
-                continue
             headed = self.blanks and word[:1] == HEAD
             if (word[1:] if headed else word).isalpha():
                 plain[headed].append(word)
@@ -159,17 +174,21 @@ class WordEncoder:
 
     def _encode_part(self, texts: list[tuple[str, bool]]) -> list[np.ndarray]:
         if len(self.words.at) > MAX_WORDS:
-            self.words = _Words()
+            self.words = self.words.thinned(MAX_WORDS // 2)
         cut = [self._cut(text, first) for text, first in texts]
         flat = list(chain.from_iterable(cut))
         codes = np.fromiter(map(self.words.at.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(codes < 0)
         bad = np.zeros(len(flat), bool)
+        self.words.hits[codes[codes >= 0]] += 1
         if len(missing):
-            new = {flat[i] for i in missing}
-            unsafe = {w for w in new if self._unsafe(w)}
+            unknown = [flat[i] for i in missing.tolist()]
+            new = set(unknown)
+            # Other white space than blanks and line ends is rare; without it only an empty word is unsafe.
+            odd = self.blanks and any(ODD.search(text) for text, _ in texts)
+            unsafe = set(filter(self._unsafe, new)) if odd else new.intersection(("", HEAD)) if self.blanks else set()
             self._learn(new - unsafe)
-            codes[missing] = [self.words.at.get(flat[i], -1) for i in missing]
+            codes[missing] = np.fromiter(map(self.words.at.get, unknown, repeat(-1)), np.int64, len(unknown))
             bad = codes < 0
             codes[bad] = 0
         length = np.where(bad, 0, self.words.length[codes])

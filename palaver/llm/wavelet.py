@@ -41,20 +41,25 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids, np.uint32)
-        levels = max(1, int(ids.max(initial=0)).bit_length())
-        if levels <= 16:
-            ids = ids.astype(np.uint16)
+        levels, size = max(1, int(ids.max(initial=0)).bit_length()), len(ids)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        # Two buffers take turns: each level is split from one into the other.
+        ids, after = ids.astype(kind), np.empty(size, kind)
         planes, directories = [], []
         for level in range(levels - 1, -1, -1):
-            one = (ids >> ids.dtype.type(level)) & 1 == 1
+            one = (ids & kind(1 << level)).astype(bool)
             plane = np.packbits(one, bitorder="little")
-            padded = np.zeros(-(-max(len(ids), 1) // BLOCK) * BLOCK // 8, np.uint8)
+            padded = np.zeros(-(-max(size, 1) // BLOCK) * BLOCK // 8, np.uint8)
             padded[: len(plane)] = plane
             planes.append(padded)
             ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1)
             directories.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
-            ids = np.concatenate([ids[~one], ids[one]])
-        return cls(int(len(ids)), planes, directories)
+            zeros = size - int(directories[-1][-1])
+            np.compress(one, ids, out=after[zeros:])
+            np.logical_not(one, out=one)
+            np.compress(one, ids, out=after[:zeros])
+            ids, after = after, ids
+        return cls(size, planes, directories)
 
     def to_bytes(self) -> bytes:
         body = b"".join(p.tobytes() for p in self.planes) + b"".join(d.tobytes() for d in self.directories)
@@ -149,19 +154,24 @@ class WaveletMatrix:
             raise IndexError(number)
         return int(self._up(token, np.array([start + number]))[0])
 
-    def positions(self, token: int) -> np.ndarray:
+    def places(self, token: int) -> np.ndarray:
         """Positions of all occurrences, in order: one pass per level for all of them."""
         return self._up(token, np.arange(*self._range(token, 0, self.size)))
 
+    def positions(self, token: int) -> list[int]:
+        return self.places(token).tolist()
+
     def decode(self) -> np.ndarray:
         """All ids in order: the splits undone from the last level up."""
-        ids = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        ids, merged = np.zeros(self.size, kind), np.empty(self.size, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
-            merged = np.empty_like(ids)
-            merged[~one] = ids[: self.zeros[level]]
-            merged[one] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.planes) - 1 - level))
-            ids = merged
+            ids[self.zeros[level] :] |= kind(1 << (len(self.planes) - 1 - level))
+            merged[np.flatnonzero(one)] = ids[self.zeros[level] :]
+            np.logical_not(one, out=one)
+            merged[np.flatnonzero(one)] = ids[: self.zeros[level]]
+            ids, merged = merged, ids
         return ids.astype(np.uint32)
 
 
@@ -290,7 +300,7 @@ def _places(batches: Iterator[pa.RecordBatch], token: int, name: str) -> Iterato
     for batch in batches:
         for row in range(len(batch)):
             keys, lengths, body = (batch.column(k)[row] for k in range(3))
-            at = WaveletMatrix.from_bytes(body.as_py()).positions(token)
+            at = WaveletMatrix.from_bytes(body.as_py()).places(token)
             ends = np.cumsum(lengths.values.to_numpy())
             owner = np.searchsorted(ends, at, side="right")
             starts = ends - lengths.values.to_numpy()

@@ -285,14 +285,20 @@ def test_long_spans_set_apart_give_the_same_words_in_windows(letter_model, monke
         assert toxicity.Decoder(letter_model)._decode(span, True) == whole
 
 
-def test_a_long_text_of_letters_set_apart_takes_bounded_memory(letter_model):
-    text = " ".join("stupid clown what a nice day".replace(" ", "") * 260)  # 5,980 letters
-    tracemalloc.start()
-    words = toxicity.Decoder(letter_model).words(text, True)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert {"stupid", "clown"} <= set(words)
-    assert peak < 16e6  # 8 KB a letter would be 48 MB
+def test_a_long_text_of_letters_set_apart_takes_bounded_memory(letter_model, monkeypatch):
+    """Four times as many letters need hardly more: the words of one window are held, and a cost for each letter."""
+    monkeypatch.setattr(toxicity, "WINDOW", 128)
+    peaks = []
+    for times in (40, 160):  # 920 and 3,680 letters
+        text = " ".join("stupid clown what a nice day".replace(" ", "") * times)
+        decoder = toxicity.Decoder(letter_model)
+        tracemalloc.start()
+        words = decoder.words(text, True)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert {"stupid", "clown"} <= set(words)
+        assert decoder.remembered.cache_info().currsize == 0  # and the span is not kept
+    assert peaks[1] < 1.4 * peaks[0] < 6e6
 
 
 def test_the_labelled_sample_is_read_once(spark):
