@@ -12,6 +12,8 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from palaver.llm.common import worker_state
 
@@ -157,10 +159,9 @@ class WordEncoder:
         word = word[1:] if word[:1] == HEAD else word
         return not word or word[0].isspace() or word[-1].isspace() or "᠎" in (word[0], word[-1])
 
-    def _cut(self, text: str, first: bool) -> list[str]:
-        if self.blanks:
-            return ((HEAD if first else "") + text.replace("\n", " \n " + HEAD)).split(" ")
-        return text.replace("\n", " ").split(" ")
+    def _marked(self, text: str, first: bool) -> str:
+        """The text as the words that a split at blanks gives: line ends are words, and what follows them is marked."""
+        return (HEAD if first else "") + text.replace("\n", " \n " + HEAD) if self.blanks else text.replace("\n", " ")
 
     def _parts(self, text: str):
         start = 0
@@ -175,25 +176,26 @@ class WordEncoder:
     def _encode_part(self, texts: list[tuple[str, bool]]) -> list[np.ndarray]:
         if len(self.words.at) > MAX_WORDS:
             self.words = self.words.thinned(MAX_WORDS // 2)
-        cut = [self._cut(text, first) for text, first in texts]
-        flat = list(chain.from_iterable(cut))
-        codes = np.fromiter(map(self.words.at.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(codes < 0)
-        bad = np.zeros(len(flat), bool)
-        self.words.hits[codes[codes >= 0]] += 1
+        # Arrow splits and numbers the words; each distinct one is looked up once.
+        cut = pc.split_pattern(pa.array([self._marked(text, first) for text, first in texts], pa.large_string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        known = np.fromiter(map(self.words.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        self.words.hits[known[known >= 0]] += 1
+        missing = np.flatnonzero(known < 0)
         if len(missing):
-            unknown = [flat[i] for i in missing.tolist()]
-            new = set(unknown)
+            unknown = [distinct[i] for i in missing.tolist()]
             # Other white space than blanks and line ends is rare; without it only an empty word is unsafe.
             odd = self.blanks and any(ODD.search(text) for text, _ in texts)
-            unsafe = set(filter(self._unsafe, new)) if odd else new.intersection(("", HEAD)) if self.blanks else set()
-            self._learn(new - unsafe)
-            codes[missing] = np.fromiter(map(self.words.at.get, unknown, repeat(-1)), np.int64, len(unknown))
-            bad = codes < 0
-            codes[bad] = 0
+            unsafe = set(filter(self._unsafe, unknown)) if odd else {"", HEAD} if self.blanks else set()
+            self._learn(set(unknown) - unsafe)
+            known[missing] = np.fromiter(map(self.words.at.get, unknown, repeat(-1)), np.int64, len(unknown))
+        codes = known[numbered.indices.to_numpy()]
+        bad = codes < 0
+        codes[bad] = 0
         length = np.where(bad, 0, self.words.length[codes])
         ids = self.words.gather(codes, length)
-        bounds = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+        bounds = cut.offsets.to_numpy()
         ends = np.concatenate([[0], np.cumsum(length)])
         wrong = np.concatenate([[0], np.cumsum(bad)])
         out = []

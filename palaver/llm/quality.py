@@ -19,7 +19,6 @@ from palaver.llm.common import Hasher, Words, byte_table, mix, sums, text_runs
 BUCKET_BITS = 16
 SMOOTHING = 10.0  # added to the count of every bucket: rare features say little
 THRESHOLD = -0.1  # nats per feature
-TRUSTED_BOUND = 20_000  # trusted documents that the target multinomial is fitted on
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -95,24 +94,19 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
 
 
-def trusted_ids(labels: DataFrame, key: str = "doc_id", bound: int = TRUSTED_BOUND) -> DataFrame:
-    """The trusted documents the target is fitted on: at most `bound`, the same ones in every run."""
-    return (
-        labels.filter((F.col("quality") == 1) & F.col(key).isNotNull())
-        .select(F.col(key).alias("_trusted")).distinct()
-        .orderBy(F.xxhash64("_trusted"), "_trusted").limit(bound)
-    )
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(_trusted): the keys of the trusted documents, each once."""
+    return labels.filter((F.col("quality") == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_trusted")).distinct()
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", bound: int = TRUSTED_BOUND) -> np.ndarray:
-    """log(p trusted / p raw) of every bucket; all texts count for the raw side.
+def fit_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """log(p trusted / p raw) of every bucket: all texts count for the raw side, all trusted ones for the other.
 
     The driver gets one row per bucket, however large the corpus is. Without trusted texts all
-    ratios are 0.
+    ratios are 0. The join with the trusted keys has no hint: Spark broadcasts them where they are
+    small, and splits a key with very many texts where it does not.
     """
-    marked = docs.select(key, text).join(
-        F.broadcast(trusted_ids(labels, key, bound)), F.col(key) == F.col("_trusted"), "left"
-    )
+    marked = docs.select(key, text).join(trusted_ids(labels, key), F.col(key) == F.col("_trusted"), "left")
     counts = (
         marked.select(F.col(text), F.col("_trusted").isNotNull().alias("trusted"))
         .mapInArrow(count_features, "bucket int, raw long, trusted long")
@@ -164,16 +158,14 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     threshold: float = THRESHOLD,
-    bound: int = TRUSTED_BOUND,
 ) -> DataFrame:
     """One row per row of `docs`: key, base counts, `llr`, `base_failed`, `kept`.
 
-    `labels` has the key and `quality`; texts with quality 1 are trusted, at most `bound` of them
-    (chosen by a hash of the key). A null or blank text has no words and fails; repeated rows get
+    `labels` has the key and `quality`; texts with quality 1 are trusted. A null or blank text has no words and fails; repeated rows get
     equal rows; null keys are kept as they are; an empty table gives no rows. Other columns are
     not read. The mean ratio must be `threshold` or more.
     """
-    ratio = fit_ratio(docs, labels, key, text, bound)
+    ratio = fit_ratio(docs, labels, key, text)
     kind = docs.schema[key].dataType.simpleString()
     measured = docs.select(key, text).mapInArrow(lambda batches: measure(batches, ratio), f"`{key}` {kind}, {MEASURES}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

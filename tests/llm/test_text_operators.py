@@ -1,6 +1,7 @@
 """Quality, language, token counts, toxicity against brute force, and their odd rows."""
 
 import itertools
+import math
 import random
 import re
 import tracemalloc
@@ -16,6 +17,7 @@ from palaver.llm import language, quality, token_counts, toxicity
 from palaver.llm.queries import QUERIES, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG_WORDS = " ".join(f"long{i % 301}" for i in range(5000))
 
 
 def base(text):
@@ -67,6 +69,90 @@ def test_quality_ratio_by_hand(spark):
     assert got[1] > 0 > got[2]
 
 
+def buckets_by_hand(text):
+    """Buckets of the words and of the pairs of neighbouring words of a text, one word at a time."""
+    from palaver.llm.common import Hasher, mix
+
+    hashes = []
+    for word in WORD.findall(text or ""):
+        hasher = Hasher()
+        data = np.frombuffer(word.encode(), np.uint8)
+        hasher.load(data)
+        hashes.append(hasher.ranges(np.array([0]), np.array([len(data)])))
+    shift = np.uint64(64 - quality.BUCKET_BITS)
+    single = [int((mix(h + np.uint64(1)) >> shift)[0]) for h in hashes]
+    pairs = [int((mix(a * np.uint64(3) + b * np.uint64(5)) >> shift)[0]) for a, b in itertools.pairwise(hashes)]
+    return single + pairs
+
+
+def test_quality_ratios_by_brute_force(spark):
+    """Mean log-ratio and verdict of every row from counts kept in dictionaries."""
+    good, bad = "a fine story told well with care and wit", "buy now click here cheap cheap deal offer"
+    rows = [(i, " ".join(f"{good if i % 2 else bad} {i % 7}" for _ in range(3 + i % 5)), None) for i in range(40)]
+    rows += [(50 + i, " ".join(f"{('fine', 'care', 'deal')[j % 3]} part{j}" for j in range(30 + i)), None) for i in range(6)]
+    rows += [(40, None, None), (41, "", None), (41, good, None), (None, bad * 9, None), (42, LONG_WORDS, None)]
+    trusted = {1, 3, 5, 7, 41, 52, 99}
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(2, 0, 0), (3, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    raw, target = Counter(), Counter()
+    for i, text, _ in rows:
+        some = buckets_by_hand(text)
+        raw.update(some)
+        if i in trusted:
+            target.update(some)
+    scale = sum(target.values()) / sum(raw.values())
+
+    def ratio(bucket):
+        return math.log((target[bucket] + quality.SMOOTHING) / (raw[bucket] * scale + quality.SMOOTHING))
+
+    expected = []
+    for i, text, _ in rows:
+        some = buckets_by_hand(text)
+        llr = sum(map(ratio, some)) / len(some) if some else 0.0
+        expected.append((i, round(llr, 9), not base(text)[-1] and llr >= quality.THRESHOLD))
+    got = quality.quality_rules(frame(spark, rows), labels).select("doc_id", F.round("llr", 9), "kept")
+    assert bag(got) == sorted(expected, key=repr)
+    assert {kept for _, _, kept in expected} == {True, False}
+
+
+def profile_by_hand(text, vectors):
+    """The sum of bound, permuted letter vectors over all 3-grams, one at a time."""
+    table = language._letters()
+    symbols = [0]
+    for c in text:
+        letter = int(table[ord(c)])
+        if letter or symbols[-1]:
+            symbols.append(letter)
+    symbols += [0] if symbols[-1] else []
+    total = np.zeros(vectors.dimensions)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        if b:
+            x, y, z = (vectors.of(np.array([s]))[0] for s in (a, b, c))
+            total += np.roll(x, 2) * np.roll(y, 1) * z
+    return total
+
+
+def test_language_prototypes_and_cosines_by_brute_force(spark):
+    vectors = language.LetterVectors()
+    small = [(i, t, lang) for i, t, lang in TEXTS if t is None or len(t) < 1000]
+    profiles = {}
+    for _, text, lang in small:
+        if text is not None and lang is not None:
+            profiles[lang] = profiles.get(lang, 0) + profile_by_hand(text, vectors)
+    names = sorted(lang for lang, p in profiles.items() if np.linalg.norm(p))
+    langs, table_ = language.prototypes(frame(spark, small))
+    assert langs == names
+    unit = np.stack([profiles[x] / np.linalg.norm(profiles[x]) for x in names])
+    assert np.allclose(table_, unit, atol=1e-6)
+    expected = []
+    for i, text, _ in small:
+        profile = profile_by_hand(text or "", vectors)
+        cosines = unit @ profile / max(np.linalg.norm(profile), 1e-9)
+        known = np.linalg.norm(profile) > 0
+        expected.append((i, names[int(cosines.argmax())] if known else "und", round(float(np.clip(cosines.max(), 0, 1)), 4) if known else 0.0))
+    got = language.identify(frame(spark, small), langs, table_)
+    assert bag(got.select("doc_id", "lang_pred", F.round("score", 4))) == sorted(expected, key=repr)
+
+
 def test_language_of_odd_rows(spark):
     docs = frame(spark)
     langs, table_ = language.prototypes(docs)
