@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +84,41 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(_quoted(column).alias(column)).distinct()
 
 
+FOOTER_SETTINGS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def ranges_from_footers(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, low, high) of columns of a stored Parquet table, from the bounds in its footers: no row is read.
+
+    For columns of whole numbers and dates (all of them by default; dates as days since 1970), whose
+    bounds the format keeps exactly; others are refused. Spark plans it where its newer reader and
+    aggregate push-down are on: they are, while the one row is fetched.
+    """
+    before = {key: spark.conf.get(key, None) for key in FOOTER_SETTINGS}
+    try:
+        for key, setting in FOOTER_SETTINGS.items():
+            spark.conf.set(key, setting)
+        table = spark.read.parquet(path)
+        kinds = {f.name: f.dataType for f in table.schema.fields if isinstance(f.dataType, (T.IntegralType, T.DateType))}
+        chosen = list(kinds if columns is None else columns)
+        if refused := [c for c in chosen if c not in kinds]:
+            raise ValueError(f"no exact bounds in footers for {refused}")
+        bounds = table.agg(*[f(_quoted(c)).alias(f"{name} {c}") for c in chosen for name, f in (("low", F.min), ("high", F.max))])
+        plan = bounds._jdf.queryExecution().executedPlan().toString()
+        if "PushedAggregation: []" in plan:
+            raise RuntimeError("the aggregate was not pushed to the footers")
+        row = bounds.first()
+    finally:
+        for key, setting in before.items():
+            spark.conf.unset(key) if setting is None else spark.conf.set(key, setting)
+
+    def number(value: object) -> float | None:
+        return None if value is None else float((value - date(1970, 1, 1)).days if isinstance(value, date) else value)
+
+    rows = [(c, number(row[f"low {c}"]), number(row[f"high {c}"])) for c in chosen]
+    return spark.createDataFrame(rows, "column_name string, low double, high double")
+
+
 def numeric_ranges(df: DataFrame) -> DataFrame:
     """(column_name, low, high) of every numeric column, as doubles."""
     fields = _numeric(df)

@@ -29,6 +29,7 @@ from palaver.operators import dashboard as dash
 from palaver.operators import density as kde
 from palaver.operators import extract, filters, frequent, merge, ordering, quality, scoring, search, sketches
 from palaver.operators import transcripts as tr
+from palaver.plans import jobs
 from palaver.plans.jobs import load_bucketed_facts, scored_facts, shaped_chats
 from palaver.plans.registry import literal, mask_sql, query, round_hour_sql, scores_sql
 from palaver.schemas import EMAIL_MASK, FACT, FACT_TABLE, NEAREST, PHONE_MASK, SENTIMENTS, URL_MASK
@@ -404,6 +405,19 @@ def density_wide(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_density(curve)
 
 
+BOUNDED_SQL = """SELECT Sentiment, i, x, TRUE AS within_bound FROM ({})"""
+
+
+@query("density_binned", BOUNDED_SQL.format(_density_sql("DurationInMins", 500, 0.0, 500)))
+def density_binned(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of the binned curve, and whether it lies within its stated bound of the exact one."""
+    facts = sample.fact(spark, sf)
+    exact = kde.density(facts).select("Sentiment", "i", F.col("density").alias("exact"))
+    binned = kde.density_binned(facts).join(exact, ["Sentiment", "i"], "full")
+    close = F.coalesce(F.abs(F.col("density") - F.col("exact")) <= F.col("error") + F.lit(1e-12), F.lit(False))
+    return binned.select("Sentiment", "i", F.round("x", 6).alias("x"), close.alias("within_bound"))
+
+
 # --- transcripts --------------------------------------------------------------------------------
 
 
@@ -848,6 +862,20 @@ def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
 EVENT_NUMBERS = ("event_id", "user_id", "value")
 
 
+WHOLE_NUMBERS = ("event_id", "user_id")
+
+
+@query(
+    "ranges_from_footers",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM events"
+        for c in WHOLE_NUMBERS
+    ),
+)
+def ranges_from_footers(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.ranges_from_footers(spark, f"{sf}/events.parquet", WHOLE_NUMBERS)
+
+
 @query(
     "numeric_ranges",
     " UNION ALL ".join(
@@ -1055,6 +1083,23 @@ def backfill_null(spark: SparkSession, sf: str) -> DataFrame:
     return merge.backfill_nulls(target, source, ["UserID"], "VIPLevel", "event_id")
 
 
+@query(
+    "backfill_partitions",
+    """SELECT t.ID AS ID, t.UserID AS UserID, CAST(t.Date AS DATE) AS day, COALESCE(t.VIPLevel, f.level) AS VIPLevel FROM joined_v t
+       LEFT JOIN (SELECT user_id, CAST(arg_min(length(event_type), event_id) AS INT) AS level FROM events
+                  WHERE ts >= TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1) f ON f.user_id = t.UserID""",
+)
+def backfill_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "days")
+    target = chats_profile(spark, sf).select("ID", "UserID", "VIPLevel", F.to_date("Date").alias("day"))
+    target.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    source = sample.table(spark, sf, "events").where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).select(
+        F.col("user_id").alias("UserID"), F.length("event_type").alias("VIPLevel"), "event_id"
+    )
+    jobs.backfill_partitions(spark, path, target.schema, "day", source, ["UserID"], "VIPLevel", "event_id")
+    return spark.read.schema(target.schema).parquet(path)
+
+
 @query(
     "backfill_key",
     """SELECT ID, UserID, hour(started) AS Hour, COALESCE(f.ChatID, 'lost') AS ChatID FROM chats_v

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,13 @@ from palaver.functions.text import mask_pii
 from palaver.operators.dashboard import dashboard
 from palaver.operators.extract import chats_with_profile, max_loaded, not_yet_loaded, started_within
 from palaver.operators.filters import ChatFilter
-from palaver.operators.merge import observed_audit_row, rows_to_insert
+from palaver.operators.merge import backfill_nulls, observed_audit_row, rows_to_insert
 from palaver.operators.quality import impute, repeated_keys, require_no_nulls, require_none_observed
 from palaver.operators.scoring import score_by_lexicon
 from palaver.operators.transcripts import shape_chats
 from palaver.schemas import FACT, SENTIMENTS
 from palaver.session import fresh_path
-from palaver.sources.sinks import append, remove, write_bucketed, write_observed_stage
+from palaver.sources.sinks import append, remove, rewrite_partitions, write_bucketed, write_observed_stage
 
 MERGE_KEYS = ["UserID", "ChatID"]
 
@@ -109,6 +109,20 @@ def load_bucketed_facts(facts: DataFrame, table: str, buckets: int, check: bool
     write_bucketed(new, table, buckets, *MERGE_KEYS, mode="append" if exists else "overwrite")
 
 
+def backfill_partitions(
+    spark: SparkSession, path: str, schema: T.StructType, by: str, source: DataFrame, keys: Sequence[str], column: str, order_by: str
+) -> list:
+    """Fill the nulls of a column of a table partitioned by `by`, as `backfill_nulls` does, and return the partitions rewritten.
+
+    Rewritten are those with a null that the source can fill; a first pass over the keys and the
+    column finds them.
+    """
+    target = spark.read.schema(schema).parquet(path)
+    fillable = source.where(F.col(column).isNotNull()).select(*keys).distinct()
+    touched = target.where(F.col(column).isNull()).join(fillable, list(keys), "left_semi").select(by)
+    return rewrite_partitions(spark, path, schema, by, touched, lambda rows: backfill_nulls(rows, source, keys, column, order_by))
+
+
 def facts_of(
     profile: DataFrame, phrases: DataFrame, score: Callable[[DataFrame], DataFrame] = score_by_lexicon
 ) -> Callable[[DataFrame], DataFrame]:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,11 +81,15 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
     Both happen in one job that overwrites the dates concerned: what older dates hold already is
     put beside the rows in a stored copy first. `run` names the load. A load that broke off and is
     tried again under its name finds its copy and writes that once more, so the table is as after
-    one load, wherever it broke off.
+    one load, wherever it broke off. The rows themselves are evaluated once, into a copy of their
+    own; the newest date and both parts are read from there.
     """
     spark = rows.sparkSession
     stage = f"{shared_dir(spark)}/replace-{run}" if run else fresh_path(spark, "replace")
-    if not _finished(spark, stage):
+    if not exists(spark, f"{stage}/_SUCCESS"):
+        arrived = fresh_path(spark, "arrived")
+        rows.write.parquet(arrived)
+        rows = spark.read.schema(rows.schema).parquet(arrived)
         newest = rows.agg(F.max(date_column)).first()[0]
         if newest is None:
             return
@@ -93,8 +97,9 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
         table = adding.unionByName(replacing)
         if exists(spark, path):
             stored = spark.read.schema(table.schema).parquet(path)
-            older = adding.select("TransactionDateID").distinct()
-            table = table.unionByName(stored.join(older, "TransactionDateID", "left_semi").select(*table.columns))
+            # The dates of late rows: at most as many as the table has folders.
+            older = [row[0] for row in adding.select("TransactionDateID").distinct().collect()]
+            table = table.unionByName(stored.where(_among("TransactionDateID", older)).select(*table.columns))
         table.write.mode("overwrite").parquet(stage)
     (
         spark.read.parquet(stage).hint("rebalance", "TransactionDateID")
@@ -105,16 +110,40 @@ def replace_newest_partition(rows: DataFrame, path: str, date_column: str = "Cur
     )
 
 
+def _among(column: str, values: Sequence[object]) -> Column:
+    """Whether a column holds one of the values; a null among them stands for a null."""
+    named = [v for v in values if v is not None]
+    chosen = F.col(column).isin(named) if named else F.lit(False)
+    return chosen | F.col(column).isNull() if None in values else chosen
+
+
+def rewrite_partitions(
+    spark: SparkSession, path: str, schema: T.StructType, by: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]
+) -> list:
+    """Rewrite the partitions of a stored table that `touched` names (its one column), and return which.
+
+    `change` maps the rows of those partitions to what they become. They are put into a stored copy,
+    and that overwrites them, so a write that breaks off can be repeated from there; the other
+    partitions' files are not opened.
+    """
+    values = [row[0] for row in touched.distinct().collect()]  # at most as many as the table has folders
+    if not values:
+        return []
+    copy = fresh_path(spark, "rewrite")
+    change(spark.read.schema(schema).parquet(path).where(_among(by, values))).write.parquet(copy)
+    (
+        spark.read.schema(schema).parquet(copy).hint("rebalance", by)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    )
+    return values
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, in whatever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    return exists(spark, f"{path}/_SUCCESS")
-
-
 def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, mode: str = "overwrite") -> None:
     """Store a table bucketed by its merge keys: the merge then reads it without a shuffle.
 

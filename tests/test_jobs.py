@@ -127,6 +127,42 @@ def test_unreadable_chats_are_set_aside(spark):
     assert [r.ID for r in spark.read.parquet(paths[3]).collect()] == ["2"]
 
 
+def test_a_load_with_quarantine_parses_once(spark, monkeypatch):
+    """Facts and unreadable chats come out of one pass over the chats, and its raw copy does not stay."""
+    paths = [fresh_path(spark, name) for name in ("stage", "facts", "audit", "quarantine")]
+    chats, profile, phrases = tables(
+        spark, chat(1, "a"), chat(2, "b", Messages="[{'text': undefined}]", rate=None), chat(3, "ok"), chat(4, "c", Messages="[{'text': 'cut")
+    )
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    plain = chats.toDF(*(f"c{n}" for n in range(len(CHATS))))  # a name holds dots
+    watched = plain.mapInPandas(counted, plain.schema).toDF(*CHATS.names)
+    made = []
+    monkeypatch.setattr(jobs, "fresh_path", lambda session, name: made.append(fresh_path(session, name)) or made[-1])
+    jobs.run_load(spark, watched, profile, phrases, *paths, first_load=True, days=None)
+    assert ran.value == 4
+    assert [r.ChatID for r in files.read_serving(spark, paths[1]).collect()] == ["1"]
+    (lost,) = spark.read.parquet(paths[3]).collect()
+    assert (lost.ID, lost.UserID, lost.Messages, lost.started) == ("2", 2, "[{'text': undefined}]", datetime(2024, 1, 2))
+    assert made and not any(sinks.exists(spark, path) for path in made)
+    assert spark.read.parquet(paths[2]).first().RecordCount == 1
+
+
+def test_the_stage_is_read_again_by_the_merge_alone(spark, monkeypatch):
+    paths = [fresh_path(spark, name) for name in ("stage", "facts", "audit")]
+    for name in ("null_census", "require_no_nulls"):
+        monkeypatch.setattr(f"palaver.operators.quality.{name}", lambda df: pytest.fail("the stage was read for the gate"))
+    jobs.run_load(spark, *tables(spark, chat(1, "good great"), chat(3, "worst trash")), *paths, first_load=True, days=None)
+    audit = spark.read.parquet(paths[2]).first()
+    facts = spark.read.parquet(paths[1]).agg(F.round(F.avg("Negative"), 6), F.count("*")).first()
+    assert (audit.Stat1, audit.RecordCount) == tuple(facts)
+
+
 def test_chats_stream_into_facts(spark):
     source, table, state = (fresh_path(spark, name) for name in ("source", "facts", "state"))
     first, profile, phrases = tables(spark, chat(1, "good great"), chat(2, "ok"), chat(3, "worst trash"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from palaver.operators import merge
+from palaver.plans import jobs
 from palaver.schemas import FACT, FACT_TABLE, NEAREST
 from palaver.session import fresh_path
 from palaver.sources import sinks
@@ -99,6 +100,44 @@ def test_backfill_takes_the_first_non_null(spark):
     assert rows(filled) == sorted(expected, key=repr)
 
 
+def test_backfill_rewrites_the_partitions_with_something_to_fill(spark):
+    path = fresh_path(spark, "parts")
+    table = spark.createDataFrame(
+        [(1, "a", None, 1), (2, "b", "kept", 1), (3, "c", None, 2), (None, "d", None, 3), (4, "e", "full", 4), (5, "f", None, None)],
+        "UserID long, ChatID string, v string, day int",
+    )
+    table.write.partitionBy("day").parquet(path)
+    stored = lambda: spark.read.schema(table.schema).parquet(path)
+    files = lambda: {f.split("day=")[1].split("/")[0]: f for f in stored().inputFiles()}
+    before = files()
+    source = spark.createDataFrame([(1, 2, "late"), (1, 1, "fill"), (4, 1, "no"), (5, 1, "five"), (9, 1, "x"), (3, 1, None)], "UserID long, at int, v string")
+    touched = jobs.backfill_partitions(spark, path, table.schema, "day", source, ["UserID"], "v", "at")
+    assert sorted(touched, key=repr) == [1, None]
+    expected = [(1, "a", "fill", 1), (2, "b", "kept", 1), (3, "c", None, 2), (None, "d", None, 3), (4, "e", "full", 4), (5, "f", "five", None)]
+    assert rows(stored()) == sorted(expected, key=repr)
+    after = files()
+    assert {day for day in before if before[day] != after[day]} == {"1", "__HIVE_DEFAULT_PARTITION__"}
+    assert jobs.backfill_partitions(spark, path, table.schema, "day", source, ["UserID"], "v", "at") == []
+    assert files() == after
+
+
+def test_a_partition_load_evaluates_its_rows_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    path = fresh_path(spark, "daily")
+    first = spark.createDataFrame([("a", 20240101), ("b", 20240102)], "v string, CurrentDate int")
+    sinks.replace_newest_partition(first, path)
+    second = spark.createDataFrame([("late", 20240101), ("new", 20240102), ("new", 20240102)], "v string, CurrentDate int")
+    sinks.replace_newest_partition(second.mapInPandas(counted, second.schema), path)
+    assert ran.value == 3
+    assert rows(spark.read.parquet(path)) == [("a", 20240101), ("late", 20240101), ("new", 20240102), ("new", 20240102)]
+
+
 def test_backfill_key_overwrites_where_matched(spark):
     target = frame(spark, (1, None, 5, "x"), (1, "was", 6, "y"), (2, "stays", 5, "z"))
     source = spark.createDataFrame([(1, 5, "n5"), (1, 6, "n6"), (1, 5, "n9")], "UserID long, Date int, ChatID string")

@@ -1,6 +1,11 @@
+from datetime import date
+
 import pytest
+from pyspark.sql import Observation
 
-from palaver.operators import quality
+from palaver.operators import merge, quality
+from palaver.session import fresh_path
+from palaver.sources import sinks
 
 NAN, INF = float("nan"), float("inf")
 
@@ -60,3 +65,42 @@ def test_distinct_and_repeated(spark):
     assert [tuple(r) for r in quality.repeated_keys(df, "a").collect()] == [(1, 2)]
     assert {r.b for r in quality.distinct_values(df, "b").collect()} == {"x", "y", None}
     assert quality.complete_rows(df, "b").count() == 2
+
+
+def test_ranges_come_from_footers(spark):
+    path = fresh_path(spark, "ranges")
+    rows = [(1, date(2024, 1, 2), 5, "a", 0.5), (None, date(1969, 12, 31), -7, "b", 1.5), (2**40, None, 0, None, None)]
+    df = spark.createDataFrame(rows, "a long, d date, c tinyint, s string, x double")
+    df.repartition(3).write.parquet(path)
+    settings = {key: spark.conf.get(key) for key in quality.FOOTER_SETTINGS}
+    found = {r.column_name: (r.low, r.high) for r in quality.ranges_from_footers(spark, path).collect()}
+    assert found == {"a": (1.0, float(2**40)), "d": (-1.0, 19724.0), "c": (-7.0, 5.0)}
+    assert {key: spark.conf.get(key) for key in settings} == settings
+    assert [tuple(r) for r in quality.ranges_from_footers(spark, path, ["c"]).collect()] == [("c", -7.0, 5.0)]
+    with pytest.raises(ValueError, match="'x'"):
+        quality.ranges_from_footers(spark, path, ["x"])
+    assert {key: spark.conf.get(key) for key in settings} == settings
+    empty = fresh_path(spark, "ranges")
+    df.limit(0).write.parquet(empty)
+    assert [tuple(r) for r in quality.ranges_from_footers(spark, empty, ["a"]).collect()] == [("a", None, None)]
+
+
+def test_a_write_observes_what_gate_and_audit_need(spark):
+    rows = [(0.2, 0.3, 0.5, "x"), (0.4, 0.3, 0.3, None), (0.6, None, 0.1, "y")]
+    scored = spark.createDataFrame(rows, "Negative double, Neutral double, Positive double, `a.b` string").repartition(3)
+    run, observed = sinks.write_observed_stage(scored, fresh_path(spark, "stage"), ["Negative", "Neutral", "Positive"])
+    assert observed["rows"] == 3 and observed["nulls a.b"] == 1 and observed["nulls Negative"] == 0
+    with pytest.raises(quality.NullsFound, match="'Neutral': 1.*'a.b': 1"):
+        quality.require_none_observed(observed)
+    told = merge.observed_audit_row(spark, observed, "p", "predict", run).collect()
+    assert told == merge.audit_row(scored, "p", "predict", run).collect()
+    empty, observed = sinks.write_observed_stage(scored.limit(0), fresh_path(spark, "stage"), ["Negative", "Neutral", "Positive"])
+    quality.require_none_observed(observed)
+    assert merge.observed_audit_row(spark, observed, "p", "train").collect() == merge.audit_row(scored.limit(0), "p", "train").collect()
+
+
+def test_observed_metrics_are_those_of_the_frame(spark):
+    df = spark.createDataFrame([(1, None), (None, None)], "n int, s string")
+    watch = Observation()
+    df.observe(watch, *quality.observed_metrics(df, ["n"])).collect()
+    assert watch.get == {"rows": 2, "nulls n": 1, "nulls s": 2, "mean n": 1.0}

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators import scoring
-from palaver.operators.density import density
+from palaver.operators.density import density, density_binned
 from palaver.operators.ordering import fixed_batches, near_equal_parts, with_global_index
 from palaver.schemas import SENTIMENTS
 
@@ -161,3 +161,32 @@ def test_density_is_the_plain_kernel_sum(spark):
     grid = np.linspace(lo - 3 * h, hi + 3 * h, 200)
     assert np.allclose([r.x for r in wide], grid)
     assert np.allclose([r.density for r in wide], gaussian(values, grid)[0], atol=1e-12)
+
+
+@pytest.mark.parametrize("options", [{}, {"points": 120, "cut": 3.0, "closed": True}])
+def test_binned_density_keeps_its_bound(spark, options):
+    """Values that hardly repeat, some far out: the curve stays within what it states of the plain kernel sum."""
+    rng = np.random.default_rng(8)
+    values = {"Negative": rng.exponential(20, 3000), "Neutral": np.concatenate([rng.normal(5, 1, 500), [400.0]]), "Positive": np.array([3.0])}
+    rows = [(float(v), label) for label, some in values.items() for v in some] + [(None, "Negative"), (1.0, "Other")]
+    df = spark.createDataFrame(rows, "DurationInMins double, Sentiment string").repartition(4)
+    points, cut, closed = options.get("points", 500), options.get("cut", 0.0), options.get("closed", False)
+    for error in (1e-6, 1e-3):
+        curve = density_binned(df, **options, error=error).collect()
+        assert {r.Sentiment for r in curve} == {"Negative", "Neutral"}
+        for label in ("Negative", "Neutral"):
+            mine = [r for r in curve if r.Sentiment == label]
+            lo, hi = values[label].min(), values[label].max()
+            h = gaussian(values[label], np.zeros(1))[1]
+            grid = np.linspace(lo - cut * h, hi + cut * h, points, endpoint=closed)
+            exact = gaussian(values[label], grid)[0]
+            assert np.allclose([r.x for r in mine], grid)
+            assert mine[0].error <= error / (h * np.sqrt(2 * np.pi)) * 1.001
+            assert np.abs(np.array([r.density for r in mine]) - exact).max() <= mine[0].error + 1e-12
+    wide = density_binned(df, most_bins=600).collect()
+    assert max(r.error for r in wide) > 1e-6  # fewer bins than asked for: the bound says so
+
+
+def test_binned_density_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, "Negative")], "DurationInMins double, Sentiment string")
+    assert density_binned(df).count() == 0 and density_binned(df.limit(0)).count() == 0

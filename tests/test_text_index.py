@@ -11,6 +11,7 @@ from palaver.operators.filters import ChatFilter
 from palaver.operators.patterns import required, trigrams_of
 from palaver.session import fresh_path
 from palaver.sources import text_index
+from test_clustered import rows_scanned
 from test_filters import fact
 
 
@@ -118,37 +119,46 @@ def test_search_over_the_index_finds_every_hit(spark, pattern):
 
 
 def test_search_reads_the_blocks_that_may_hold_hits(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "FOLDER_BLOCKS", 4)
     path = fresh_path(spark, "indexed")
-    texts = [f"common words and word{n:03d}" for n in range(200)]
-    text_index.append_indexed(stored(spark, texts), path, block_rows=10)
+    texts = [f"common words and word{n:04d}" for n in range(2000)]
+    text_index.append_indexed(stored(spark, texts), path, block_rows=100)
     every = text_index.read_indexed(spark, path)
-    assert every.count() == 200 and 15 <= every.select("block").distinct().count() <= 20
+    assert every.count() == 2000 and 15 <= every.select("block").distinct().count() <= 25
+    order = [r.ChatID for r in every.orderBy("block", "Date").collect()]
+    assert order == [str(n) for n in range(2000)]  # blocks follow each other in time
 
     def read(pattern, **more):
         rows = text_index.candidates(spark, path, ChatFilter(search=pattern, **more))
-        return rows.select(F.input_file_name().alias("f")).distinct().count(), rows
+        return rows_scanned(rows), rows.select(F.input_file_name().alias("f")).distinct().count(), rows
 
-    blocks, rows = read("word123")
-    assert blocks <= 2 and "PartitionFilters: []" not in rows._jdf.queryExecution().executedPlan().toString()
-    assert read("word1[0-9]3|word007")[0] < 20
+    scanned, files, rows = read("word1234")
+    assert scanned <= 220 and files == 1  # a block, or two, of one folder
+    assert "PartitionFilters: []" not in rows._jdf.queryExecution().executedPlan().toString()
+    scanned, files, rows = read("word1[0-2]34|word0071")
+    assert scanned <= 900 and files <= 4
     assert read("absent from all")[0] == 0
-    assert read("[0-9]{3}")[0] == read("word123", search_column="text")[0] == every.select("block").distinct().count()
-    monkeypatch.setattr(text_index, "MOST_LISTED", 0)  # the join in place of the list
-    chosen = ChatFilter(search="word123")
+    assert read("[0-9]{3}")[0] == read("word1234", search_column="text")[0] == 2000
+    monkeypatch.setattr(text_index, "MOST_RANGES", 0)  # the join in place of the ranges
+    chosen = ChatFilter(search="word1234")
     joined = text_index.candidates(spark, path, chosen)
-    assert joined.count() <= 20 and [r.html_text for r in chosen.apply(joined).collect()] == [texts[123]]
+    assert joined.count() <= 220 and [r.html_text for r in chosen.apply(joined).collect()] == [texts[1234]]
 
 
-def test_blocks_without_index_are_read_in_any_case(spark):
+@pytest.mark.parametrize("ranges", [0, 1000])
+def test_folders_without_index_are_read_in_any_case(spark, monkeypatch, ranges):
+    monkeypatch.setattr(text_index, "MOST_RANGES", ranges)
     path = fresh_path(spark, "indexed")
-    facts = stored(spark, ["first cat", "second dog"])
+    facts = stored(spark, ["first cat", "second dog", "third dog"])
     text_index.append_indexed(facts.where("ChatID = '0'"), path)
     # a load that broke off before its index was written
-    facts.where("ChatID = '1'").withColumn("block", F.lit(1)).write.mode("append").partitionBy("block").parquet(f"{path}/rows")
-    chosen = ChatFilter(search="dog")
-    assert [r.ChatID for r in chosen.apply(text_index.candidates(spark, path, chosen)).collect()] == ["1"]
-    text_index.append_indexed(facts.where("ChatID = '0'").withColumn("ChatID", F.lit("2")), path)
-    assert text_index._stored_blocks(spark, path) == [0, 1, 2]
+    broken = facts.where("ChatID = '1'").withColumns({"block": F.lit(64).cast("long"), "folder": F.lit(1)})
+    broken.write.mode("append").partitionBy("folder").parquet(f"{path}/rows")
+    text_index.append_indexed(facts.where("ChatID = '2'"), path)
+    for search, hits in (("dog", ["1", "2"]), ("cat", ["0"]), ("nothing", [])):
+        chosen = ChatFilter(search=search)
+        assert sorted(r.ChatID for r in chosen.apply(text_index.candidates(spark, path, chosen)).collect()) == hits
+    assert text_index._stored_folders(spark, path) == [0, 1, 2]
 
 
 def test_an_empty_table_is_searched(spark):
