@@ -19,11 +19,12 @@ from palaver.llm.common import worker_state
 
 MAX_WORDS = 1 << 20  # words the table holds before it is thinned out
 LONG_CHARS = 1 << 20  # longer texts are cut at safe blanks first
+PART_CHARS = 1 << 21  # of the texts whose words are numbered together
 JOINED = 1000  # new words encoded in one call
 BREAK = "\n"
 HEAD = "\0"  # marks a word at the start of a text or line, which has no blank before it
 TAILS = ".,;:!?)]}\"%$&*#|"  # may follow a word; the library starts a new word there
-ODD = re.compile(r"[^\S \n]|\u180e")
+ODD = re.compile(r"[^\S\n]|\u180e")
 SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
@@ -186,7 +187,7 @@ class WordEncoder:
         if len(missing):
             unknown = [distinct[i] for i in missing.tolist()]
             # Other white space than blanks and line ends is rare; without it only an empty word is unsafe.
-            odd = self.blanks and any(ODD.search(text) for text, _ in texts)
+            odd = self.blanks and ODD.search("".join(unknown)) is not None
             unsafe = set(filter(self._unsafe, unknown)) if odd else {"", HEAD} if self.blanks else set()
             self._learn(set(unknown) - unsafe)
             known[missing] = np.fromiter(map(self.words.at.get, unknown, repeat(-1)), np.int64, len(unknown))
@@ -219,7 +220,7 @@ class WordEncoder:
         k = 0
         while k < len(parts):
             held, stop = 0, k
-            while stop < len(parts) and held < LONG_CHARS:
+            while stop < len(parts) and held < PART_CHARS:
                 held += len(parts[stop][0])
                 stop += 1
             for owner, ids in zip(owners[k:stop], self._encode_part(parts[k:stop]), strict=True):

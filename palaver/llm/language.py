@@ -207,7 +207,7 @@ def keep_known(docs: DataFrame, langs: list[str], table: np.ndarray, text: str =
 
     A score under `least` tells that only of a text with enough 3-grams (`LEAST_GRAMS`): a short
     one scores low in its own language. The prediction is that of `identify`; rows pass through
-    it, so keys need not be unique.
+    it, so keys need not be unique. An empty table gives no rows.
     """
     at, plain = docs.columns.index(text), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
     kept = plain.mapInArrow(lambda batches: _keep(batches, langs, table, at, least), plain.schema)

@@ -103,10 +103,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """log(p trusted / p raw) of every bucket: all texts count for the raw side, all trusted ones for the other.
 
     The driver gets one row per bucket, however large the corpus is. Without trusted texts all
-    ratios are 0. The join with the trusted keys has no hint: Spark broadcasts them where they are
-    small, and splits a key with very many texts where it does not.
+    ratios are 0. Texts meet the trusted keys in a sort-merge join at every size, as those grow with
+    the corpus; a key with very many texts is on the side that Spark may split.
     """
-    marked = docs.select(key, text).join(trusted_ids(labels, key), F.col(key) == F.col("_trusted"), "left")
+    marked = docs.select(key, text).join(trusted_ids(labels, key).hint("merge"), F.col(key) == F.col("_trusted"), "left")
     counts = (
         marked.select(F.col(text), F.col("_trusted").isNotNull().alias("trusted"))
         .mapInArrow(count_features, "bucket int, raw long, trusted long")
