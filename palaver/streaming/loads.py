@@ -53,13 +53,14 @@ def stream_merge(
     )
 
 
+ADAPTIVE = "spark.sql.adaptive.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = "day"
 
 
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for as long as a query takes to start, which keeps what it started with."""
+    """A session setting for a while: a query keeps what it started with, a job what it was planned with."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -124,10 +125,18 @@ def stream_merge_by_day(
     read nor listed by key. The cost of a batch follows its rows and the days they fall on, not the
     table. A row that comes again after `within` under another date counts as another chat. A
     retried batch replaces its own folders. The table may start empty, without a folder.
+
+    Spark turns adaptive execution off in a stream with state, for its shuffles must not change.
+    The merge of a batch is a job of its own and gets the session's choice back: without it the
+    rebalancing by day is left out, and every task writes a file to every day.
     """
     spark = chats.sparkSession
 
     def load(rows: DataFrame, batch: int) -> None:
+        with _setting(rows.sparkSession, ADAPTIVE, spark.conf.get(ADAPTIVE)):
+            merge(rows, batch)
+
+    def merge(rows: DataFrame, batch: int) -> None:
         facts = to_facts(rows).persist()  # one micro-batch: checked, measured and written from here
         try:
             if check is not None:

@@ -100,3 +100,11 @@ def test_the_state_store_setting_is_put_back(spark, place):
     arrive(spark, place, chat(1, 3))
     run(spark, place)
     assert spark.conf.get(key) == before
+
+
+def test_a_batch_writes_a_file_for_a_day_not_one_for_a_task_and_day(spark, place):
+    for start in (0, 1000):
+        arrive(spark, place, *[chat(start + n, 1 + n % 20, user=n) for n in range(600)])
+    assert len(run(spark, place)) == 1200
+    files = {r.f for r in spark.read.parquet(place["table"]).select(F.input_file_name().alias("f")).distinct().collect()}
+    assert 40 <= len(files) < 60  # twenty days of two batches
