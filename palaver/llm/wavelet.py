@@ -27,7 +27,7 @@ SHARD_TOKENS = 1 << 18
 BLOCK = 512  # bits per entry of the rank directory
 MAGIC = b"WVMX"
 HEADER = "<4sQBQ"  # magic, ids, planes, bytes of the body when unpacked
-TEXT_RUN = 1000  # rows encoded together
+TEXT_RUN = 2000  # rows encoded together
 
 
 class WaveletMatrix:

@@ -165,6 +165,17 @@ def test_word_encoder_cuts_long_texts_and_empties_its_table(monkeypatch):
         assert [g.tolist() for g in got] == list(map(library(name), texts))
 
 
+def test_word_encoder_numbers_the_words_of_a_run_together(monkeypatch):
+    text = f"{ENGLISH} {GERMAN}\n" * 2
+    texts = [text * (1_200_000 // len(text)) for _ in range(3)]
+    encoder, parts = encoders.WordEncoder(public_path(wavelet.MODEL), True), []
+    together = encoder._encode_part
+    monkeypatch.setattr(encoder, "_encode_part", lambda some: parts.append(len(some)) or together(some))
+    got = encoder.encode(texts)
+    assert len(parts) == 1  # two with 2 million characters to a part
+    assert got[0].tolist() == library(wavelet.MODEL)(texts[0]) and all((g == got[0]).all() for g in got)
+
+
 def test_shards_of_odd_rows(spark):
     path = fresh_path(spark, "shards")
     wavelet.write_shards(frame(spark), path, size=40)
