@@ -23,6 +23,7 @@ ACCURACY = 10_000  # of the quantiles, as Spark counts it: their ranks are right
 MOST_VALUES = 4096  # texts of a column that edges are taken from; of more, a share chosen by a hash
 ROWS_PER_FILE = 1_000_000
 ROW_GROUP_BYTES = 8 << 20
+PAGE_ROWS = 20_000  # Parquet's own bound
 
 
 def ordinal(column: Column, kind: T.DataType) -> Column:
@@ -129,7 +130,7 @@ def write_clustered(
     does not hold a filter on a time without zone against the bounds of a row group, so the
     seconds of such columns are stored beside them. A
     place that holds very many rows is cut by a hash of the row's other columns, so no file is left
-    with all of them.
+    with all of them. A page holds at most an eighth of a file's rows, as the bounds of pages prune too.
     """
     files = max(1, -(-facts.count() // rows_per_file))
     placed = with_curve_place(facts, columns, bits).withColumns({name: second_of(F.col(c)) for c, name in _seconds(facts.schema).items()})
@@ -137,7 +138,8 @@ def write_clustered(
     (
         placed.withColumn("_cut", F.xxhash64(*whole))
         .repartitionByRange(files, "_place", "_cut").sortWithinPartitions("_place", "_cut").drop("_place", "_cut")
-        .write.mode(mode).option("parquet.block.size", row_group_bytes).parquet(path)
+        .write.mode(mode).option("parquet.block.size", row_group_bytes)
+        .option("parquet.page.row.count.limit", min(PAGE_ROWS, max(1, rows_per_file // 8))).parquet(path)
     )
 
 
