@@ -192,6 +192,8 @@ def html_transcript(messages: Column, mask: bool = False, escape: bool = False)
 
 
 def _listed(text: Column, phrases: Collection[str]) -> Column:
+    if phrases is None:  # the answer of `inline_phrases` to a long list, which would pass for an empty one
+        raise TypeError("a phrase list too long for an expression is joined: with_visitor_text")
     # `isin` becomes one hash-set probe; a null text is in no list.
     return F.coalesce(text.isin(list(phrases)), F.lit(False)) if phrases else F.lit(False)
 
@@ -279,7 +281,7 @@ def top_messages(messages: DataFrame, n: int = 1000) -> DataFrame:
     return counts.orderBy(F.desc("messages"), "text").limit(n)
 
 
-def _with_visitor_text(chats: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
+def with_visitor_text(chats: DataFrame, phrases: DataFrame, most: int = MAX_INLINE_PHRASES) -> DataFrame:
     """Add `text` to chats with a `_visitor` array; chats left without a message have a null text.
 
     A phrase list that is too long for an expression is met by an anti join. Each chat is then a
@@ -324,7 +326,7 @@ def shape_chats(
         others.append(F.when(F.col("transcript").isNull(), F.col("Messages")).alias(unreadable))
     html = html_transcript(F.col("transcript"), mask, escape).alias("html_text")
     spoken = parsed.select(*others, html, visitor_messages(F.col("transcript")).alias("_visitor"))
-    shaped = _with_visitor_text(spoken, phrases, most_inline)
+    shaped = with_visitor_text(spoken, phrases, most_inline)
     kept = F.col("text").isNotNull()
     if unreadable is not None:
         kept = kept | F.col(unreadable).isNotNull()
@@ -347,7 +349,7 @@ def transcript_census(
         F.col("transcript").isNotNull().alias("_readable"),
         visitor_messages(F.col("transcript")).alias("_visitor"),
     )
-    told = _with_visitor_text(spoken, phrases, most_inline)
+    told = with_visitor_text(spoken, phrases, most_inline)
     outcome = (
         F.when(~F.col("_complete"), "cut off")
         .when(~F.col("_readable"), "unreadable")

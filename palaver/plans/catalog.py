@@ -466,9 +466,9 @@ def html_escaped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("visitor_text", "SELECT Key, text FROM visitor_v")
 def visitor_text(spark: SparkSession, sf: str) -> DataFrame:
-    kept = tr.visitor_messages(F.col("transcript"), tr.inline_phrases(sample.phrases(spark, sf)))
-    chats = _parsed(spark, sf).select(F.col("ID").alias("Key"), kept.alias("kept"))
-    return chats.where(F.size("kept") > 0).select("Key", tr.joined_texts(F.col("kept")).alias("text"))
+    spoken = tr.visitor_messages(F.col("transcript")).alias("_visitor")
+    chats = _parsed(spark, sf).select(F.col("ID").alias("Key"), spoken)
+    return tr.with_visitor_text(chats, sample.phrases(spark, sf)).where(F.col("text").isNotNull())
 
 
 @query("visitor_text_from_messages", "SELECT Key, text FROM visitor_v")

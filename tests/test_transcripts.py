@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from palaver.operators import transcripts as tr
+from palaver.plans import catalog
 
 
 def chats(spark, *transcripts):
@@ -166,6 +167,24 @@ def test_phrases_with_long_texts_are_not_inlined(spark):
     assert tr.inline_phrases(frame) is None
 
 
+@pytest.mark.parametrize("talks", [20, 600])
+def test_visitor_text_drops_the_phrases_of_lists_of_any_length(spark, tmp_path, talks):
+    """Ten short messages a chat, all on the list; the even chats end with a long one. 6,000 phrases exceed the bound."""
+    long = F.concat(F.lit("x" * 50), F.col("conv_id").cast("string"))
+    turns = spark.range(talks * 11).select(F.floor(F.col("id") / 11).alias("conv_id"), (F.col("id") % 11).alias("turn"), "id")
+    said = F.when(F.col("turn") < 10, F.concat(F.lit("short "), F.col("id").cast("string"))).otherwise(long)
+    role = F.when((F.col("turn") == 10) & (F.col("conv_id") % 2 == 1), "assistant").otherwise("user")
+    turns.select("conv_id", "turn", role.alias("role"), said.alias("text")).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalog.visitor_text(spark, str(tmp_path))
+    assert found.columns == ["Key", "text"]
+    assert sorted(map(tuple, found.collect())) == sorted((str(n), "x" * 50 + str(n)) for n in range(0, talks, 2))
+
+
+def test_a_list_too_long_to_inline_is_no_empty_list(spark):
+    with pytest.raises(TypeError):
+        tr.visitor_messages(F.array(), None)
+
+
 def test_no_phrases_drops_nothing(spark):
     assert set(shaped(spark, [])) == {"0", "1", "2"}
 
